@@ -158,8 +158,12 @@ def parse_cidrs(text: str) -> list[str]:
 def target_scope(ip: Column | str, cidrs: str, allow_loopback: bool = False) -> Column:
     """``struct(scope, reason)`` of a response target: exactly one is non-NULL."""
     text = F.trim(F.coalesce(_col(ip), F.lit("")))
-    address = address_hex(text)
+    # The one-element array binds text and address once for all range tests.
+    bound = F.array(F.struct(text.alias("text"), address_hex(text).alias("address")))
+    return F.transform(bound, lambda t: _classified(t["text"], t["address"], cidrs, allow_loopback))[0]
 
+
+def _classified(text: Column, address: Column, cidrs: str, allow_loopback: bool) -> Column:
     def says(template: str, *more: str) -> Column:
         return F.format_string(template, text, *[F.lit(m) for m in more])
 
@@ -176,11 +180,8 @@ def target_scope(ip: Column | str, cidrs: str, allow_loopback: bool = False) ->
     for cidr in parse_cidrs(cidrs):
         scope = scope.when(in_cidr(address, cidr), cidr)
     scope = F.when(reason.isNull(), scope)
-    reason = F.coalesce(
-        reason,
-        F.when(scope.isNull(), F.when(loopback, says(REASON_LOOPBACK)).otherwise(says(REASON_OUTSIDE, cidrs))),
-    )
-    return F.struct(scope.alias("scope"), reason.alias("reason"))
+    refused = F.when(loopback, says(REASON_LOOPBACK)).otherwise(says(REASON_OUTSIDE, cidrs))
+    return F.struct(scope.alias("scope"), F.coalesce(reason, F.when(scope.isNull(), refused)).alias("reason"))
 
 
 def protocol_number(name: Column | str) -> Column:

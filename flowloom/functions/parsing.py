@@ -43,3 +43,23 @@ def timestamp(text: Column | str, day_first: bool = True) -> Column:
 def micros(ts: Column | str) -> Column:
     """Epoch microseconds as a long."""
     return F.unix_micros(_col(ts).cast("timestamp"))
+
+
+def two_decimals(value: Column | str) -> Column:
+    """A non-negative double as text with two decimals, rounded on its exact binary value.
+
+    Java's formatter rounds the shortest decimal form instead and differs on
+    ties such as 5.215. The error of ``value * 1000`` is exact after splitting
+    the value in two halves (Dekker), and decides such ties.
+    """
+    x = _col(value).cast("double")
+    mills = x * 1000.0
+    big = x * 134217729.0
+    high = big - (big - x)
+    error = (high * 1000.0 - mills) + (x - high) * 1000.0
+    cents = F.floor(mills / 10.0)
+    rest = mills - cents * 10.0
+    even_up = (error == 0) & (cents % 2 == 1)
+    up = (rest > 5) | ((rest == 5) & ((error > 0) | even_up))
+    total = cents + F.when(up, 1).otherwise(0)
+    return F.format_string("%d.%02d", F.floor(total / 100).cast("long"), (total % 100).cast("long"))

@@ -39,6 +39,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         .appName("flowloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")

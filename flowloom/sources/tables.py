@@ -27,15 +27,24 @@ def unique_names(header: Sequence[str]) -> list[str]:
 
 
 def csv_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``(source_file, line)`` of all CSV files, bytes kept one to one as Latin-1."""
+    """``(source_file, line)`` of all CSV files; the text source keeps bytes as they are."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv")
-    raw = reader.option("encoding", LATIN1).text(path)
-    return raw.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("line"))
+    return reader.text(path).select(
+        F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("value").alias("line"),
+    )
+
+
+def decoded(line: Column | str) -> Column:
+    """A raw line as text: UTF-8 if its bytes allow, else Latin-1."""
+    raw = F.col(line) if isinstance(line, str) else line
+    return F.when(F.call_function("is_valid_utf8", raw), raw).otherwise(F.decode(raw.cast("binary"), LATIN1))
 
 
 def file_encodings(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Per file: ``utf-8`` when every line decodes as such, else ``latin1``."""
-    good = F.call_function("is_valid_utf8", F.encode("line", LATIN1).cast("string"))
+    good = F.call_function("is_valid_utf8", F.col("line"))
     return csv_lines(spark, path, recursive).groupBy("source_file").agg(
         F.when(F.bool_and(good), "utf-8").otherwise("latin1").alias("encoding")
     )
@@ -43,11 +52,9 @@ def file_encodings(spark: SparkSession, path: str, recursive: bool = False) -> D
 
 def csv_headers(spark: SparkSession, path: str, recursive: bool = False) -> dict[str, list[str]]:
     """First line of every file, split into raw column names (one row per file)."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv")
-    raw = reader.option("encoding", LATIN1).text(path)
-    first = raw.select("_metadata.file_name", "_metadata.file_block_start", "value").filter("file_block_start = 0")
-    heads = first.withColumn("_i", F.monotonically_increasing_id()).groupBy("file_name").agg(F.min_by("value", "_i").alias("h"))
-    return {r["file_name"]: r["h"].split(",") for r in heads.collect()}
+    first = csv_lines(spark, path, recursive).filter("block_start = 0").withColumn("_i", F.monotonically_increasing_id())
+    heads = first.groupBy("source_file").agg(F.min_by(decoded("line"), "_i").alias("h"))
+    return {r["source_file"]: r["h"].lstrip("\ufeff").split(",") for r in heads.collect()}
 
 
 def read_flow_csvs(
