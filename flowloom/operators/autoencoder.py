@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,9 @@ def fit(train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: T
     steps = 0
     best, best_loss, waited = network, float("inf"), 0
     result = TrainingResult(network)
-    rows = train.select(*[F.col(f"`{c}`").cast("double") for c in features])
-    held = validation.select(*[F.col(f"`{c}`").cast("double") for c in features])
+    # Read once per epoch: kept on the executors, recomputed where one is lost.
+    rows = train.select(*[F.col(f"`{c}`").cast("double") for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    held = validation.select(*[F.col(f"`{c}`").cast("double") for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     for epoch in range(1, cfg.max_epochs + 1):
         update = _epoch(rows, state, steps, shapes, cfg, epoch)
         if update is None:
@@ -139,6 +141,8 @@ def fit(train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: T
             waited += 1
             if waited >= cfg.patience:
                 break
+    rows.unpersist()
+    held.unpersist()
     result.network = best
     return result
 

@@ -174,7 +174,7 @@ def _burst_measures() -> list[Column]:
     return [
         F.count("burst_start").alias("_bursts"),
         last.alias("_last_burst"),
-        F.avg("closed_burst").alias("_cb_avg"),
+        F.sum("closed_burst").alias("_cb_sum"),
         F.var_pop("closed_burst").alias("_cb_var"),
         F.max("closed_burst").alias("_cb_max"),
         F.min("closed_burst").alias("_cb_min"),
@@ -188,10 +188,11 @@ def _burst_measures() -> list[Column]:
 def _burst_columns() -> list[Column]:
     """Statistics over the closed bursts and the one still open at the end."""
     n, last = F.col("_bursts").cast("double"), F.col("_last_burst").cast("double")
-    closed, mean, var = n - 1, _zero(F.col("_cb_avg")), _zero(F.col("_cb_var"))
+    total, closed, var = _zero(F.col("_cb_sum")), n - 1, _zero(F.col("_cb_var"))
+    mean = F.coalesce(F.try_divide(total, closed), F.lit(0.0))
     spread = (closed * var + (last - mean) * (last - mean) * closed / n) / n
     return [
-        ((closed * mean + last) / n).alias("active_mean"),
+        ((total + last) / n).alias("active_mean"),
         F.sqrt(spread).alias("active_std"),
         F.greatest(last, F.col("_cb_max").cast("double")).alias("active_max"),
         F.least(last, F.col("_cb_min").cast("double")).alias("active_min"),
@@ -233,12 +234,12 @@ def flow_features(
     keys: Sequence[str] = FLOW_KEY,
     idle_seconds: float = 5.0,
     chunk_seconds: int | None = CHUNK_SECONDS,
-    carry: Sequence[Column] = (),
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """The 67 features of every flow, in contract order, after its endpoints.
 
     Packets are shuffled once by flow and time slice for the gaps; everything
-    else is one partially aggregated ``groupBy``. ``carry`` are extra aggregates
+    else is one partially aggregated ``groupBy``. ``carry`` names extra aggregates
     (the close reason of a sessionized flow, for example).
     """
     keys = list(keys)
@@ -284,7 +285,7 @@ def flow_features(
         *flags,
         *_first_windows(order),
         *_burst_measures(),
-        *carry,
+        *[c.alias(name) for name, c in (carry or {}).items()],
     )
     g = g.withColumn("_ahead", F.col("f.from_lo"))
 
@@ -339,21 +340,16 @@ def flow_features(
         *burst,
     ]
     named = [c.alias(name) for c, name in zip(ordered, FLOW_FEATURES, strict=True)]
-    extra = [c for c in g.columns if c in {_alias(x) for x in carry}]
     return g.select(
         *[k for k in keys if k not in FLOW_KEY or k == "protocol"],
         *[F.col(f"f.{c}").alias(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port")],
         "start_ts",
         "end_ts",
-        *extra,
+        *(carry or {}),
         *named,
     )
 
 
-def _alias(column: Column) -> str:
-    return column._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
-
-
 def feature_quality(spark) -> DataFrame:
     """Quality class per feature: A read directly, B approximated."""
     rows = [(i, n, "B" if n in APPROXIMATED_FEATURES else "A") for i, n in enumerate(FLOW_FEATURES)]

@@ -106,16 +106,16 @@ FEATURE_SQL = dict(
         strict=True,
     )
 )
-# Microseconds are shown as seconds, so that rounding does not meet their last bits.
+# Microseconds are shown as seconds, moved off the rounding ties that halves would meet.
 MICROS = {f for f in FLOW_FEATURES if "IAT" in f or f == "Flow Duration" or f.startswith(("Active", "Idle"))}
 
 
 def _feature_columns() -> str:
-    return ", ".join(r(f"({e}) / 1e6" if f in MICROS else e, f'"{f}"') for f, e in FEATURE_SQL.items())
+    return ", ".join(r(f"({e}) / 1e6 + 1e-9" if f in MICROS else e, f'"{f}"') for f, e in FEATURE_SQL.items())
 
 
 def _shown_features(df):
-    scaled = {f: F.col(f"`{f}`") / 1e6 for f in MICROS}
+    scaled = {f: F.col(f"`{f}`") / 1e6 + 1e-9 for f in MICROS}
     return plain(df.withColumns(scaled))
 
 
@@ -124,25 +124,25 @@ def _client(df):
     return df.withColumn("client", F.when(out, F.col("src_ip")).otherwise(F.col("dst_ip")))
 
 
-@query("e1", f"""SELECT client, {', '.join(r(f'({e}) / 1e6', f'{d}_{s}') for d, es in (('flow', _FLOW_IAT), ('fwd', _FWD_IAT), ('bwd', _BWD_IAT)) for e, s in zip(es, ('sum', 'avg', 'std', 'max', 'min')))}
+@query("e1", f"""SELECT client, {', '.join(r(f'({e}) / 1e6 + 1e-9', f'{d}_{s}') for d, es in (('flow', _FLOW_IAT), ('fwd', _FWD_IAT), ('bwd', _BWD_IAT)) for e, s in zip(es, ('sum', 'avg', 'std', 'max', 'min')))}
   FROM gaps GROUP BY 1""", "gaps")
 def e1(spark, sf):
     """Inter-arrival statistics per flow and direction."""
     s = packets.interarrival_stats(views.packets(spark, sf))
-    cols = [F.col(f"{d}_iat_{m}") / 1e6 for d in ("flow", "fwd", "bwd") for m in ("sum", "avg", "std", "max", "min")]
+    cols = [F.col(f"{d}_iat_{m}") / 1e6 + 1e-9 for d in ("flow", "fwd", "bwd") for m in ("sum", "avg", "std", "max", "min")]
     names = [f"{d}_{m}" for d in ("flow", "fwd", "bwd") for m in ("sum", "avg", "std", "max", "min")]
     client = F.when(F.col("lo_port") != 443, F.col("lo_ip")).otherwise(F.col("hi_ip")).alias("client")
     return plain(s.select(client, *[c.alias(x) for c, x in zip(cols, names)]))
 
 
-@query("e2", f"""SELECT g.client, any_value(b.bursts)::BIGINT AS burst_count, {', '.join(r(f'any_value(b.{x}) / 1e6', x) for x in ('active_mean', 'active_std', 'active_max', 'active_min'))},
-  {', '.join(r(f'coalesce({f}(gap) FILTER (WHERE gap >= {int(IDLE_SECONDS * 1e6)}), 0) / 1e6', f'idle_{x}') for f, x in (('avg', 'mean'), ('stddev_pop', 'std'), ('max', 'max'), ('min', 'min')))}
+@query("e2", f"""SELECT g.client, any_value(b.bursts)::BIGINT AS burst_count, {', '.join(r(f'any_value(b.{x}) / 1e6 + 1e-9', x) for x in ('active_mean', 'active_std', 'active_max', 'active_min'))},
+  {', '.join(r(f'coalesce({f}(gap) FILTER (WHERE gap >= {int(IDLE_SECONDS * 1e6)}), 0) / 1e6 + 1e-9', f'idle_{x}') for f, x in (('avg', 'mean'), ('stddev_pop', 'std'), ('max', 'max'), ('min', 'min')))}
   FROM gaps g JOIN bursts b ON b.client = g.client GROUP BY 1""", "gaps bursts")
 def e2(spark, sf):
     """Activity bursts and idle gaps."""
     s = packets.burst_stats(views.packets(spark, sf), idle_seconds=IDLE_SECONDS)
     client = F.when(F.col("lo_port") != 443, F.col("lo_ip")).otherwise(F.col("hi_ip")).alias("client")
-    shown = [(F.col(f"{k}_{m}") / 1e6).alias(f"{k}_{m}") for k in ("active", "idle") for m in ("mean", "std", "max", "min")]
+    shown = [(F.col(f"{k}_{m}") / 1e6 + 1e-9).alias(f"{k}_{m}") for k in ("active", "idle") for m in ("mean", "std", "max", "min")]
     return plain(s.select(client, "burst_count", *shown))
 
 

@@ -67,7 +67,11 @@ def destination_ip() -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FLOW schema over lineitem, with the raw columns and a row id."""
-    base = table(spark, sf_dir, "lineitem").select(
+    return flows_from(table(spark, sf_dir, "lineitem"))
+
+
+def flows_from(lineitem: DataFrame) -> DataFrame:
+    base = lineitem.select(
         "*",
         source_ip().alias("src_ip"),
         (F.lit(1024) + F.col("l_orderkey") % 64000).cast("int").alias("src_port"),
@@ -130,7 +134,10 @@ def statistics_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets between clients (``user_id``) and one server over the events table."""
-    e = table(spark, sf_dir, "events")
+    return packets_from(table(spark, sf_dir, "events"))
+
+
+def packets_from(e: DataFrame) -> DataFrame:
     u, n = F.col("user_id"), F.col("event_id")
     client = F.concat(F.lit("172.16."), _text(F.floor(u / 256).cast("long")), F.lit("."), _text(u % 256))
     client_port = (F.lit(40000) + u % 20000).cast("int")
