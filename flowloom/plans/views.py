@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores.
+
+    The supplied files have one row group each, which would leave all parsing
+    and scoring to one task. A table of cluster size has far more splits than
+    cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -67,7 +78,7 @@ def destination_ip() -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FLOW schema over lineitem, with the raw columns and a row id."""
-    return flows_from(table(spark, sf_dir, "lineitem"))
+    return flows_from(spread(table(spark, sf_dir, "lineitem")))
 
 
 def flows_from(lineitem: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def statistics_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets between clients (``user_id``) and one server over the events table."""
-    return packets_from(table(spark, sf_dir, "events"))
+    return packets_from(spread(table(spark, sf_dir, "events")))
 
 
 def packets_from(e: DataFrame) -> DataFrame:
