@@ -246,13 +246,13 @@ def k1_counts(spark, sf):
 
 
 @query("h20_sessions", f"""WITH {MACHINE}, m AS (SELECT client, flow, count(*) AS total, max(t) - min(t) AS d FROM walk GROUP BY 1, 2)
-  SELECT client, {r('d / 1e6', '"Flow Duration"', 4)}, {r('total / greatest(d / 1e6, 1e-6)', '"Flow Packets/s"', 4)}, {big('total', 'packets')} FROM m""", "packets", recursive=True)
+  SELECT client, {r('d / 1e6 + 1e-9', '"Flow Duration"')}, {r('total / greatest(d / 1e6, 1e-6) + 1e-9', '"Flow Packets/s"')}, {big('total', 'packets')} FROM m""", "packets", recursive=True)
 def h20_sessions(spark, sf):
     """Features of sessionized flows, whose size is bounded by the close rules."""
     s = sessionize.sessionize(views.packets(spark, sf), LIMITS)
     f = _client(packets.flow_features(s, [*FLOW_KEY, "flow_id"], IDLE_SECONDS, chunk_seconds=None))
     total = F.col("`Total Fwd Packets`") + F.col("`Total Backward Packets`")
-    return plain(f.select("client", (F.col("`Flow Duration`") / 1e6).alias("Flow Duration"), "Flow Packets/s", total.cast("long").alias("packets")), 4)
+    return plain(f.select("client", (F.col("`Flow Duration`") / 1e6 + 1e-9).alias("Flow Duration"), (F.col("`Flow Packets/s`") + 1e-9).alias("Flow Packets/s"), total.cast("long").alias("packets")))
 
 
 TTL_DAYS = 200
