@@ -36,14 +36,18 @@ def value_chunk(value: Column | str, per_octave: int = 4096) -> Column:
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | str, values: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | str | None, values: dict[str, str]
 ) -> DataFrame:
     """Add the previous row's values within ``keys`` along ``order``.
 
     ``chunk`` (a column or the name of one) must not decrease along ``order``.
-    ``values`` maps new column names to the columns they lag.
+    ``values`` maps new column names to the columns they lag. Without a chunk the
+    key itself is the window, for keys known to be small.
     """
     keys, order = list(keys), list(order)
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({name: F.lag(source).over(whole) for name, source in values.items()})
     slot = chunk if isinstance(chunk, str) else "_chunk"
     packed = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     cut = (df if isinstance(chunk, str) else df.withColumn(slot, chunk)).withColumn("_packed", packed)

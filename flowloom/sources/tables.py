@@ -84,7 +84,8 @@ def read_flow_csvs(
             .option("encoding", "UTF-8" if encoding == "utf-8" else LATIN1)
         )
         rows = reader.csv(path).withColumn("source_file", F.col("_metadata.file_name"))
-        rows = rows.filter(F.col("source_file").isin(*files))
+        if len(groups) > 1:  # one layout needs no file list in the plan
+            rows = rows.filter(F.col("source_file").isin(*files))
         kept = [(i, n) for i, n in enumerate(names) if n != REPEATED_HEADER_COLUMN and (columns is None or n in columns)]
         parts.append(rows.select(*[F.col(f"c{i}").alias(n) for i, n in kept], "source_file"))
     if not parts:

@@ -161,6 +161,8 @@ def test_live_edges_expire_and_cap(spark):
     f = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, k long")
     got = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=7).orderBy("k").collect()
     assert [r.live_flow_count for r in got] == [0, 1, 2, 0, 0]
+    plain = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=None).orderBy("k").collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in got]
     held = spark.createDataFrame([("a", "b", 4, T0 - timedelta(seconds=9), T0 - timedelta(seconds=3))], "src_ip string, dst_ip string, flow_count long, first_seen timestamp, last_seen timestamp")
     more = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=7, carried=held).orderBy("k").collect()
     assert [r.live_flow_count for r in more] == [4, 5, 6, 0, 0]
