@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import net
 from flowloom.functions.labels import canonical_label, traffic_class, unknown_labels
-from flowloom.functions.parsing import number, timestamp
+from flowloom.functions.parsing import timestamp
 from flowloom.operators import clean, dashboard, graph, packets, profile, validate
 from flowloom.operators.autoencoder import impute_features
 from flowloom.plans import views

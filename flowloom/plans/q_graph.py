@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import components, graph
 from flowloom.operators.clean import clean_flows, within_window
 from flowloom.plans import views
-from flowloom.plans.oracle import EDGE_AGG, EDGE_OUT, big, n, r, ts
+from flowloom.plans.oracle import EDGE_AGG, EDGE_OUT, big, n, ts
 from flowloom.plans.registry import query
 from flowloom.plans.views import plain
 
