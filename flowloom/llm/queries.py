@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import oracle, op1_quality, op8_chat, op9_decontaminate
+from flowloom.llm import op1_quality, op4_neardedup, op8_chat, op9_decontaminate, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return op9_decontaminate.digest(op9_decontaminate.find_hits(docs, benchmark))
+
+
+@_register
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_neardedup.near_duplicates(_table(spark, sf_dir, "documents"))
