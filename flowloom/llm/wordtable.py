@@ -196,3 +196,31 @@ def window_hashes(hashes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.
             done += bit
         out[n] = acc[: max(0, len(hashes) - n + 1)]
     return out
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans in ascending order of their starts, slice by slice."""
+    out = np.zeros(len(starts), dtype=_U)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(starts, low + _SLICE))
+        high = int(ends[at:to].max())
+        sums, inverse = prefix_hash(buf[low:high])
+        out[at:to] = span_hash(sums, inverse, starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
+class HashRows:
+    """Row numbers of 64-bit hashes in a fixed table, -1 where absent."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted) or not len(hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
