@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from flowloom.llm.arrow import map_batches
 from flowloom.llm.sample import crc_fold, hash_share
 from flowloom.llm.wordtable import PUNCT, Group, HashRows, byte_class, groups, span_hashes
 
@@ -104,7 +105,7 @@ def _logs(hashes: np.ndarray, lang: np.ndarray, count: np.ndarray, total: np.nda
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS) -> Model | None:
     """The model of all languages in ``labelled``; None without labelled rows."""
     rows = hash_share(labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), "key", max_docs)
-    counted = _arrow(rows.select("text", "lang"), _count_batches, "kind int, hash long, lang string, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows.select("text", "lang"), _count_batches, StructType().add("kind", "integer").add("hash", "long").add("lang", "string").add("n", "long")).groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
     ranked = counted.groupBy("kind", "hash").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
     limits = {0: MAX_WORDS} | {n: MAX_GRAMS // LONGEST for n in range(1, LONGEST + 1)}
     best = [ranked.filter((F.col("kind") == k) & (F.col("all") >= 2)).orderBy(F.desc("all"), "hash").limit(most) for k, most in limits.items()]
@@ -172,22 +173,13 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model | None, col
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names, pa.string()), pa.array(score)], schema=schema)
 
 
-def _arrow(df: DataFrame, fn, out: StructType | str, *args) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = _parse_datatype_string(out) if isinstance(out, str) else out
-    schema = to_arrow_schema(kind)
-    return df.mapInArrow(lambda batches: fn(batches, *args, schema), kind)
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """``lang_pred`` and ``score`` for each row, beside the columns in ``keep``."""
     keep = keep or {}
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     out = StructType([*(rows.schema[n] for n in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _arrow(rows, _predict_shared, out, shared, list(keep))
+    return map_batches(rows, _predict_shared, out, shared, list(keep))
 
 
 def _predict_shared(batches: Iterator[pa.RecordBatch], shared, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

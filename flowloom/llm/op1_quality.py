@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from flowloom.llm.arrow import map_batches
 from flowloom.llm.wordtable import SPACE, Group, groups, window_hashes
 
 #: Share of characters that may lie inside repeated runs of n words.
@@ -123,18 +125,10 @@ def _batches(batches: Iterator[pa.RecordBatch], text: str, columns: list[str], s
 
 
 def _apply(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     out = StructType([docs.schema[c] for c in columns])
     for name, kind in _RESULT.items():
         out = out.add(name, kind)
-    arrow = to_arrow_schema(out)
-
-    def run(batches):
-        return _batches(batches, text, columns, arrow)
-
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, out)
+    return map_batches(docs.select(*dict.fromkeys([*columns, text])), _batches, out, text, columns)
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

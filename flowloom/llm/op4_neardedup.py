@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from flowloom.llm.arrow import map_batches
 from flowloom.llm.stored import stored
 from flowloom.llm.wordtable import PUNCT, Group, groups, mix, window_hashes
 from flowloom.operators.components import connected_components
@@ -144,13 +145,6 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> It
             yield pa.RecordBatch.from_arrays([pa.array([_node(g, k) for k in range(g.size)], pa.binary()), sets.cast(schema.field("runs").type)], schema=schema)
 
 
-def _arrow(df: DataFrame, fn, out: StructType) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(out)
-    return df.mapInArrow(lambda batches: fn(batches, schema), out)
-
-
 def _longs(name: str) -> StructField:
     return StructField(name, ArrayType(LongType(), False), True)
 
@@ -159,7 +153,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``(id, text_hash, node, bands)`` per row; ``node`` is null for a text without words."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     out = StructType([rows.schema["id"], StructField("text_hash", LongType()), StructField("node", BinaryType()), _longs("bands")])
-    return _arrow(rows, _sketch_batches, out)
+    return map_batches(rows, _sketch_batches, out)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,7 +192,7 @@ def near_links(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
     members = buckets.select("node").distinct()
     chosen = sketch.select("id", "text_hash", "node").join(members, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r")).select("r.*")
     texts = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text")).join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
-    sets = _arrow(texts.select("text"), _shingle_batches, StructType([StructField("node", BinaryType()), _longs("runs")]))
+    sets = map_batches(texts.select("text"), _shingle_batches, StructType([StructField("node", BinaryType()), _longs("runs")]))
     sets = stored(sets.dropDuplicates(["node"]), "sets")
 
     first = buckets.groupBy("node").agg(F.min("head").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op10_language, op4_neardedup, op8_chat, op9_decontaminate, oracle
+from flowloom.llm import op1_quality, op10_language, op4_neardedup, op5_toxicity, op8_chat, op9_decontaminate, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_language.identify(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op5_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
