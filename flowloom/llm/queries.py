@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op10_language, op4_neardedup, op5_toxicity, op8_chat, op9_decontaminate, oracle
+from flowloom.llm import op1_quality, op10_language, op4_neardedup, op5_toxicity, op6_tokenids, op8_chat, op9_decontaminate, oracle
+from flowloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op5_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
+    manifest = op6_tokenids.write_ids(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return op6_tokenids.read_digest(spark, manifest)
