@@ -11,9 +11,13 @@ Elements are runs of five words (words of letters and digits, A-Z lower-cased);
 shorter text is one element. With the production weight of one per distinct run
 the measure is plain Jaccard. Equal word sequences are one node from the start.
 Each node is compared exactly with the least node it shares a band with; then,
-round by round, buckets that still hold several classes are looked at: all pairs of
-different classes in buckets of up to ``SMALL_BUCKET`` nodes, each node with the
-least node of every other class in larger ones, until no new link turns up.
+turn by turn, buckets that still hold several classes are looked at: all pairs of
+different classes in buckets of up to ``SMALL_BUCKET`` nodes, and in larger ones each node
+with a leader from the largest class, another one each turn. Comparisons stay
+linear in the bucket rows however many copies a text has. The search ends when
+nothing is left to compare, or large buckets brought no link for ``IDLE_TURNS`` turns; a
+link could then be missed only if in every band that its two nodes share they lie
+in a large bucket and neither was a leader.
 
 Defined results: null texts and texts without words are classes of their own, row
 by row with equal ids together; rows with one id may hold different texts; the class id is the
@@ -43,7 +47,9 @@ SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio, so the test is exact
 COORDINATES = 256
 ROWS = 7  # 36 bands: a pair at 0.8 is met with probability 0.9998
-SMALL_BUCKET = 64
+SMALL_BUCKET = 16
+#: Turns without a new link that end the search in large buckets.
+IDLE_TURNS = 2
 
 _U = np.uint64
 _POISSON = np.array([int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 53)) for k in range(18)], dtype=np.int64)
@@ -168,19 +174,20 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(common * under >= (F.size("_a") + F.size("_b") - common) * over).select("a", "b")
 
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs still to compare, from buckets that hold several classes."""
+def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: int) -> DataFrame:
+    """Pairs still to compare, from buckets that hold several classes; at most as many as linear in their rows."""
     member = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    heads = member.groupBy("bucket", "component").agg(F.min("node").alias("head"), F.count("*").alias("n"))
-    mixed = heads.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
-    open_heads = heads.drop("n").join(mixed.select("bucket"), "bucket")
+    # a leader stands for its bucket in this turn; buckets share leaders, so a node meets few of them
+    ranked = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node")
+    heads = member.groupBy("bucket", "component").agg(F.min(ranked).alias("head"), F.count("*").alias("n"))
+    mixed = heads.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", F.col("head.rank"), F.col("head.node").alias("node"), "component")).alias("lead")).filter("k > 1")
     small = member.join(mixed.filter(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket")
     listed = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))  # SMALL_BUCKET at most
     each = listed.select("m", F.posexplode("m").alias("i", "x"))
-    within = each.select(F.col("x.node").alias("b"), F.explode(F.filter(F.slice("m", F.col("i") + 2, F.lit(SMALL_BUCKET)), lambda y: y["component"] != F.col("x.component"))["node"]).alias("a"))
-    large = member.join(mixed.filter(F.col("n") > SMALL_BUCKET).select("bucket"), "bucket").withColumnRenamed("component", "own")
-    across = large.join(open_heads, "bucket").filter("component <> own").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    return within.select("a", "b").union(across).distinct().join(done, ["a", "b"], "left_anti")
+    within = each.select(F.explode(F.filter(F.slice("m", F.col("i") + 2, F.lit(SMALL_BUCKET)), lambda y: y["component"] != F.col("x.component"))["node"]).alias("a"), F.col("x.node").alias("b"))
+    large = member.join(mixed.filter(F.col("n") > SMALL_BUCKET).select("bucket", "lead"), "bucket").filter(F.col("component") != F.col("lead.component"))
+    across = large.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))
+    return within.union(across).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def near_links(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,13 +205,16 @@ def near_links(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
     first = buckets.groupBy("node").agg(F.min("head").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
     tried = stored(first, "pairs")
     links = stored(_similar(tried, sets), "links")
-    while True:
+    idle = turn = 0
+    while idle < IDLE_TURNS:
         classes = connected_components(links, "a", "b")
-        pairs = stored(_open_pairs(buckets.select("bucket", "node"), classes, tried), "pairs")
+        pairs = stored(_open_pairs(buckets.select("bucket", "node"), classes, tried, turn), "pairs")
         found = stored(_similar(pairs, sets), "links")
-        if found.isEmpty():
-            return links
+        turn, idle = turn + 1, idle + 1 if found.isEmpty() else 0
+        if pairs.isEmpty():
+            break
         links, tried = links.union(found), tried.union(pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
