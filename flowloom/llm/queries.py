@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op10_language, op4_neardedup, op5_toxicity, op6_tokenids, op8_chat, op9_decontaminate, oracle
+from flowloom.llm import op1_quality, op2_html, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, oracle
 from flowloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
     manifest = op6_tokenids.write_ids(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return op6_tokenids.read_digest(spark, manifest)
+
+
+@_register
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_html.extract(_table(spark, sf_dir, "pages"))
+
+
+@_register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_license.scan(_table(spark, sf_dir, "documents")).drop("matches")
