@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op2_html, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, oracle
+from flowloom.llm import op1_quality, op2_html, op3_pieces, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, oracle
 from flowloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+@_register
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

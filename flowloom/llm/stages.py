@@ -1,18 +1,36 @@
-"""The operators as stages of a pipeline over ``documents``."""
+"""The operators as stages of a pipeline over ``documents``.
+
+Each takes ``(spark, docs, sf_dir)``; all but the last keep the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import op1_quality
+from flowloom.llm import op1_quality, op3_pieces, op4_neardedup, op9_decontaminate, op10_language
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language could be told."""
+    return op10_language.known_language(docs)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
     return op1_quality.quality_filter(docs)
 
 
-def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return op4_neardedup.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return op9_decontaminate.remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-drop_near_copies = decontaminate = encode_pieces = keep_known_language
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of what is left."""
+    return op3_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
