@@ -190,8 +190,8 @@ def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: i
     return within.union(across).distinct().join(done, ["a", "b"], "left_anti")
 
 
-def near_links(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified links ``(a, b)`` between nodes; their components are the classes."""
+def near_classes(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(node, component)`` of the nodes with a verified link."""
     nodes = sketch.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("bands").alias("bands"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
@@ -206,15 +206,17 @@ def near_links(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: st
     tried = stored(first, "pairs")
     links = stored(_similar(tried, sets), "links")
     idle = turn = 0
-    while idle < IDLE_TURNS:
-        classes = connected_components(links, "a", "b")
+    classes = stored(connected_components(links, "a", "b"), "classes")
+    while True:
         pairs = stored(_open_pairs(buckets.select("bucket", "node"), classes, tried, turn), "pairs")
         found = stored(_similar(pairs, sets), "links")
         turn, idle = turn + 1, idle + 1 if found.isEmpty() else 0
-        if pairs.isEmpty():
-            break
-        links, tried = links.union(found), tried.union(pairs)
-    return links
+        if idle == IDLE_TURNS or pairs.isEmpty():
+            return classes
+        tried = tried.union(pairs)
+        if not idle:  # the classes change with new links only
+            links = links.union(found)
+            classes = stored(connected_components(links, "a", "b"), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     sketch = stored(sketches(docs, key, text), "sketch")
-    classes = connected_components(near_links(sketch, docs, key, text), "a", "b")
+    classes = near_classes(sketch, docs, key, text)
     rows = sketch.drop("bands").join(classes, "node", "left")
     # a text without words stands for itself
     rows = rows.withColumn("class", F.coalesce(F.hex("component"), F.hex("node"), F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
