@@ -132,18 +132,20 @@ RESERVED = (
     "fe00::/9",
 )
 BROADCAST = "255.255.255.255"
-# Texts stored with a rejected target.
-REASON_MALFORMED = "'%s' is not a valid IP address"
-REASON_MULTICAST = "%s is a multicast address -- never a valid response target"
-REASON_UNSPECIFIED = "%s is the unspecified address -- never a valid response target"
-REASON_BROADCAST = "%s is the broadcast address -- never a valid response target"
-REASON_RESERVED = "%s is an IANA-reserved address -- never a valid response target"
-REASON_LOOPBACK = "%s is a loopback address, rejected by default -- set LAB_ALLOW_LOOPBACK_TARGET=true to permit this explicitly"
-REASON_OUTSIDE = "%s is outside the configured lab network scope (%s)"
-SCOPE_LOOPBACK = "loopback (LAB_ALLOW_LOOPBACK_TARGET=true)"
 # --- end of fixed values -----------------------------------------------------
 
 
+# Why a target is refused, in this engine's own words.
+REASON_MALFORMED = "'%s' cannot be read as an IP address"
+REASON_MULTICAST = "%s addresses a multicast group, no single host"
+REASON_UNSPECIFIED = "%s stands for no host"
+REASON_BROADCAST = "%s reaches every host of the network"
+REASON_RESERVED = "%s lies in a range reserved by IANA"
+REASON_LOOPBACK = "%s belongs to this host; pass allow_loopback to target it"
+REASON_OUTSIDE = "%s is in none of the lab networks (%s)"
+SCOPE_LOOPBACK = "loopback (allow_loopback)"
+
+
 def parse_cidrs(text: str) -> list[str]:
     """Networks of a comma-separated list; malformed entries are skipped."""
     found = []

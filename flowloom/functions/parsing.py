@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
-DAY_FIRST = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a", "d/M/yyyy")
-MONTH_FIRST = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy")
+DAY_FIRST, MONTH_FIRST = "d/M/yyyy", "M/d/yyyy"
 ISO = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+#: clock patterns by number of colons, without and with AM/PM
+CLOCKS = {0: (None, None), 1: ("H:mm", "h:mm a"), 2: ("H:mm:ss", "h:mm:ss a")}
 
 
 def _col(c: Column | str) -> Column:
@@ -32,12 +33,32 @@ def finite(value: Column | str) -> Column:
 def timestamp(text: Column | str, day_first: bool = True) -> Column:
     """NTZ timestamp of a mixed-format text.
 
-    The patterns are tried in order; with ``day_first`` an impossible day-first
-    date falls back to month-first, and the other way round.
+    The shape of the text (slashes, colons, AM/PM) names its pattern, so a value is
+    parsed once; with ``day_first`` an impossible day-first date falls back to
+    month-first, and the other way round.
     """
     t = F.trim(_col(text))
-    order = DAY_FIRST + ISO + MONTH_FIRST if day_first else MONTH_FIRST + ISO + DAY_FIRST
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in order]).cast("timestamp_ntz")
+    colons = F.length(t) - F.length(F.replace(t, F.lit(":")))
+    half_day = F.upper(F.right(t, F.lit(1))) == "M"
+    days = (DAY_FIRST, MONTH_FIRST) if day_first else (MONTH_FIRST, DAY_FIRST)
+
+    def either(clock: str | None) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(t, F.lit(f"{d} {clock}" if clock else d)) for d in days])
+
+    slashed, dashed = F.when(F.lit(False), F.lit(None).cast("timestamp")), F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for n, (plain, half) in CLOCKS.items():
+        if half:
+            slashed = slashed.when((colons == n) & half_day, either(half))
+        slashed = slashed.when(colons == n, either(plain))
+    for pattern in ISO:
+        shape = (colons == pattern.count(":")) & (F.contains(t, F.lit("T")) == F.lit("'T'" in pattern))
+        dashed = dashed.when(shape, F.try_to_timestamp(t, F.lit(pattern)))
+    return F.when(F.contains(t, F.lit("/")), slashed).otherwise(dashed).cast("timestamp_ntz")
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that the optimizer does not copy into each of their uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def micros(ts: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import canonical_label, traffic_class
 from flowloom.functions.net import is_valid_ip, is_valid_port
-from flowloom.functions.parsing import finite, number, timestamp
+from flowloom.functions.parsing import bind, finite, number, timestamp
 from flowloom.schemas import INF_DROP_LIMIT, TOPOLOGY_COLUMNS
 
 REJECT_REASONS = ("blank", "ip", "port", "timestamp")
@@ -39,7 +39,8 @@ def mark_rejects(raw: DataFrame, columns: Sequence[str] = TOPOLOGY_COLUMNS) -> D
     missing = [n for n in columns if n not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    parsed = raw.withColumn("_ts", timestamp("Timestamp"))
+    # the filter and the projection both use the time: it is parsed before them
+    parsed = bind(raw, _ts=timestamp("Timestamp"))
     return parsed.withColumn(
         "reject_reason",
         F.when(is_blank(columns), "blank")
@@ -151,18 +152,16 @@ def infinite_breakdown(df: DataFrame, columns: Sequence[str], by: str) -> DataFr
     return df.filter(test).groupBy(by).agg(F.count("*").alias("affected_rows")).orderBy(F.desc("affected_rows"), by)
 
 
-def handle_infinite(df: DataFrame, columns: Sequence[str], limit: float = INF_DROP_LIMIT) -> DataFrame:
-    """NULL the non-finite values; drop their rows only if few are affected.
+def split_infinite(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``(kept, quarantined)``: rows whose columns are all finite, and the others as they came.
 
-    The share is a scalar subquery over the same input: at most ``limit`` drops
-    the affected rows, above it every row stays for the caller to decide.
+    What becomes of the others is the caller's choice; ``infinite_stats`` gives their
+    share and ``stop_if_infinite`` is the rule that ends a run over it.
     """
-    nulled = infinite_to_null(df, columns)
-    missing = F.lit(False)
+    bad = F.lit(False)
     for c in columns:
-        missing = missing | F.col(f"`{c}`").isNull()
-    share = nulled.agg((F.count_if(missing) / F.count("*")).alias("share")).scalar()
-    return nulled.filter(~missing | (share > F.lit(limit)))
+        bad = bad | finite(F.col(f"`{c}`")).isNull()
+    return df.filter(~bad), df.filter(bad)
 
 
 def stop_if_infinite(df: DataFrame, columns: Sequence[str], limit: float = INF_DROP_LIMIT) -> None:

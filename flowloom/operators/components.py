@@ -31,7 +31,7 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return hooked.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_ip", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
     """``(node, component)`` with the smallest node name as component name.
 
     The minimum per node is a partial aggregate, so a hub costs one row per
@@ -43,15 +43,13 @@ def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_
     nodes = edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
     pairs = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     seen = None
-    for _ in range(max_rounds):
-        large = _large_star(pairs).filter("a <> b").distinct()
+    while True:
+        large = _large_star(pairs).filter("a <> b")
         pairs = _small_star(large).filter("a <> b").distinct().checkpoint()
         mark = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if seen == tuple(mark):
             break
         seen = tuple(mark)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     hooks = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.join(hooks, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 

@@ -1,158 +1,101 @@
-"""Exact k-nearest-neighbour classification as a partitioned join.
-
-Brute force would pair every query with every training row. Here training rows
-are cut into cells around pivots, and the triangle inequality tells which cells
-a query has to visit (Lu et al., "Efficient Processing of k Nearest Neighbor
-Joins using MapReduce", 2012). Cells are cut further into blocks of bounded size,
-so a cell holding a third of all rows is many tasks. Each block returns at most k
-neighbours per query. The result is exact: nothing is sampled or capped.
+"""Exact k-nearest-neighbour classification against a bounded set of labelled rows.
+
+The classifier is fitted on at most ``max_train_rows`` labelled rows (a documented
+bound; all of them where there are no more), so its matrix has a known size and is
+shipped to every task. Queries are mapped batch by batch where they lie: no query
+is shuffled, copied or paired with rows of another task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class KnnConfig:
     k: int = 5
-    pivots: int = 64
-    block_rows: int = 4096
+    max_train_rows: int = 200_000
+    max_matrix_bytes: int = 512 << 20
     seed: int = 42
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Fast Euclidean distances; only used with a safety margin."""
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
-
-
-def choose_pivots(train: DataFrame, vector: str, key: Column, cfg: KnnConfig) -> np.ndarray:
-    """A fixed number of training vectors in pseudo-random order (driver scalar)."""
-    shuffled = train.select(F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), key.cast("string"))).alias("h"), vector)
-    rows = shuffled.orderBy("h").limit(cfg.pivots).collect()
-    return np.array([r[vector] for r in rows], dtype=np.float64)
-
-
-def _cell_of(pivots: np.ndarray):
-    @F.pandas_udf("struct<cell:int,reach:double>")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        d = _distances(_stack(vectors), pivots)
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype(np.int32), "reach": d[np.arange(len(d)), cell]})
-
-    return assign
-
-
-def _visits(pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray, nearest: list[np.ndarray], k: int):
-    """Cells a query must visit, from the cell summaries."""
-    held = pivots[cells]
-
-    @F.pandas_udf("array<int>")
-    def visits(vectors: pd.Series) -> pd.Series:
-        d = _distances(_stack(vectors), held)
-        slack = 1e-6 * (1.0 + d.max(1, initial=0.0))
-        # k training rows are known to lie within d(q, pivot) + their own reach.
-        bounds = np.concatenate([d[:, [i]] + reach[None, :] for i, reach in enumerate(nearest)], axis=1)
-        limit = np.partition(bounds, k - 1, axis=1)[:, k - 1] if bounds.shape[1] >= k else np.full(len(d), np.inf)
-        keep = d - radii[None, :] <= (limit + slack)[:, None]
-        return pd.Series([cells[row].tolist() for row in keep])
-
-    return visits
+@dataclass(frozen=True)
+class LabelledRows:
+    """The fitted classifier: vectors, ids and labels in order of id."""
 
+    vectors: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
 
-def _block_neighbours(k: int):
-    def search(key, queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "train_id": [], "label": [], "distance": []}
-        if len(queries) and len(train):
-            t, t_ids, labels = _stack(train["vector"]), train["id"].to_numpy(), train["label"].to_numpy()
-            for at in range(0, len(queries), 512):
-                part = queries.iloc[at : at + 512]
-                q = _stack(part["vector"])
-                rough = _distances(q, t)
-                kth = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-                for i, qid in enumerate(part["id"].to_numpy()):
-                    near = np.flatnonzero(rough[i] <= kth[i] + 1e-5 * (1.0 + kth[i]))
-                    exact = np.sqrt(((t[near] - q[i]) ** 2).sum(1))
-                    for j in np.lexsort((t_ids[near], exact))[:k]:
-                        out["query_id"].append(qid)
-                        out["train_id"].append(t_ids[near[j]])
-                        out["label"].append(labels[near[j]])
-                        out["distance"].append(exact[j])
-        return pd.DataFrame(out)
 
-    return search
+def fit(train: DataFrame, vector: str, key: str, label: str, cfg: KnnConfig = KnnConfig()) -> LabelledRows:
+    """Collect the labelled rows, in pseudo-random order up to the bound."""
+    rows = train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"))
+    if train.count() > cfg.max_train_rows:
+        rows = rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), F.col("id").cast("string"))), "id").limit(cfg.max_train_rows)
+    table = rows.toArrow()
+    if not table.num_rows:
+        raise ValueError("no training rows")
+    flat = table["v"].combine_chunks()
+    width = len(flat[0])
+    if table.num_rows * width * 8 > cfg.max_matrix_bytes:
+        raise ValueError(f"the matrix of labelled rows is over {cfg.max_matrix_bytes} bytes; lower max_train_rows")
+    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, width)
+    return LabelledRows(matrix[order], table["id"].to_numpy()[order], table["y"].to_numpy()[order])
+
+
+def _search(q: np.ndarray, rows: LabelledRows, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and distances of the k nearest rows of each query, ties by id."""
+    t = rows.vectors
+    k = min(k, len(t))
+    rough = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2.0 * (q @ t.T)
+    # a few more than k by the fast formula, then exact distances decide
+    spare = min(len(t), k + 16)
+    near = np.sort(np.argpartition(rough, spare - 1, axis=1)[:, :spare], axis=1)
+    exact = np.sqrt(((t[near] - q[:, None, :]) ** 2).sum(2))
+    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    chosen, found = np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
+    limit = np.take_along_axis(rough, near, 1).max(axis=1)
+    slack = 1e-9 * (1.0 + np.abs(rough).max(axis=1))
+    unsure = np.flatnonzero((spare < len(t)) & (found[:, -1] ** 2 >= limit - slack))
+    for i in unsure:  # many equal distances: measure that query against all rows
+        d = np.sqrt(((t - q[i]) ** 2).sum(1))
+        chosen[i] = np.argsort(d, kind="stable")[:k]
+        found[i] = d[chosen[i]]
+    return chosen, found
 
 
 def nearest_neighbours(
-    train: DataFrame, queries: DataFrame, vector: str, key: str, label: str, cfg: KnnConfig = KnnConfig()
+    train: DataFrame, queries: DataFrame, vector: str, key: str, label: str, cfg: KnnConfig = KnnConfig(), keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(query_id, train_id, label, distance, rank)`` of the k nearest rows.
+    """``(query_id, *keep, train_id, label, distance, rank)`` of the k nearest rows.
 
-    ``key`` is a long id in both tables. The driver sees the pivots and one
-    summary row per cell, a fixed number of each.
+    ``key`` is a long id in both tables.
     """
-    pivots = choose_pivots(train, vector, F.col(key), cfg)
-    if not len(pivots):
-        raise ValueError("no training rows")
-    assign = _cell_of(pivots)
-    placed = train.select(
-        F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.col(label).cast("int").alias("label"),
-        assign(vector).alias("c"),
-    ).select("id", "vector", "label", "c.cell", "c.reach")
-    order = Window.partitionBy("cell").orderBy("reach", "id")
-    closest = (
-        placed.select("cell", "reach", "id")
-        .withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= cfg.k)
-        .groupBy("cell")
-        .agg(F.array_sort(F.collect_list("reach")).alias("nearest"))
-    )
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius"))
-    summary = sizes.join(closest, "cell").orderBy("cell").collect()
-    cells = np.array([r["cell"] for r in summary])
-    radii = np.array([r["radius"] for r in summary])
-    visits = _visits(pivots, cells, radii, [np.array(r["nearest"]) for r in summary], cfg.k)
-    blocks = {int(r["cell"]): -(-int(r["n"]) // cfg.block_rows) for r in summary}
-    block_map = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    routed = asked.select("id", "vector", F.explode(visits("vector")).alias("cell"))
-    routed_n = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    lots = {c: max(1, -(-int(routed_n.get(c, 0)) // cfg.block_rows)) for c in blocks}
-    lot_map = F.create_map(*[F.lit(x) for pair in lots.items() for x in pair])
-    # Every training block of a cell meets every query lot of the same cell.
-    left = routed.select(
-        "id",
-        "vector",
-        "cell",
-        F.pmod(F.xxhash64("id"), F.element_at(lot_map, F.col("cell"))).cast("int").alias("lot"),
-        F.explode(F.sequence(F.lit(0), F.element_at(block_map, F.col("cell")) - 1)).alias("block"),
-    )
-    right = placed.select(
-        "id",
-        "vector",
-        "label",
-        "cell",
-        F.pmod(F.xxhash64("id"), F.element_at(block_map, F.col("cell"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.element_at(lot_map, F.col("cell")) - 1)).alias("lot"),
-    )
-    keys = ("cell", "lot", "block")
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(_block_neighbours(cfg.k), "query_id long, train_id long, label int, distance double")
-    )
-    best = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.k)
+    shared = queries.sparkSession.sparkContext.broadcast(fit(train, vector, key, label, cfg))
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), *keep, F.col(vector).alias("_vector"))
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    schema = ", ".join([f"query_id long, {''.join(f'{c} {kinds[c]}, ' for c in keep)}train_id long", "label int", "distance double", "rank int"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = shared.value
+        step = max(1, (32 << 20) // (8 * len(rows.ids)))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                chosen, found = _search(np.stack([np.asarray(x, dtype=np.float64) for x in part["_vector"]]), rows, cfg.k)
+                k = chosen.shape[1]
+                out = part.drop(columns="_vector").loc[part.index.repeat(k)].reset_index(drop=True)
+                yield out.assign(train_id=rows.ids[chosen].ravel(), label=rows.labels[chosen].ravel(), distance=found.ravel(), rank=np.tile(np.arange(1, k + 1), len(part)))
+
+    return asked.mapInPandas(run, schema)
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

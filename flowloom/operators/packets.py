@@ -350,7 +350,10 @@ def flow_features(
     )
 
 
-def feature_quality(spark) -> DataFrame:
-    """Quality class per feature: A read directly, B approximated."""
-    rows = [(i, n, "B" if n in APPROXIMATED_FEATURES else "A") for i, n in enumerate(FLOW_FEATURES)]
-    return spark.createDataFrame(rows, "position int, feature string, quality string")
+def feature_quality(features: DataFrame) -> DataFrame:
+    """Per feature: its quality class (A read directly, B approximated) and how many flows hold a finite value."""
+    names = [c for c in FLOW_FEATURES if c in features.columns]
+    value = [F.col(f"`{c}`").cast("double") for c in names]
+    filled = features.agg(*[F.count_if(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).alias(f"n{i}") for i, v in enumerate(value)])
+    rows = [F.struct(F.lit(n).alias("feature"), F.lit("B" if n in APPROXIMATED_FEATURES else "A").alias("quality"), F.col(f"n{i}").alias("filled")) for i, n in enumerate(names)]
+    return filled.select(F.inline(F.array(*rows)))

@@ -233,15 +233,14 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def redundant_pairs(
-    df: DataFrame, columns: Sequence[str], key: Column, sample_rows: int = 200_000, least: float = 0.999, seed: int = 42
+    df: DataFrame, columns: Sequence[str], least: float = 0.999
 ) -> DataFrame:
-    """Near and exact copies among columns: candidates on a sample, proof on all rows.
+    """Near and exact copies among columns, found and proved on all rows.
 
     Only strong positive correlation makes a candidate. Equality is null-safe
     after NaN became NULL; the few candidate pairs are checked in one aggregate.
     """
-    sample = fixed_sample(df, key, sample_rows, seed)
-    candidates = [tuple(r) for r in correlation_pairs(sample, columns).filter(F.col("correlation") >= least).collect()]
+    candidates = [tuple(r) for r in correlation_pairs(df, columns).filter(F.col("correlation") >= least).collect()]
     schema = T.StructType(
         [
             T.StructField("left", T.StringType()),
@@ -343,11 +342,17 @@ def schema_consistency(headers: DataFrame) -> DataFrame:
     )
 
 
-def schema_difference(left: Sequence[str], right: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Stripped column names as shared, only left or only right."""
-    a, b = {c.strip() for c in left}, {c.strip() for c in right}
-    rows = [(c, "shared" if c in a & b else "only_left" if c in a else "only_right") for c in sorted(a | b)]
-    return spark.createDataFrame(rows, "column string, side string")
+def filled_columns(df: DataFrame) -> DataFrame:
+    """``(column, filled)``: stripped names of all columns and how many rows hold a value."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c.strip()).alias("column"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(df.columns)])))
+
+
+def schema_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Stripped column names as shared, only left or only right, with the filled rows of each side."""
+    a, b = filled_columns(left).withColumnRenamed("filled", "left_filled"), filled_columns(right).withColumnRenamed("filled", "right_filled")
+    side = F.when(F.col("right_filled").isNull(), "only_left").when(F.col("left_filled").isNull(), "only_right").otherwise("shared")
+    return a.join(b, "column", "full").select("column", side.alias("side"), "left_filled", "right_filled")
 
 
 def required_field_presence(headers: DataFrame, required: Sequence[str] = REQUIRED_TOPOLOGY_FIELDS) -> DataFrame:

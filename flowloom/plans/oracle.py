@@ -162,7 +162,7 @@ cte(
 cte(
     "sparse",
     "",
-    "SELECT DISTINCT 's' || l_suppkey AS src_ip, 'p' || l_partkey AS dst_ip FROM lineitem WHERE l_orderkey % 499 = 0",
+    "SELECT DISTINCT 'o' || l_orderkey AS src_ip, 'o' || (l_orderkey - l_orderkey % 8 + CASE WHEN l_linenumber = 4 AND l_partkey % 8 = 0 THEN 8 ELSE 0 END) AS dst_ip FROM lineitem",
 )
 cte(
     "context",

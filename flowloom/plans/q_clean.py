@@ -130,13 +130,14 @@ def b10_stats(spark, sf):
 
 @query(
     "b10_kept",
-    f"SELECT source_file, {n('', 'rows')} FROM stat_flows WHERE NOT {BAD} OR (SELECT avg(CASE WHEN {BAD} THEN 1.0 ELSE 0.0 END) FROM stat_flows) > 0.01 GROUP BY 1",
+    f"SELECT source_file, {n(f'NOT {BAD}', 'kept')}, {n(BAD, 'quarantined')} FROM stat_flows GROUP BY 1",
     "stat_flows",
 )
 def b10_kept(spark, sf):
-    """Affected rows are dropped only when they are at most one percent."""
-    kept = clean.handle_infinite(views.statistics_flows(spark, sf), RATES)
-    return plain(kept.groupBy("source_file").agg(F.count("*").alias("rows")))
+    """Finite rows kept and affected rows set aside, by file."""
+    kept, bad = clean.split_infinite(views.statistics_flows(spark, sf), RATES)
+    both = kept.select("source_file", F.lit(1).alias("k")).unionAll(bad.select("source_file", F.lit(0)))
+    return plain(both.groupBy("source_file").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("quarantined")))
 
 
 @query("b11", f"SELECT canonical_label, {n('', 'kept')} FROM stat_flows WHERE NOT {BAD} GROUP BY 1", "stat_flows")
@@ -316,12 +317,12 @@ TARGET_SQL = """CASE c_custkey % 10 WHEN 0 THEN '10.0.0.' || (c_custkey % 256) W
 @query(
     "b24",
     f"""SELECT ip, scope, reason, {n()} FROM (SELECT ip, CASE WHEN kind = 'inside' THEN net END AS scope, CASE kind
-        WHEN 'malformed' THEN '''' || t || ''' is not a valid IP address' WHEN 'multicast' THEN t || ' is a multicast address -- never a valid response target'
-        WHEN 'unspecified' THEN t || ' is the unspecified address -- never a valid response target'
-        WHEN 'broadcast' THEN t || ' is the broadcast address -- never a valid response target'
-        WHEN 'reserved' THEN t || ' is an IANA-reserved address -- never a valid response target'
-        WHEN 'loopback' THEN t || ' is a loopback address, rejected by default -- set LAB_ALLOW_LOOPBACK_TARGET=true to permit this explicitly'
-        WHEN 'outside' THEN t || ' is outside the configured lab network scope (10.0.0.0/25,192.168.56.0/24)' END AS reason
+        WHEN 'malformed' THEN '''' || t || ''' cannot be read as an IP address' WHEN 'multicast' THEN t || ' addresses a multicast group, no single host'
+        WHEN 'unspecified' THEN t || ' stands for no host'
+        WHEN 'broadcast' THEN t || ' reaches every host of the network'
+        WHEN 'reserved' THEN t || ' lies in a range reserved by IANA'
+        WHEN 'loopback' THEN t || ' belongs to this host; pass allow_loopback to target it'
+        WHEN 'outside' THEN t || ' is in none of the lab networks (10.0.0.0/25,192.168.56.0/24)' END AS reason
       FROM (SELECT *, CASE WHEN v BETWEEN 167772160 AND 167772287 THEN '10.0.0.0/25' WHEN v BETWEEN 3232249856 AND 3232250111 THEN '192.168.56.0/24' END AS net,
           CASE WHEN v IS NULL THEN 'malformed' WHEN v >= 3758096384 AND v < 4026531840 THEN 'multicast' WHEN v = 0 THEN 'unspecified'
             WHEN v = 4294967295 THEN 'broadcast' WHEN v >= 4026531840 THEN 'reserved' WHEN v BETWEEN 2130706432 AND 2147483647 THEN 'loopback'

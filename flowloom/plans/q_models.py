@@ -91,11 +91,9 @@ def j3(spark, sf):
 
 def raw_with_features(spark, sf):
     """Raw text rows with feature columns; every 71st order key has an infinite one."""
-    raw, f = views.raw_flows(spark, sf), views.flows(spark, sf)
-    text = [F.col(c).cast("string").alias(c) for c in FEATURES if c != "l_tax"]
-    tax = F.when(F.col("l_orderkey") % 71 == 0, "Infinity").otherwise(F.col("l_tax").cast("string")).alias("l_tax")
-    feats = f.select(F.col("event_id").alias("Flow ID"), *text, tax)
-    return raw.join(feats, "Flow ID", "left")
+    text = {c: F.col(c).cast("string") for c in FEATURES if c != "l_tax"}
+    tax = F.when(F.col("l_orderkey") % 71 == 0, "Infinity").otherwise(F.col("l_tax").cast("string"))
+    return views.raw_flows(spark, sf, **text, l_tax=tax)
 
 
 VALID = "l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0 AND l_orderkey % 83 <> 0"
@@ -155,8 +153,7 @@ def j5(spark, sf):
 def j5_neighbours(spark, sf):
     """The neighbours themselves."""
     train, asked = views.vectors(spark, sf)
-    cfg = knn.KnnConfig(pivots=16, block_rows=256)
-    return plain(knn.nearest_neighbours(train, asked, "embedding", "vec_id", "y", cfg).select("query_id", "train_id", "distance", "rank"))
+    return plain(knn.nearest_neighbours(train, asked, "embedding", "vec_id", "y").select("query_id", "train_id", "distance", "rank"))
 
 
 def areas_sql(source: str, y: str, s: str) -> str:

@@ -161,13 +161,12 @@ def h20(spark, sf):
     return _shown_features(f.select("client", *[F.col(f"`{x}`") for x in FLOW_FEATURES]))
 
 
-@query("h20_quality", f"""SELECT quality, {n('', 'features')} FROM (SELECT CASE WHEN f IN ('CWE Flag Count', 'Subflow Fwd Bytes', 'Subflow Bwd Bytes', 'min_seg_size_forward')
-    OR f LIKE 'Active %' OR f LIKE 'Idle %' THEN 'B' ELSE 'A' END AS quality FROM (SELECT unnest([{', '.join("'" + f + "'" for f in FLOW_FEATURES)}]) AS f), (SELECT 1 FROM events LIMIT 1)) GROUP BY 1""")
+@query("h20_quality", f"""SELECT quality, {n('', 'features')}, CAST(count(*) * (SELECT count(DISTINCT client) FROM packets) AS BIGINT) AS filled FROM (SELECT CASE WHEN f IN ('CWE Flag Count', 'Subflow Fwd Bytes', 'Subflow Bwd Bytes', 'min_seg_size_forward')
+    OR f LIKE 'Active %' OR f LIKE 'Idle %' THEN 'B' ELSE 'A' END AS quality FROM (SELECT unnest([{', '.join("'" + f + "'" for f in FLOW_FEATURES)}]) AS f)) GROUP BY 1""", "packets")
 def h20_quality(spark, sf):
-    """Quality class of the features that the packet table yields."""
-    names = packets.flow_features(views.packets(spark, sf)).columns
-    q = packets.feature_quality(spark).filter(F.col("feature").isin(*names))
-    return plain(q.groupBy("quality").agg(F.count("*").alias("features")))
+    """Quality class of the features, and how many flows of the packet table yield a value."""
+    q = packets.feature_quality(packets.flow_features(views.packets(spark, sf), idle_seconds=IDLE_SECONDS))
+    return plain(q.groupBy("quality").agg(F.count("*").alias("features"), F.sum("filled").alias("filled")))
 
 
 @query("h21", f"""SELECT CASE WHEN client < '192.168.10.50' THEN client ELSE '192.168.10.50' END AS lo_ip, CASE WHEN client < '192.168.10.50' THEN '192.168.10.50' ELSE client END AS hi_ip,

@@ -31,17 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
-
-    The supplied files have one row group each, which would leave all parsing
-    and scoring to one task. A table of cluster size has far more splits than
-    cores and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -78,7 +67,7 @@ def destination_ip() -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FLOW schema over lineitem, with the raw columns and a row id."""
-    return flows_from(spread(table(spark, sf_dir, "lineitem")))
+    return flows_from(table(spark, sf_dir, "lineitem"))
 
 
 def flows_from(lineitem: DataFrame) -> DataFrame:
@@ -101,8 +90,11 @@ def flows_from(lineitem: DataFrame) -> DataFrame:
     return labelled.withColumn("traffic_class", traffic_class("canonical_label"))
 
 
-def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows as raw text rows with faults: bad addresses, ports, times, bytes, blank rows."""
+def raw_flows(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """Flows as raw text rows with faults: bad addresses, ports, times, bytes, blank rows.
+
+    ``more`` are further text columns of the same rows; blank rows have none.
+    """
     f = flows(spark, sf_dir)
     k = F.col("l_orderkey")
     broken = f.select(
@@ -119,6 +111,7 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 79 == 0, "n/a").otherwise(_text(F.col("fwd_bytes").cast("long"))).alias("Total Length of Fwd Packets"),
         _text(F.col("bwd_bytes").cast("long")).alias("Total Length of Bwd Packets"),
         F.col("original_label").alias("Label"),
+        *[c.alias(n) for n, c in more.items()],
         "source_file",
     )
     blank = f.filter(k % 101 == 0).select(
@@ -145,7 +138,7 @@ def statistics_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets between clients (``user_id``) and one server over the events table."""
-    return packets_from(spread(table(spark, sf_dir, "events")))
+    return packets_from(table(spark, sf_dir, "events"))
 
 
 def packets_from(e: DataFrame) -> DataFrame:
@@ -186,10 +179,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thin supplier-part graph with many components."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 499 == 0)
-    return li.select(
-        F.concat(F.lit("s"), _text(F.col("l_suppkey"))).alias("src_ip"), F.concat(F.lit("p"), _text(F.col("l_partkey"))).alias("dst_ip")
+    """A thin graph of all line items with many components: orders around the first of their eight.
+
+    Some items tie their eight to the next, which makes chains of chance length.
+    """
+    order = F.col("l_orderkey")
+    first = order - order % 8
+    tied = (F.col("l_linenumber") == 4) & (F.col("l_partkey") % 8 == 0)
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), _text(order)).alias("src_ip"), F.concat(F.lit("o"), _text(F.when(tied, first + 8).otherwise(first))).alias("dst_ip")
     ).distinct()
 
 

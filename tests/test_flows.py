@@ -98,7 +98,7 @@ def test_target_scope_order(spark):
     rows = df.select("ip", net.target_scope("ip", cidrs).alias("s")).collect()
     assert {r.ip: r.s.scope for r in rows} == cases
     words = {r.ip: r.s.reason for r in rows}
-    assert "loopback" in words["127.0.0.1"] and "broadcast" in words["255.255.255.255"] and "not a valid" in words["x"]
+    assert "loopback" in words["127.0.0.1"] and "every host" in words["255.255.255.255"] and "cannot be read" in words["x"]
     allowed = df.filter("ip = '127.0.0.1'").select(net.target_scope("ip", cidrs, True).alias("s")).first().s
     assert allowed.scope.startswith("loopback") and allowed.reason is None
 
@@ -120,11 +120,12 @@ def test_dedup_and_infinite_guard(spark):
     cols = ("Flow Bytes/s", "Flow Packets/s")
     stats = clean.infinite_stats(df, cols).first()
     assert (stats["inf Flow Bytes/s"], stats["inf Flow Packets/s"], stats.affected_rows) == (2, 1, 3)
-    assert clean.handle_infinite(df, cols).count() == 5  # 60 percent affected: nothing is dropped
+    kept, bad = clean.split_infinite(df, cols)
+    assert (kept.count(), bad.count()) == (2, 3)
     with pytest.raises(RuntimeError):
         clean.stop_if_infinite(df, cols)
     many = spark.range(1000).select(F.when(F.col("id") == 0, inf).otherwise(1.0).alias("v"))
-    assert clean.handle_infinite(many, ["v"]).count() == 999
+    assert [x.count() for x in clean.split_infinite(many, ["v"])] == [999, 1]
 
 
 def test_split_is_exact_disjoint_and_covering(spark):
@@ -177,7 +178,7 @@ def test_redundant_and_constant_columns(spark):
     df = spark.range(500).select("id", F.rand(1).alias("a"), F.lit(3.0).alias("flat"), F.rand(2).alias("other"))
     df = df.withColumns({"copy": F.col("a"), "near": F.col("a") + F.when(F.col("id") == 7, 0.01).otherwise(0.0), "minus": -F.col("a")}).cache()
     cols = ["a", "copy", "near", "minus", "flat", "other"]
-    found = {(r.left, r.right): (r.kind, r.mismatch_count) for r in profile.redundant_pairs(df, cols, F.col("id")).collect()}
+    found = {(r.left, r.right): (r.kind, r.mismatch_count) for r in profile.redundant_pairs(df, cols).collect()}
     assert found == {("a", "copy"): ("exact", 0), ("a", "near"): ("near", 1), ("copy", "near"): ("near", 1)}
     assert [r.column for r in profile.variance_profile(df, cols).filter("zero_variance").collect()] == ["flat"]
 

@@ -119,13 +119,13 @@ def test_walk_is_the_same_in_any_batching():
             flow, start = flow + 1, None
 
 
-def test_knn_against_brute_force_with_a_hot_cell(spark):
+def test_knn_against_brute_force_with_many_equal_rows(spark):
     rng = np.random.default_rng(2)
     train = np.vstack([rng.normal(size=(150, 6)), np.tile(rng.normal(size=6), (80, 1)), rng.normal(5, 0.01, size=(70, 6))])
     ask = np.vstack([rng.normal(size=(30, 6)), train[:5], train[160:163]])
     t = spark.createDataFrame([(i, v.tolist(), int(i % 3 == 0)) for i, v in enumerate(train)], "id long, v array<double>, y int")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(ask)], "id long, v array<double>")
-    got = knn.nearest_neighbours(t, q, "v", "id", "y", knn.KnnConfig(pivots=9, block_rows=32))
+    got = knn.nearest_neighbours(t, q, "v", "id", "y", knn.KnnConfig())
     rows = {}
     for r in got.collect():
         rows.setdefault(r.query_id, []).append((r["rank"], r.train_id))
