@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import dashboard, metrics, runs
+from flowloom.operators import dashboard, runs
 from flowloom.plans import views
 from flowloom.plans.oracle import big, n, r, ts
 from flowloom.plans.q_risk import LATEST, edge_versions
@@ -116,36 +116,6 @@ def d45(spark, sf):
     return plain(counts)
 
 
-@query(
-    "d46",
-    f"""SELECT 'attacks_by_type' AS section, canonical_attack_label AS key, 'n' AS metric, CAST(count(*) AS VARCHAR) AS value FROM ev WHERE canonical_attack_label <> 'BENIGN' GROUP BY 2
-    UNION ALL SELECT 'risk_distribution', risk_level, 'n', CAST(count(*) AS VARCHAR) FROM risk GROUP BY 2
-    UNION ALL SELECT 'prevention_by_action', actual_action, 'n', CAST(count(*) AS VARCHAR) FROM act GROUP BY 2
-    UNION ALL (SELECT 'top_destinations', dst_ip, 'attack_flow_count', CAST(sum(attack_flow_count) AS VARCHAR) FROM edges GROUP BY 2 ORDER BY sum(attack_flow_count) DESC, 2 LIMIT 10)
-    UNION ALL SELECT 'graph', '', 'edge_count', CAST(count(*) AS VARCHAR) FROM edges
-    UNION ALL SELECT 'summary', '', 'total_events', CAST(count(*) AS VARCHAR) FROM ev""",
-    "ev risk act edges",
-)
-def d46(spark, sf):
-    """Security summary: all dashboard sections as one metric table."""
-    from flowloom.operators.graph import top_totals
-
-    events, _, risks = views.relational(spark, sf)
-    edges = views.edges(spark, sf)
-    parts = [
-        dashboard.metric_rows("attacks_by_type", dashboard.attacks_by_type(events), "attack_type"),
-        dashboard.metric_rows("risk_distribution", metrics.level_counts(risks), "risk_level"),
-        dashboard.metric_rows("prevention_by_action", dashboard.action_counts(views.actions(spark, sf)), "actual_action"),
-        dashboard.metric_rows("top_destinations", top_totals(edges, "dst_ip").select("ip", "attack_flow_count"), "ip"),
-        dashboard.metric_rows("graph", edges.agg(F.count("*").alias("edge_count"))),
-        dashboard.metric_rows("summary", events.agg(F.count("*").alias("total_events"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 LEVELS = ("Very Low", "Low", "Moderate", "High", "Critical")
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators import autoencoder, clean, context, knn, metrics, profile, scoring, split
+from flowloom.operators import autoencoder, clean, context, dashboard, knn, metrics, profile, scoring, split
 from flowloom.operators.autoencoder import Network
 from flowloom.plans import views
-from flowloom.plans.oracle import cte, factor_ctes, n, r
-from flowloom.plans.q_metrics import class_metrics_sql, cm, rates
-from flowloom.plans.q_sources import SPLIT_CTE
+from flowloom.plans.oracle import big, cte, factor_ctes, n, r, ts
+from flowloom.plans.q_metrics import HIST, class_metrics_sql, cm, rates
+from flowloom.plans.q_sources import SPLIT_CTE, scratch
 from flowloom.plans.registry import query
 from flowloom.plans.views import FEATURES, RISK, plain
 
@@ -253,3 +256,83 @@ def d50(spark, sf):
     return plain(a.unionAll(b.select(F.lit("knn").alias("model"), *cols)))
 
 
+
+
+# --- the security summary: every section of the report as one metric table ---
+def _cells(section: str, key: str, source: str, counts: tuple[str, ...] = (), doubles: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> str:
+    """``(section, key, metric, value)`` rows from the columns of a query."""
+    shown = [(c, f"CAST({c} AS VARCHAR)") for c in (*counts, *texts)] + [(c, f"printf('%.6f', {c})") for c in doubles]
+    names, values = ", ".join(f"'{c}'" for c, _ in shown), ", ".join(v for _, v in shown)
+    return f"SELECT '{section}' AS section, {key} AS key, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM ({source})"
+
+
+def _lines(section: str, df: DataFrame, key: str | None = None) -> DataFrame:
+    """The same from a DataFrame."""
+    shown = plain(df)
+    doubles = {c: F.format_string("%.6f", F.col(c)) for c, kind in shown.dtypes if kind == "double" and c != key}
+    return dashboard.metric_rows(section, shown.withColumns(doubles), key)
+
+
+_MODEL = (("tp", "tn", "fp", "fn"), ("precision", "recall", "f1", "false_positive_rate"))
+_RISK_STATS = f"SELECT {n()}, {r('avg(risk_score)', 'mean')}, {r('median(risk_score)', 'median')}, {r('stddev_samp(risk_score)', 'std')}, {r('min(risk_score)', 'min')}, {r('max(risk_score)', 'max')} FROM risk"
+_BINS = (r("lo + b.i * ((hi - lo) / 10)", "range_start"), r("lo + (b.i + 1) * ((hi - lo) / 10)", "range_end"))
+_SUMMARY = f"""SELECT {big('(SELECT count(*) FROM ev)', 'total_events')}, {big('(SELECT count(*) FROM det WHERE is_anomaly)', 'active_threats')},
+  {big('(SELECT count(*) FROM risk WHERE risk_score >= 7.0)', 'high_risk_events')}, {big('(SELECT count(*) FROM det WHERE is_anomaly)', 'anomaly_count')},
+  {big("(SELECT count(*) FROM ev WHERE traffic_class = 'BENIGN')", 'benign_count')}, {ts('(SELECT max(created_at) FROM ev)', 'last_ingested_at')}, 'operational' AS system_health"""
+_LIVE = f"""SELECT {big("(SELECT count(*) FROM ev WHERE source = 'live')", 'total_live_events')},
+  {big("(SELECT count(*) FROM det d JOIN ev e ON e.id = d.event_id WHERE e.source = 'live' AND d.is_anomaly)", 'detected_anomalies')},
+  {big("(SELECT count(*) FROM act a JOIN ev e ON e.id = a.event_id WHERE e.source = 'live' AND a.actual_action = 'alerted')", 'alerts')},
+  {big("(SELECT count(*) FROM act a JOIN ev e ON e.id = a.event_id WHERE e.source = 'live' AND a.actual_action IN ('blocked', 'would_block'))", 'threats_prevented_or_would_block')},
+  {r("(SELECT avg(x.risk_score) FROM risk x JOIN ev e ON e.id = x.event_id WHERE e.source = 'live')", 'average_risk_score')}"""
+REPORT = " UNION ALL ".join(
+    [
+        _cells("summary", "''", _SUMMARY, ("total_events", "active_threats", "high_risk_events", "anomaly_count", "benign_count"), (), ("last_ingested_at", "system_health")),
+        _cells("dataset", "traffic_class", f"SELECT traffic_class, {n()} FROM ev GROUP BY 1", ("n",)),
+        _cells("live_statistics", "''", _LIVE, ("total_live_events", "detected_anomalies", "alerts", "threats_prevented_or_would_block"), ("average_risk_score",)),
+        _cells("events_by_source", "source", f"SELECT source, {n()} FROM ev GROUP BY 1", ("n",)),
+        _cells("attacks_by_type", "attack_type", f"SELECT canonical_attack_label AS attack_type, {n()} FROM ev WHERE canonical_attack_label <> 'BENIGN' GROUP BY 1", ("n",)),
+        _cells("timeline", "bucket", f"SELECT {ts('bucket')}, {n('', 'event_count')}, {n('attack', 'attack_count')} FROM (SELECT date_trunc('hour', timestamp) AS bucket, traffic_class = 'ATTACK' AS attack FROM ev) GROUP BY bucket", ("event_count", "attack_count")),
+        _cells("risk_distribution", "risk_level", f"SELECT risk_level, {n()} FROM risk GROUP BY 1", ("n",)),
+        _cells("risk_summary", "''", _RISK_STATS, ("n",), ("mean", "median", "std", "min", "max")),
+        _cells("anomaly_histogram", "CAST(bin AS VARCHAR)", HIST.format(*_BINS, "SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM det", "(SELECT anomaly_score AS v FROM det)"), ("n",), ("range_start", "range_end")),
+        _cells("risk_histogram", "CAST(bin AS VARCHAR)", HIST.format(*_BINS, "SELECT 1.0::DOUBLE AS lo, 10.0::DOUBLE AS hi", "(SELECT risk_score AS v FROM risk)"), ("n",), ("range_start", "range_end")),
+        _cells("prevention_by_action", "actual_action", f"SELECT actual_action, {n()} FROM act GROUP BY 1", ("n",)),
+        _cells("graph", "''", f"SELECT {big('(SELECT count(*) FROM nodes)', 'node_count')}, {big('count(*)', 'edge_count')}, {big('sum(flow_count)', 'flow_count')} FROM edges", ("node_count", "edge_count", "flow_count")),
+        _cells("top_destinations", "ip", f"SELECT dst_ip AS ip, {big('sum(attack_flow_count)', 'attack_flow_count')} FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", ("attack_flow_count",)),
+        _cells("model_metrics", "model", _model_row("autoencoder", "test_errs", f"s >= {LIMIT}", "y"), *_MODEL),
+        _cells("model_metrics", "model", _model_row("knn", "votes", "p > 0.5", "truth = 1"), *_MODEL),
+    ]
+)
+
+
+@query("d46", REPORT, "ev det risk act edges nodes test_errs votes")
+def d46(spark, sf):
+    """Security summary: all sections of the report as one metric table, from tables written once."""
+    from flowloom.operators.graph import build_nodes, top_totals
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, f"d46-{name}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    events, detections, risks = (written(t, name) for t, name in zip(views.relational(spark, sf), ("events", "detections", "risks")))
+    acts, edges = written(views.actions(spark, sf), "actions"), written(views.edges(spark, sf), "edges")
+    size = edges.agg(F.count("*").alias("edge_count"), F.sum("flow_count").alias("flow_count"))
+    nodes = build_nodes(edges).agg(F.count("*").alias("n")).scalar()
+    parts = [
+        _lines("summary", dashboard.summary(events, detections, risks)),
+        _lines("dataset", events.groupBy("traffic_class").agg(F.count("*").alias("n")), "traffic_class"),
+        _lines("live_statistics", dashboard.live_statistics(events, detections, risks, acts)),
+        _lines("events_by_source", events.groupBy("source").agg(F.count("*").alias("n")), "source"),
+        _lines("attacks_by_type", dashboard.attacks_by_type(events), "attack_type"),
+        _lines("timeline", dashboard.timeline(events), "bucket"),
+        _lines("risk_distribution", metrics.level_counts(risks), "risk_level"),
+        _lines("risk_summary", metrics.score_summary(risks)),
+        _lines("anomaly_histogram", metrics.histogram(detections, "anomaly_score"), "bin"),
+        _lines("risk_histogram", metrics.histogram(risks, "risk_score", 10, 1.0, 10.0), "bin"),
+        _lines("prevention_by_action", dashboard.action_counts(acts), "actual_action"),
+        _lines("graph", size.withColumn("node_count", nodes)),
+        _lines("top_destinations", top_totals(edges, "dst_ip").select("ip", "attack_flow_count"), "ip"),
+        _lines("model_metrics", d50(spark, sf), "model"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
