@@ -93,7 +93,7 @@ class Network:
 class TrainingConfig:
     dims: tuple[int, ...] = (67, 32, 16)
     learning_rate: float = 1e-3
-    batch_size: int = 1024
+    steps_per_epoch: int = 8
     max_epochs: int = 100
     patience: int = 10
     seed: int = 42
@@ -110,31 +110,39 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return pdf.to_numpy(dtype=np.float64)
 
 
-def fit(train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: TrainingConfig) -> TrainingResult:
+def fit(train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: TrainingConfig, start: Network | None = None) -> TrainingResult:
     """Fit on benign rows; stop when the benign validation loss stalls.
 
-    One Spark job per epoch: every partition runs Adam over its own minibatches
-    from the shared state, then the states are averaged by rows on the executors
-    and only the averaged vector returns. With one partition this is plain Adam.
-    A lost executor only repeats its partitions.
+    Adam with synchronous steps: a hash of its values and the epoch deals every row to one of
+    ``steps_per_epoch`` steps, each step is one Spark job that sums the gradient over
+    its rows, and only that sum returns. How the rows are partitioned does not
+    matter, and a lost executor repeats only its part of one step.
     """
-    network = Network.start(cfg.dims, cfg.seed)
-    shapes, size = network.shapes, network.flat().size
-    state = np.concatenate([network.flat(), np.zeros(2 * size)])
-    steps = 0
+    network = start or Network.start(cfg.dims, cfg.seed)
+    shapes, w = network.shapes, network.flat()
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     best, best_loss, waited = network, float("inf"), 0
     result = TrainingResult(network)
-    # Read once per epoch: kept on the executors, recomputed where one is lost.
+    # Read once per step: kept on the executors, recomputed where one is lost.
     rows = train.select(*[F.col(f"`{c}`").cast("double") for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     held = validation.select(*[F.col(f"`{c}`").cast("double") for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     for epoch in range(1, cfg.max_epochs + 1):
-        update = _epoch(rows, state, steps, shapes, cfg, epoch)
-        if update is None:
+        seen, loss_sum = 0.0, 0.0
+        for step in range(cfg.steps_per_epoch):
+            dealt = F.pmod(F.xxhash64(F.lit(cfg.seed + epoch), *rows.columns), F.lit(cfg.steps_per_epoch)) == step
+            got = _gradient(rows.filter(dealt), Network.from_flat(w, shapes))
+            if got is None:
+                continue
+            n, loss, g = got
+            seen, loss_sum, t = seen + n, loss_sum + loss, t + 1
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g * g
+            w = w - cfg.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if not seen:
             raise ValueError("no training rows")
-        state, train_loss, steps = update
-        network = Network.from_flat(state[:size], shapes)
+        network = Network.from_flat(w, shapes)
         loss = held.transform(add_error(network, features)).agg(F.avg(ERROR_COLUMN)).first()[0]
-        result.history.append({"epoch": epoch, "train_loss": train_loss, "val_loss": loss})
+        result.history.append({"epoch": epoch, "train_loss": loss_sum / seen, "val_loss": loss})
         if loss is not None and loss < best_loss:
             best, best_loss, waited, result.best_epoch = network, loss, 0, epoch
         else:
@@ -147,35 +155,25 @@ def fit(train: DataFrame, validation: DataFrame, features: Sequence[str], cfg: T
     return result
 
 
-def _epoch(rows: DataFrame, state: np.ndarray, steps: int, shapes, cfg: TrainingConfig, epoch: int):
-    size = len(state) // 3
+def _gradient(rows: DataFrame, network: Network) -> tuple[float, float, np.ndarray] | None:
+    """``(rows, summed loss, mean gradient)``; what returns has the size of the weights."""
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, m, v = (state[i * size : (i + 1) * size].copy() for i in range(3))
-        seen, loss_sum, t = 0, 0.0, steps
-        rng = np.random.default_rng(cfg.seed + epoch)
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for pdf in batches:
-            x = _matrix(pdf)
-            x = x[rng.permutation(len(x))]
-            for at in range(0, len(x), cfg.batch_size):
-                part = x[at : at + cfg.batch_size]
-                loss, g = Network.from_flat(w, shapes).gradient(part)
-                t += 1
-                m = 0.9 * m + 0.1 * g
-                v = 0.999 * v + 0.001 * g * g
-                w = w - cfg.learning_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-                seen += len(part)
-                loss_sum += loss * len(part)
-        if seen:
-            vector = np.concatenate([w, m, v, [loss_sum / seen, float(t)]])
-            yield pd.DataFrame({"position": np.arange(len(vector)), "value": vector, "n": float(seen)})
-
-    parts = rows.mapInPandas(learn, "position long, value double, n double")
-    mean = parts.groupBy("position").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
-    table = mean.toPandas().sort_values("position")["value"].to_numpy()  # fixed size: three times the weights
+            for at in range(0, len(pdf), 4096):
+                x = _matrix(pdf.iloc[at : at + 4096])
+                loss, g = network.gradient(x)
+                part = np.concatenate([g, [loss, 1.0]]) * len(x)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"position": np.arange(len(total)), "value": total})
+
+    parts = rows.mapInPandas(sums, "position long, value double").groupBy("position").agg(F.sum("value").alias("value"))
+    table = parts.toPandas().sort_values("position")["value"].to_numpy()
     if not len(table):
         return None
-    return table[: 3 * size], float(table[3 * size]), int(round(table[3 * size + 1]))
+    return float(table[-1]), float(table[-2]), table[:-2] / table[-1]
 
 
 def add_error(network: Network, features: Sequence[str], column: str = ERROR_COLUMN):

@@ -67,11 +67,21 @@ def j1(spark, sf):
     rows = split.stratified_split(views.flows(spark, sf), "canonical_label", F.col("event_id"))
     scaler = profile.scaler_table(rows.filter("split = 'train'"), FEATURES)
     ready = profile.scale_columns(clean.benign_training_rows(rows), scaler, FEATURES).select("split", *FEATURES)
-    cfg = autoencoder.TrainingConfig(dims=(5, 4, 2), max_epochs=3, batch_size=256, learning_rate=5e-3)
+    cfg = autoencoder.TrainingConfig(dims=(5, 4, 2), max_epochs=3, learning_rate=5e-3)
     result = autoencoder.fit(ready.filter("split = 'train'"), ready.filter("split = 'val'"), FEATURES, cfg)
     return spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"]) for h in result.history], "epoch long, train_loss double, val_loss double")
 
 
+@query("j1_start", f"SELECT CAST(1 AS BIGINT) AS epoch, {r('avg(err)', 'train_loss')} FROM errs WHERE canonical_label = 'BENIGN'", "errs")
+def j1_start(spark, sf):
+    """The loss that the first full step of a fit measures, from a network that SQL can repeat."""
+    flows = views.flows(spark, sf).drop("anomaly_score")
+    benign = profile.scale_columns(clean.benign_training_rows(flows), fitted_scaler(flows), FEATURES).select(*FEATURES)
+    cfg = autoencoder.TrainingConfig(dims=(5, 3, 2), max_epochs=1, steps_per_epoch=1)
+    history = autoencoder.fit(benign, benign, FEATURES, cfg, fixed_network()).history
+    return plain(spark.createDataFrame([(h["epoch"], h["train_loss"]) for h in history], "epoch long, train_loss double"))
+
+
 @query("j2", f"SELECT event_id, {r('err', 'anomaly_score')} FROM errs", "errs")
 def j2(spark, sf):
     """Reconstruction error per row, through the vectorised function."""

@@ -149,9 +149,11 @@ def test_network_gradient_and_fit(spark):
         assert grad[i] == pytest.approx(numeric, abs=1e-6)
     data = np.random.default_rng(1).normal(size=(400, 1)) @ np.ones((1, 4)) + np.random.default_rng(2).normal(scale=0.05, size=(400, 4))
     df = spark.createDataFrame(pd.DataFrame(data, columns=list("abcd"))).repartition(3)
-    cfg = autoencoder.TrainingConfig(dims=(4, 3, 2), batch_size=32, max_epochs=6, learning_rate=0.02)
+    cfg = autoencoder.TrainingConfig(dims=(4, 3, 2), max_epochs=6, learning_rate=0.02)
     result = autoencoder.fit(df, df, list("abcd"), cfg)
     assert result.history[-1]["val_loss"] < result.history[0]["val_loss"]
+    again = autoencoder.fit(df.repartition(7), df, list("abcd"), cfg)  # the partitions do not matter
+    assert np.allclose(again.network.flat(), result.network.flat())
     same = autoencoder.Network.from_json(result.network.to_json())
     assert np.allclose(same.errors(x), result.network.errors(x))
 
