@@ -31,9 +31,16 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return hooked.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
+def _within(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df if tasks is None else df.coalesce(tasks)
+
+
+def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_ip", tasks: int | None = None) -> DataFrame:
     """``(node, component)`` with the smallest node name as component name.
 
+    ``tasks`` bounds the tasks of a step, for callers that know how many edges there
+    are; without it the session's shuffle partitions hold.
+
     The minimum per node is a partial aggregate, so a hub costs one row per
     task; joining it back is an equi-join on the hub with one row on the small
     side, which the adaptive skew join splits. Lineage is cut every round in the
@@ -44,8 +51,8 @@ def connected_components(edges: DataFrame, src: str = "src_ip", dst: str = "dst_
     pairs = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     seen = None
     while True:
-        large = _large_star(pairs).filter("a <> b")
-        pairs = _small_star(large).filter("a <> b").distinct().checkpoint()
+        large = _within(_large_star(pairs).filter("a <> b"), tasks)
+        pairs = _within(_small_star(large).filter("a <> b").distinct(), tasks).checkpoint()
         mark = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if seen == tuple(mark):
             break
