@@ -26,6 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from flowloom.llm.arrow import map_batches
 from flowloom.llm.sample import crc_fold, hash_share
+from flowloom.llm.stored import stored
 from flowloom.llm.wordtable import PUNCT, Group, HashRows, byte_class, groups, span_hashes
 
 MAX_DOCS = 20_000
@@ -107,8 +108,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = hash_share(labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), "key", max_docs)
     counted = map_batches(rows.select("text", "lang"), _count_batches, StructType().add("kind", "integer").add("hash", "long").add("lang", "string").add("n", "long")).groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
     ranked = counted.groupBy("kind", "hash").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    ranked = stored(ranked.filter("all >= 2"), "grams")  # six selections read it
     limits = {0: MAX_WORDS} | {n: MAX_GRAMS // LONGEST for n in range(1, LONGEST + 1)}
-    best = [ranked.filter((F.col("kind") == k) & (F.col("all") >= 2)).orderBy(F.desc("all"), "hash").limit(most) for k, most in limits.items()]
+    best = [ranked.filter(F.col("kind") == k).orderBy(F.desc("all"), "hash").limit(most) for k, most in limits.items()]
     table = best[0]
     for other in best[1:]:
         table = table.union(other)

@@ -13,11 +13,11 @@ the measure is plain Jaccard. Equal word sequences are one node from the start.
 Each node is compared exactly with the least node it shares a band with; then,
 turn by turn, buckets that still hold several classes are looked at: all pairs of
 different classes in buckets of up to ``SMALL_BUCKET`` nodes, and in larger ones each node
-with a leader from the largest class, another one each turn. Comparisons stay
-linear in the bucket rows however many copies a text has. The search ends when
-nothing is left to compare, or large buckets brought no link for ``IDLE_TURNS`` turns; a
-link could then be missed only if in every band that its two nodes share they lie
-in a large bucket and neither was a leader.
+with leaders from the largest class, others each turn. Comparisons stay linear in
+the bucket rows however many copies a text has. The search ends when nothing is left
+to compare, or ``LEADERS`` new leaders in every large bucket bring no link; a link
+could then be missed only if in every band that its two nodes share they lie in a
+large bucket and neither was a leader.
 
 Defined results: null texts and texts without words are classes of their own, row
 by row with equal ids together; rows with one id may hold different texts; the class id is the
@@ -48,8 +48,10 @@ SIMILARITY = (4, 5)  # 0.8 as a ratio, so the test is exact
 COORDINATES = 256
 ROWS = 7  # 36 bands: a pair at 0.8 is met with probability 0.9998
 SMALL_BUCKET = 16
-#: Turns without a new link that end the search in large buckets.
-IDLE_TURNS = 2
+#: Leaders of a large bucket in each turn after the first, which takes one.
+LEADERS = 8
+#: Links that one task takes when classes are found.
+LINKS_PER_TASK = 250_000
 
 _U = np.uint64
 _POISSON = np.array([int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 53)) for k in range(18)], dtype=np.int64)
@@ -175,21 +177,27 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: int) -> DataFrame:
-    """Pairs still to compare, from buckets that hold several classes; at most as many as linear in their rows."""
+    """Pairs still to compare, from buckets that hold several classes; linear in their rows."""
     member = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    # a leader stands for its bucket in this turn; buckets share leaders, so a node meets few of them
-    ranked = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node")
-    heads = member.groupBy("bucket", "component").agg(F.min(ranked).alias("head"), F.count("*").alias("n"))
-    mixed = heads.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", F.col("head.rank"), F.col("head.node").alias("node"), "component")).alias("lead")).filter("k > 1")
+    # leaders stand for their bucket in this turn; buckets share leaders, so a node meets few of them
+    rank = F.xxhash64(F.lit(turn), "node")
+    ranked, leaders = F.struct(rank.alias("rank"), "node"), LEADERS if turn else 1
+    chosen = F.array_compact(F.array(*[F.min(F.when(F.pmod(rank, F.lit(leaders)) == i, ranked))["node"] for i in range(leaders)]))
+    heads = member.groupBy("bucket", "component").agg(chosen.alias("heads"), F.count("*").alias("n"))
+    mixed = heads.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "component", "heads")).alias("lead")).filter("k > 1")
     small = member.join(mixed.filter(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket")
     listed = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))  # SMALL_BUCKET at most
     each = listed.select("m", F.posexplode("m").alias("i", "x"))
     within = each.select(F.explode(F.filter(F.slice("m", F.col("i") + 2, F.lit(SMALL_BUCKET)), lambda y: y["component"] != F.col("x.component"))["node"]).alias("a"), F.col("x.node").alias("b"))
     large = member.join(mixed.filter(F.col("n") > SMALL_BUCKET).select("bucket", "lead"), "bucket").filter(F.col("component") != F.col("lead.component"))
-    across = large.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))
+    across = large.select("node", F.explode("lead.heads").alias("head")).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
     return within.union(across).distinct().join(done, ["a", "b"], "left_anti")
 
 
+def _classes(links: DataFrame) -> DataFrame:
+    return stored(connected_components(links, "a", "b", 1 + links.count() // LINKS_PER_TASK), "classes")
+
+
 def near_classes(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(node, component)`` of the nodes with a verified link."""
     nodes = sketch.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("bands").alias("bands"))
@@ -205,18 +213,17 @@ def near_classes(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     first = buckets.groupBy("node").agg(F.min("head").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
     tried = stored(first, "pairs")
     links = stored(_similar(tried, sets), "links")
-    idle = turn = 0
-    classes = stored(connected_components(links, "a", "b"), "classes")
+    turn, classes = 0, _classes(links)
     while True:
         pairs = stored(_open_pairs(buckets.select("bucket", "node"), classes, tried, turn), "pairs")
         found = stored(_similar(pairs, sets), "links")
-        turn, idle = turn + 1, idle + 1 if found.isEmpty() else 0
-        if idle == IDLE_TURNS or pairs.isEmpty():
+        nothing = found.isEmpty()
+        if nothing and turn or pairs.isEmpty():
             return classes
-        tried = tried.union(pairs)
-        if not idle:  # the classes change with new links only
+        turn, tried = turn + 1, tried.union(pairs)
+        if not nothing:  # the classes change with new links only
             links = links.union(found)
-            classes = stored(connected_components(links, "a", "b"), "classes")
+            classes = _classes(links)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
