@@ -123,38 +123,47 @@ def mean_std_threshold(benign: DataFrame, error: str, k: float = 3.0) -> DataFra
     return benign.agg((F.avg(error) + F.lit(float(k)) * F.stddev_pop(error)).alias("threshold"))
 
 
-def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Score with the largest TPR - FPR, the highest one on ties.
+def curve_thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``(roc, pr)`` from one curve.
 
-    NULL when no score beats 0, where an infinite threshold would be best.
+    ``roc``: the score with the largest TPR - FPR, the highest one on ties; NULL when no
+    score beats 0, where an infinite threshold would be best. ``pr``: the score with
+    the largest F1, the lowest one on ties.
     """
-    j = _d("tp") / _d("positives") - _d("fp") / _d("negatives")
-    best = score_curve(df, label, score).select("score", F.round(j, 12).alias("j"))
-    top = best.agg(F.max_by(F.struct("score", "j"), F.struct("j", "score")).alias("b"))
-    return top.select(F.when(F.col("b.j") > 0, F.col("b.score")).alias("threshold"))
+    j = F.round(_d("tp") / _d("positives") - _d("fp") / _d("negatives"), 12)
+    f1 = F.round(2.0 * _d("tp") / (_d("tp") + _d("fp") + _d("positives")), 12)
+    points = score_curve(df, label, score).select("score", j.alias("j"), f1.alias("f1"))
+    best = points.agg(
+        F.max_by(F.struct("score", "j"), F.struct("j", "score")).alias("b"), F.max_by("score", F.struct(F.col("f1"), -F.col("score"))).alias("pr")
+    )
+    return best.select(F.when(F.col("b.j") > 0, F.col("b.score")).alias("roc"), "pr")
+
+
+def roc_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Score with the largest TPR - FPR."""
+    return curve_thresholds(df, label, score).select(F.col("roc").alias("threshold"))
 
 
 def f1_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Score with the largest F1, the lowest one on ties."""
-    f1 = 2.0 * _d("tp") / (_d("tp") + _d("fp") + _d("positives"))
-    best = score_curve(df, label, score).select("score", F.round(f1, 12).alias("f1"))
-    return best.agg(F.max_by("score", F.struct(F.col("f1"), -F.col("score"))).alias("threshold"))
+    """Score with the largest F1."""
+    return curve_thresholds(df, label, score).select(F.col("pr").alias("threshold"))
 
 
 def compare_thresholds(df: DataFrame, label: str, score: str, percentile: float = 95.0, k: float = 3.0) -> DataFrame:
     """The four strategies with their metrics.
 
-    The four thresholds are scalar subqueries; all four confusion matrices come
-    from one pass over the scores.
+    The thresholds are scalar subqueries, both curve ones from one curve; all four
+    confusion matrices come from one pass over the scores.
     """
     benign = df.filter(F.col(label) != 1)
+    both = curve_thresholds(df, label, score).select(F.struct("roc", "pr").alias("c")).scalar()
     limits = {
-        "percentile": percentile_threshold(benign, score, percentile),
-        "mean_std": mean_std_threshold(benign, score, k),
-        "roc": roc_threshold(df, label, score),
-        "pr": f1_threshold(df, label, score),
+        "percentile": percentile_threshold(benign, score, percentile).scalar(),
+        "mean_std": mean_std_threshold(benign, score, k).scalar(),
+        "roc": both["roc"],
+        "pr": both["pr"],
     }
-    options = F.array(*[F.struct(F.lit(n).alias("strategy"), t.scalar().alias("threshold")) for n, t in limits.items()])
+    options = F.array(*[F.struct(F.lit(n).alias("strategy"), t.alias("threshold")) for n, t in limits.items()])
     rows = df.select((F.col(label) == 1).alias("_y"), _d(score).alias("_s"), F.explode(options).alias("o"))
     counted = rows.groupBy(F.col("o.strategy").alias("strategy"), F.col("o.threshold").alias("threshold")).agg(
         *confusion(F.col("_y"), F.coalesce(F.col("_s") >= F.col("o.threshold"), F.lit(False)))

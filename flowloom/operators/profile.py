@@ -142,12 +142,15 @@ def topology_issues(raw: DataFrame, file_column: str = "source_file", examples:
             ]
         )
     )
-    found = (
-        raw.select(file_column, F.explode(fails).alias("f"))
+    # a mark per row counts the rows in the same pass
+    mark = F.array(F.struct(F.lit("").alias("check"), F.lit("").alias("value")))
+    counted = (
+        raw.select(file_column, F.explode(F.concat(mark, fails)).alias("f"))
         .groupBy(file_column, "f.check", "f.value")
         .agg(F.count("*").alias("n"))
     )
-    sizes = raw.groupBy(file_column).agg(F.count("*").alias("rows"))
+    found = counted.filter(F.col("check") != "")
+    sizes = counted.filter(F.col("check") == "").select(file_column, F.col("n").alias("rows"))
     order = Window.partitionBy(file_column, "check").orderBy("value")
     sample = (
         found.withColumn("_r", F.row_number().over(order))
