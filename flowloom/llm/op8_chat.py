@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.parsing import bind
+
 START, END = "<|im_start|>", "<|im_end|>"
 _END_LINE = r"<\|im_end\|>\n"
 
@@ -98,7 +100,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Counts and hashes of conversations, read back from their formatted texts."""
-    back = formatted.withColumn("_t", parse(F.col("formatted")))
+    back = bind(formatted, _t=parse(F.col("formatted")))  # parsed once, not once a masked turn
     loss = F.array_join(F.transform("loss_turns", lambda n: F.element_at("_t", n)["text"]), "")
     joined = F.array_join(F.transform("_t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.withColumn("_loss", loss).select(

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.parsing import bind
+
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
 #: From this share of hit words on a document goes whole; below it the spans go.
@@ -64,7 +66,7 @@ def _run_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
 
 def window_table(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(item, len, words, key)`` of the distinct windows of all items."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), normal_words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
+    items = bind(benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("_text")), _words=normal_words(F.col("_text"))).filter(F.size("_words") > 0)
     n = F.size("_words")
     length = F.least(n, F.lit(window))
     starts = F.sequence(F.lit(1), n - length + 1)
@@ -123,11 +125,18 @@ def digest(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def _without(text: Column, hits: Column) -> Column:
-    """The text without its hit words and what stands before each of them."""
+def _pieces(text: Column) -> Column:
+    """Each word with what stands before it, and the rest of the text."""
     words, between = F.regexp_extract_all(text, F.lit(_WORD), 0), F.split(text, _WORD, -1)
-    kept = F.transform(words, lambda w, i: F.when(F.array_contains(hits, i), F.lit("")).otherwise(F.concat(F.get(between, i), w)))
-    return F.concat(F.array_join(kept, ""), F.get(between, F.size(words)))
+    return F.zip_with(between, words, lambda b, w: F.concat(b, F.coalesce(w, F.lit(""))))
+
+
+def _without(pieces: Column, hits: Column) -> Column:
+    """The pieces that are not hit, put together; linear in the text."""
+    before = F.concat(F.array(F.lit(-1)), hits)
+    after = F.concat(hits, F.array(F.size(pieces)))
+    runs = F.filter(F.zip_with(before, after, lambda a, b: F.struct((a + 2).alias("start"), (b - a - 1).alias("n"))), lambda r: r["n"] > 0)
+    return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(pieces, r["start"], r["n"]))), "")
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", drop_share: float = DROP_SHARE) -> DataFrame:
@@ -139,5 +148,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     hits = find_hits(docs, benchmark, key, text).filter(F.size("hits") > 0).select(F.col(key).alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_words").alias("_n"), F.col("hits").alias("_hits"))
     met = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_own")).join(hits, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     met = met.filter(F.col("_hits").isNull() | (F.size("_hits") < drop_share * F.col("_n")))
-    cut = F.when(F.col("_hits").isNull(), F.col("_row")[text]).otherwise(_without(F.col("_row")[text], F.col("_hits")))
+    # bound first: a lambda would split the text again for every run
+    met = bind(met, _pieces=F.when(F.col("_hits").isNotNull(), _pieces(F.col("_row")[text])), _sorted=F.array_sort("_hits"))
+    cut = F.when(F.col("_hits").isNull(), F.col("_row")[text]).otherwise(_without(F.col("_pieces"), F.col("_sorted")))
     return met.select(*[(cut if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])
