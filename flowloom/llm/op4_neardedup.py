@@ -13,11 +13,12 @@ the measure is plain Jaccard. Equal word sequences are one node from the start.
 Each node is compared exactly with the least node it shares a band with; then,
 turn by turn, buckets that still hold several classes are looked at: all pairs of
 different classes in buckets of up to ``SMALL_BUCKET`` nodes, and in larger ones each node
-with leaders from the largest class, others each turn. Comparisons stay linear in
-the bucket rows however many copies a text has. The search ends when nothing is left
-to compare, or ``LEADERS`` new leaders in every large bucket bring no link; a link
-could then be missed only if in every band that its two nodes share they lie in a
-large bucket and neither was a leader.
+with leaders from the largest class, others each turn. The leaders only make classes
+grow early. What the turns leave is settled exactly: large buckets that still hold several
+classes are put together to families where they share nodes, and all pairs of different
+classes of a family are compared (``_settled``), in blocks of bounded size that are dealt
+to tasks. Rows stay linear in a family times its number of blocks, links in its nodes;
+the comparisons outside its largest class are as many as its pairs.
 
 Defined results: null texts and texts without words are classes of their own, row
 by row with equal ids together; rows with one id may hold different texts; the class id is the
@@ -52,6 +53,13 @@ SMALL_BUCKET = 16
 LEADERS = 8
 #: Links that one task takes when classes are found.
 LINKS_PER_TASK = 250_000
+#: Runs in a block of a family; a text counts for at least ``TEXT_COST`` of them.
+BLOCK_RUNS = 500_000
+TEXT_COST = 50
+#: Texts of a block that are counted at once, run columns of one matrix, and meetings listed at once.
+STEP, COLUMNS, MEETINGS = 256, 1024, 2_000_000
+#: A matrix cell costs this small part of a listed meeting.
+CELL = 200
 
 _U = np.uint64
 _POISSON = np.array([int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 53)) for k in range(18)], dtype=np.int64)
@@ -194,6 +202,125 @@ def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: i
     return within.union(across).distinct().join(done, ["a", "b"], "left_anti")
 
 
+def _common(row: np.ndarray, col: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of common columns of ``left`` rows, some at a time, with all ``right`` rows.
+
+    Columns of many rows are counted by matrix products, others by listing where they meet.
+    """
+    n_cols = int(col.max(initial=-1)) + 1
+    place = np.full(int(row.max(initial=-1)) + 1, -1)
+    place[right] = np.arange(len(right))
+    own = place[row] >= 0
+    by_col = np.argsort(col[own], kind="stable")
+    r_row, r_col = place[row[own]][by_col], col[own][by_col]
+    n_right = np.bincount(r_col, minlength=n_cols)
+    start = np.concatenate([[0], np.cumsum(n_right)])
+    place[:] = -1
+    place[left] = np.arange(len(left))
+    own = place[row] >= 0
+    by_row = np.argsort(place[row[own]], kind="stable")
+    l_row, l_col = place[row[own]][by_row], col[own][by_row]
+    dense = np.bincount(l_col, minlength=n_cols) * n_right * CELL >= len(left) * len(right)
+    number = np.cumsum(dense) - 1
+    for first in range(0, len(left), STEP):
+        m = min(STEP, len(left) - first)
+        a, b = np.searchsorted(l_row, [first, first + m])
+        x, c = l_row[a:b] - first, l_col[a:b]
+        common = np.zeros((m, len(right)))
+        for low in range(0, int(dense.sum()), COLUMNS):
+            now = dense & (number >= low) & (number < low + COLUMNS)
+            here, (f, t) = now[c], np.searchsorted(r_col, np.flatnonzero(now)[[0, -1]] + [0, 1])
+            there = f + np.flatnonzero(now[r_col[f:t]])
+            one, other = np.zeros((m, COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            one[x[here], number[c[here]] - low] = 1
+            other[r_row[there], number[r_col[there]] - low] = 1
+            common += one @ other.T
+        x, c = x[~dense[c]], c[~dense[c]]
+        ends = np.cumsum(n_right[c])
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, MEETINGS), side="right")
+        for f, t in zip(cuts, [*cuts[1:], len(c)]):
+            n = n_right[c[f:t]]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            meets = np.repeat(x[f:t], n) * len(right) + r_row[np.repeat(start[c[f:t]], n) + inner]
+            common += np.bincount(meets, minlength=common.size).reshape(common.shape)
+        yield np.arange(first, first + m), common.astype(np.int64)
+
+
+def block_links(runs: np.ndarray, bounds: np.ndarray, is_left: np.ndarray, is_right: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs of a left and a right set that join all components which such pairs join.
+
+    Set k holds the distinct ``runs[bounds[k] : bounds[k + 1]]``. All pairs count but
+    those in which runs that only one side holds rule a set out.
+    """
+    over, under = SIMILARITY
+    size, both = np.diff(bounds), bool((is_left & is_right).any())
+    row = np.repeat(np.arange(len(size)), size)
+    col = np.unique(runs, return_inverse=True)[1]
+    while True:
+        n_left, n_right = (np.bincount(col, weights=side[row], minlength=int(col.max(initial=0)) + 1) for side in (is_left, is_right))
+        met = (n_left >= 2 if both else (n_left > 0) & (n_right > 0))[col]
+        able = np.bincount(row[met], minlength=len(size)) * under >= size * over
+        keep = met & able[row]
+        if keep.all():
+            break
+        row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
+    have = np.bincount(row, minlength=len(size)) > 0
+    left, right = np.flatnonzero(have & is_left), np.flatnonzero(have & is_right)
+    root = {}
+
+    def top(k: int) -> int:
+        while k in root:
+            k = root[k]
+        return k
+
+    links, now = [], component.copy()
+    for part, common in _common(row, col, left, right):
+        i = left[part]
+        open_ = (common * (under + over) >= (size[i][:, None] + size[right][None]) * over) & (now[i][:, None] != now[right][None])
+        for p, q in zip(*(k.tolist() for k in np.nonzero(open_))):
+            a, b = top(int(component[i[p]])), top(int(component[right[q]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((int(i[p]), int(right[q])))
+        now = np.array([top(int(k)) for k in component])
+    return links
+
+
+def _block_table(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    at = {name: table.column(name).combine_chunks() for name in table.column_names}
+    block, sets = at["block"].to_numpy(), at["runs"]
+    bounds = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+    component = at["component"].dictionary_encode().indices.to_numpy()
+    links = block_links(sets.flatten().to_numpy(), bounds, block == at["low"][0].as_py(), block == at["high"][0].as_py(), component)
+    a, b = (at["node"].take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def _settled(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links that join what can be joined in large buckets of several classes; None without such buckets."""
+    member = buckets.join(classes, "node", "left").select("bucket", "head", "node", F.coalesce("component", "node").alias("component"))
+    mixed = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
+    rows = stored(member.join(mixed.filter((F.col("n") > SMALL_BUCKET) & (F.col("c") != F.col("d"))).select("bucket"), "bucket").select("head", "node", "component").distinct(), "mixed")
+    n = rows.count()
+    if n == 0:
+        return None
+    family = connected_components(rows.select("head", "node"), "head", "node", 1 + n // LINKS_PER_TASK).withColumnRenamed("component", "family")
+    cost = sets.select("node", F.greatest(F.size("runs"), F.lit(TEXT_COST)).cast("long").alias("cost"))
+    nodes = stored(rows.select("node", "component").distinct().join(family, "node").join(cost, "node"), "families")
+    # the largest class of a family is not compared within itself
+    by_class = nodes.groupBy("family", "component").agg(F.sum("cost").alias("cost"))
+    by_family = by_class.groupBy("family").agg(F.sum("cost").alias("cost"), F.max(F.struct("cost", "component")).alias("lead"))
+    blocks = lambda cost: F.ceil(cost / BLOCK_RUNS).cast("int")
+    dealt = by_family.select("family", F.col("lead.component").alias("lead"), blocks(F.col("cost") - F.col("lead.cost")).alias("rest"), blocks(F.col("lead.cost")).alias("leads"))
+    turn, led = F.xxhash64("node"), F.col("component") == F.col("lead")
+    placed = nodes.join(dealt, "family").select("family", "node", "component", F.when(led, F.col("rest") + F.pmod(turn, "leads")).otherwise(F.pmod(turn, "rest")).cast("int").alias("block"), (F.when(led, F.col("rest")).otherwise(F.col("rest") + F.col("leads")) - 1).alias("last"))
+    full = placed.join(sets, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    pairs = full.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "runs")
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
+    return stored(pairs.groupBy("family", "low", "high").applyInArrow(_block_table, out), "links")
+
+
 def _classes(links: DataFrame) -> DataFrame:
     return stored(connected_components(links, "a", "b", 1 + links.count() // LINKS_PER_TASK), "classes")
 
@@ -219,7 +346,8 @@ def near_classes(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text:
         found = stored(_similar(pairs, sets), "links")
         nothing = found.isEmpty()
         if nothing and turn or pairs.isEmpty():
-            return classes
+            settled = _settled(buckets, classes, sets)
+            return classes if settled is None or settled.isEmpty() else _classes(links.union(settled))
         turn, tried = turn + 1, tried.union(pairs)
         if not nothing:  # the classes change with new links only
             links = links.union(found)

@@ -111,3 +111,76 @@ def test_signature_does_not_depend_on_neighbours():
     alone = op.dart_signatures(np.zeros(50, np.int64), names, 1)
     both = op.dart_signatures(np.repeat([0, 1], [50, 3]), np.concatenate([names, names[:3]]), 2)
     assert (alone[0] == both[0]).all()
+
+
+def matrix_classes(sets):
+    """Row number -> least row number of its class, for one large family."""
+    held = defaultdict(list)
+    for i, s in enumerate(sets):
+        for r in s:
+            held[r].append(i)
+    shared = [rows for rows in held.values() if len(rows) > 1]
+    m = np.zeros((len(sets), len(shared)), np.float32)
+    for k, rows in enumerate(shared):
+        m[rows, k] = 1
+    common, size = (m @ m.T).astype(int), np.array([len(s) for s in sets])
+    alike = 5 * common >= 4 * (size[:, None] + size[None] - common)
+    root = np.arange(len(sets))
+    while True:
+        low = np.where(alike, root[None], len(sets)).min(axis=1)
+        low = np.minimum(low, root)
+        if (low == root).all():
+            return root.tolist()
+        root = low
+
+
+def sparse_family(n, seed=5):
+    """Texts of one page form, few of them near copies of each other."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(5))
+    base, out = [word() for _ in range(150)], []
+    for _ in range(n):
+        near = out and rng.random() < 0.1
+        copy = rng.choice(out).split() if near else list(base)
+        for _ in range(1 if near else 3):
+            copy[rng.randrange(len(copy))] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def test_sparse_family_matches_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_RUNS", 40_000)  # several blocks
+    texts = sparse_family(2000)
+    want = matrix_classes([runs(t) for t in texts])
+    assert 1000 < len(set(want)) < 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in op.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("cell, meetings", [(200, 50), (10**9, 50), (0, 1000)])
+def test_block_links_match_all_pairs(monkeypatch, cell, meetings):
+    for name, value in (("CELL", cell), ("MEETINGS", meetings), ("STEP", 7), ("COLUMNS", 5)):
+        monkeypatch.setattr(op, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = []
+    for _ in range(80):
+        kept = base[rng.random(60) < rng.choice([0.85, 0.9, 0.95])]
+        sets.append(np.concatenate([kept, rng.integers(0, 1 << 60, rng.integers(0, 5))]))
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for split in (None, 30):
+        left = np.ones(80, bool) if split is None else np.arange(80) < split
+        right = np.ones(80, bool) if split is None else ~left
+        links = op.block_links(np.concatenate(sets), bounds, left, right, np.arange(80))
+        alike = {(i, j) for i in np.flatnonzero(left) for j in np.flatnonzero(right) if i != j and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+        assert alike and set(links) <= alike
+
+        def joined(pairs):
+            root = list(range(80))
+            for _ in range(80):
+                for i, j in pairs:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        assert joined(links) == joined(alike)
