@@ -10,15 +10,16 @@ coordinates, so a signature costs about ``t ln t`` darts whatever the set holds.
 Elements are runs of five words (words of letters and digits, A-Z lower-cased); a
 shorter text is one element. With the production weight of one per distinct run
 the measure is plain Jaccard. Equal word sequences are one node from the start.
-Each node is compared exactly with the least node it shares a band with; then,
-turn by turn, buckets that still hold several classes are looked at: all pairs of
-different classes in buckets of up to ``SMALL_BUCKET`` nodes, and in larger ones each node
-with leaders from the largest class, others each turn. The leaders only make classes
-grow early. What the turns leave is settled exactly: large buckets that still hold several
-classes are put together to families where they share nodes, and all pairs of different
-classes of a family are compared (``_settled``), in blocks of bounded size that are dealt
-to tasks. Rows stay linear in a family times its number of blocks, links in its nodes;
-the comparisons outside its largest class are as many as its pairs.
+Each node is compared exactly with the least node it shares a band with. Then, in
+buckets that still hold several classes, all pairs of different classes of buckets of up to
+``SMALL_BUCKET`` nodes are compared, and in larger ones each node with ``LEADERS`` nodes of
+the largest class, which only makes classes grow. Large buckets that after that still hold
+several classes are put together to families where they share nodes, and all pairs of
+different classes of a family are compared (``_settled``), in blocks of bounded size that
+are dealt to tasks. So a bucket ends when its pairs of different classes are compared or
+ruled out, whatever other buckets bring. Rows stay linear in a family times its number of
+blocks, links in its nodes; the comparisons outside its largest class are as many as its
+pairs.
 
 Defined results: null texts and texts without words are classes of their own, row
 by row with equal ids together; rows with one id may hold different texts; the class id is the
@@ -49,7 +50,7 @@ SIMILARITY = (4, 5)  # 0.8 as a ratio, so the test is exact
 COORDINATES = 256
 ROWS = 7  # 36 bands: a pair at 0.8 is met with probability 0.9998
 SMALL_BUCKET = 16
-#: Leaders of a large bucket in each turn after the first, which takes one.
+#: Leaders of a large bucket before all its pairs are compared.
 LEADERS = 8
 #: Links that one task takes when classes are found.
 LINKS_PER_TASK = 250_000
@@ -184,13 +185,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(common * under >= (F.size("_a") + F.size("_b") - common) * over).select("a", "b")
 
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: int) -> DataFrame:
+def _open_pairs(buckets: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs still to compare, from buckets that hold several classes; linear in their rows."""
     member = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    # leaders stand for their bucket in this turn; buckets share leaders, so a node meets few of them
-    rank = F.xxhash64(F.lit(turn), "node")
-    ranked, leaders = F.struct(rank.alias("rank"), "node"), LEADERS if turn else 1
-    chosen = F.array_compact(F.array(*[F.min(F.when(F.pmod(rank, F.lit(leaders)) == i, ranked))["node"] for i in range(leaders)]))
+    # buckets share leaders, so a node meets few of them
+    rank = F.xxhash64("node")
+    ranked = F.struct(rank.alias("rank"), "node")
+    chosen = F.array_compact(F.array(*[F.min(F.when(F.pmod(rank, F.lit(LEADERS)) == i, ranked))["node"] for i in range(LEADERS)]))
     heads = member.groupBy("bucket", "component").agg(chosen.alias("heads"), F.count("*").alias("n"))
     mixed = heads.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "component", "heads")).alias("lead")).filter("k > 1")
     small = member.join(mixed.filter(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket")
@@ -340,18 +341,13 @@ def near_classes(sketch: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     first = buckets.groupBy("node").agg(F.min("head").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
     tried = stored(first, "pairs")
     links = stored(_similar(tried, sets), "links")
-    turn, classes = 0, _classes(links)
-    while True:
-        pairs = stored(_open_pairs(buckets.select("bucket", "node"), classes, tried, turn), "pairs")
-        found = stored(_similar(pairs, sets), "links")
-        nothing = found.isEmpty()
-        if nothing and turn or pairs.isEmpty():
-            settled = _settled(buckets, classes, sets)
-            return classes if settled is None or settled.isEmpty() else _classes(links.union(settled))
-        turn, tried = turn + 1, tried.union(pairs)
-        if not nothing:  # the classes change with new links only
-            links = links.union(found)
-            classes = _classes(links)
+    classes = _classes(links)
+    found = stored(_similar(stored(_open_pairs(buckets.select("bucket", "node"), classes, tried), "pairs"), sets), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        classes = _classes(links)
+    settled = _settled(buckets, classes, sets)
+    return classes if settled is None or settled.isEmpty() else _classes(links.union(settled))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -184,3 +184,15 @@ def test_block_links_match_all_pairs(monkeypatch, cell, meetings):
             return root
 
         assert joined(links) == joined(alike)
+
+
+def test_family_does_not_depend_on_other_texts(spark):
+    texts = sparse_family(1000, seed=8)
+    rng = random.Random(9)
+    own = [" ".join(rng.choices("abcdefghij", k=40)) for _ in range(20)]
+    others = [f"{t} {e}" for t in own for e in ("", "u", "v", "u v")]
+    want = matrix_classes([runs(t) for t in texts])
+    for more in ([], others):
+        docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.class_id for r in op.near_duplicates(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
