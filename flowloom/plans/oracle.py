@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from flowloom.functions.net import REASON_OUTSIDE
+from flowloom.plans.views import POLICY
+
+#: The text that the response policy gives to a target outside its networks.
+OUTSIDE = "'" + REASON_OUTSIDE % ("' || src_ip || '", POLICY.lab_cidrs) + "'"
+
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
@@ -262,14 +268,14 @@ cte(
 cte(
     "act",
     "scored",
-    """
+    f"""
   SELECT event_id AS id, event_id, src_ip AS source_ip, risk_score, risk_level,
     CASE WHEN risk_score >= 6.0 THEN 'block' ELSE 'alert' END AS requested_action,
     CASE WHEN risk_score < 6.0 THEN 'alerted' WHEN inside THEN 'would_block' ELSE 'rejected' END AS actual_action,
     risk_score >= 6.0 AS dry_run, risk_score < 6.0 OR inside AS success,
     CASE WHEN risk_score < 6.0 THEN 'risk_score ' || printf('%.2f', risk_score) || ' crossed alert threshold 4.0'
          WHEN inside THEN 'Dry-run: would block ' || src_ip || ' (risk_score ' || printf('%.2f', risk_score) || ' crossed block threshold 6.0)'
-         ELSE src_ip || ' is outside the configured lab network scope (10.0.0.0/27,192.168.56.0/24)' END AS reason,
+         ELSE {OUTSIDE} END AS reason,
     'lab' AS adapter, CASE WHEN risk_score >= 6.0 AND inside THEN '10.0.0.0/27' END AS target_scope, created_at
   FROM (SELECT *, l_suppkey < 32 AS inside FROM scored) WHERE risk_score >= 4.0""",
 )

@@ -21,7 +21,7 @@ from flowloom.sources.tables import scored_fan_out
 
 THRESHOLD = 0.05
 RISK = RiskConfig(anomaly_threshold=THRESHOLD, attack_activity_scale=10.0, temporal_scale_hours=40_000.0)
-POLICY = PolicyConfig(alert_threshold=4.0, block_threshold=6.0, lab_cidrs="10.0.0.0/27,192.168.56.0/24")
+POLICY = PolicyConfig(alert_threshold=4.0, block_threshold=6.0, lab_cidrs="10.0.0.0/27,192.168.56.0/24")  # suppliers below 32
 # Events of one client are hours apart, so the close rules are stretched.
 LIMITS = SessionLimits(idle_seconds=86_400.0, max_duration_seconds=129_600.0, max_packets=6)
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
