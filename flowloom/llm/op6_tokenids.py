@@ -30,6 +30,7 @@ from flowloom.llm.arrow import map_batches
 from flowloom.llm.eliasfano import EliasFano, encode
 from flowloom.llm.stored import stored
 from flowloom.llm.wordbpe import encoder
+from flowloom.llm.wordtable import text_runs
 
 END_ID = 1
 MAGIC = b"EFTOKEN1"
@@ -51,22 +52,18 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: st
         return
     system, root = filesystem(folder)
     words = encoder(tokenizer)
-    end = np.array([end_id], dtype=words.width).tobytes()
     shard = TaskContext.get().partitionId()
     path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
     ends, keys, nulls, tokens = [np.zeros(1, np.int64)], [], 0, 0
-    width = len(end)
+    width = np.dtype(words.width).itemsize
     system.create_dir(root, recursive=True)
     with system.open_output_stream(path, buffer_size=1 << 20) as out:
         for batch in (b for part in ([first], batches) for b in part):
-            text, sizes = batch.column("text"), np.zeros(batch.num_rows, np.int64)
-            for i in range(batch.num_rows):
-                ids = words.encode(text[i].as_py() or "")
-                out.write(ids)
-                out.write(end)
-                sizes[i] = len(ids) // width + 1
-            ends.append(tokens + np.cumsum(sizes))
-            tokens = int(ends[-1][-1])
+            for _, buf, offsets in text_runs(batch.column("text")):
+                ids, sizes = words.encode(buf, offsets)
+                out.write(np.insert(ids, np.cumsum(sizes), end_id))
+                ends.append(tokens + np.cumsum(sizes + 1))
+                tokens = int(ends[-1][-1])
             key = batch.column("id")
             nulls += key.null_count
             keys.append(key.drop_null().to_numpy())

@@ -5,13 +5,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowloom.llm import op6_tokenids as op
+from flowloom.llm import wordbpe
 from flowloom.llm.eliasfano import EliasFano, encode
-from flowloom.llm.wordbpe import WordEncoder
+from flowloom.llm.wordtable import text_runs
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,19 +36,30 @@ def test_elias_fano_is_small():
     assert len(encode(ends)) < 2 * 100_000 and (EliasFano(encode(ends)).values() == ends).all()
 
 
-def texts():
+def texts(n: int = 150):
     rng = random.Random(1)
-    parts = ["The", "don't", "we'll", "ÉTÉ", "été", "ΣΑΣ", "İ", "中文", "🙂🙂", "a1b2", "½²", "\x1c", " ", " ", "<|endoftext|>", "<|startoftext|", "...", "$$$", "ß", "ǅ", "ſ", "x̣́", "\n", "\t"]
-    return [None, "", " ", "a", "word " * 3000, "z" * 20_000] + ["".join(rng.choice(["", " "]) + rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    parts = ["The", "don't", "we'll", "ÉTÉ", "été", "ΣΑΣ", "İ", "中文", "🙂🙂", "a1b2", "½²", "\x1c", " ", " ", "\x85", "\xa0", "\u2003", "\u3000", "\x0b", "<|endoftext|>", "<|startoftext|", "...", "$$$", "ß", "ǅ", "ſ", "x̣́", "\n", "\t"]
+    chars = [chr(c) for c in range(1, 0x260)] + ["\u0301", "\u0338", "'s", "'LL", "中"]
+    narrow = ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 12))) for _ in range(4 * n)]
+    return [None, "", " ", "a", "word " * 3000, "z" * 20_000, *narrow] + ["".join(rng.choice(["", " "]) + rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(n)]
 
 
-def test_words_encode_like_the_library():
+@pytest.mark.parametrize("size", [1, 400, 1 << 20])
+@pytest.mark.parametrize("cached", [5, 400_000])
+def test_words_encode_like_the_library(size, cached, monkeypatch):
     from tokenizers import Tokenizer
 
-    library, own = Tokenizer.from_file(MODEL), WordEncoder(MODEL)
-    for text in texts():
-        want = library.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(own.encode(text or ""), own.width).tolist() == want, text
+    monkeypatch.setattr(wordbpe, "MAX_CACHED", cached)
+    library, own = Tokenizer.from_file(MODEL), wordbpe.WordEncoder(MODEL)
+    rows, at = texts(1500), 0
+    for _, buf, offsets in text_runs(pa.array(rows), size):
+        ids, sizes = own.encode(buf, offsets)
+        assert len(sizes) == len(offsets) - 1 and sizes.sum() == len(ids)
+        for got in np.split(ids, np.cumsum(sizes)[:-1]):
+            want = library.encode(rows[at] or "", add_special_tokens=False).ids
+            assert got.tolist() == want, rows[at]
+            at += 1
+    assert at == len(rows)
 
 
 def test_files_read_back(spark, tmp_path):
