@@ -46,5 +46,26 @@ WITH items AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN places USING (row) LEFT JOIN found USING (row)
+""",
+    "op12_ranked_search": rf"""
+WITH items AS (
+  SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), asked AS (
+  SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM items) GROUP BY item, term
+), held AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs) GROUP BY row, term
+), every AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM held, every GROUP BY term, n_docs
+), scores AS (
+  SELECT item, row, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN docs USING (row), every GROUP BY item, row
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN items USING (item) JOIN docs USING (row) WHERE score > 0) WHERE rank <= 20
 """,
 }
