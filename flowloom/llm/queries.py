@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op2_html, op3_pieces, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, op12_search, oracle
+from flowloom.llm import op1_quality, op2_html, op3_pieces, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, op12_search, op13_negatives, oracle
 from flowloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = op13_negatives.quantized(_table(spark, sf_dir, "embeddings"), label)
+    return op13_negatives.mine(rows, F.col("id") % 100 == 0)
