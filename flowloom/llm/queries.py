@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import op1_quality, op2_html, op3_pieces, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, op12_search, op13_negatives, oracle
+from flowloom.llm import op1_quality, op2_html, op3_pieces, op4_neardedup, op5_toxicity, op6_tokenids, op7_license, op8_chat, op9_decontaminate, op10_language, op11_jaccard, op12_search, op13_negatives, oracle
 from flowloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_register
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
