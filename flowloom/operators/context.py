@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.risk import CONTEXT_COLUMNS
-from flowloom.operators.ordered import percentile_columns, running_before, time_chunk
+from flowloom.operators.ordered import Slices, percentile_columns, running_before
 from flowloom.functions.parsing import micros
 from flowloom.schemas import RiskConfig
 
@@ -72,24 +72,16 @@ def choose_context(df: DataFrame, live_prefix: str = "live_", min_flows: int = L
     return df.withColumns({**picked, "context_source": source})
 
 
-def prior_edge_state(
-    flows: DataFrame, order: tuple[str, ...], prefix: str = "live_", chunk_seconds: int = 86_400, ts: str = "ts"
-) -> DataFrame:
+def prior_edge_state(flows: DataFrame, order: tuple[str, ...], prefix: str = "live_", slices: Slices = Slices()) -> DataFrame:
     """Count, first and last time of the earlier flows on the same edge.
 
-    Batch form of the running edge state: each flow sees what came before it.
+    Batch form of the running edge state: each flow sees what came before it. ``order``
+    starts with the time; a hot edge is cut into slices of about equal rows.
     """
-    return running_before(
-        flows,
-        ["src_ip", "dst_ip"],
-        list(order),
-        time_chunk(ts, chunk_seconds),
-        {
-            f"{prefix}flow_count": ("count", None),
-            f"{prefix}first_seen": ("min", ts),
-            f"{prefix}last_seen": ("max", ts),
-        },
-    )
+    ts, *ties = order
+    timed = flows.withColumn("_t", micros(ts))
+    running = {f"{prefix}flow_count": ("count", None), f"{prefix}first_seen": ("min", ts), f"{prefix}last_seen": ("max", ts)}
+    return running_before(timed, ["src_ip", "dst_ip"], ["_t", *ties], slices, running).drop("_t")
 
 
 def scale_parameters(edges: DataFrame) -> DataFrame:

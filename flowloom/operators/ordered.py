@@ -4,11 +4,15 @@ A window partitioned by key alone puts a whole key into one task. Here a key is
 cut into chunks (time slices, id ranges, hash buckets): rows are only windowed
 inside ``(key, chunk)``, and what crosses a chunk border is carried through a
 table with one row per chunk.
+
+``Slices`` cut only keys that hold many rows, at quantiles of their own times, so a slice
+holds about as many rows as any other however the rows lie in time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,44 @@ def time_chunk(ts: Column | str, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+@dataclass(frozen=True)
+class Slices:
+    """How keys are cut along time.
+
+    One row in ``every``, chosen by a hash, places the cuts; where they lie changes the
+    balance, never a result. A key of more than ``rows`` rows is cut into parts of about
+    that size, ``most`` at the most. Only the ``keys`` keys with most rows are cut: one
+    beyond them holds less than that share of the table. So the table of cuts has a fixed
+    bound and is broadcast.
+    """
+
+    rows: int = 1_000_000
+    every: int = 64
+    most: int = 256
+    keys: int = 1000
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices) -> DataFrame:
+    """``(keys, _cuts)``: ascending first times of the second and later slices of the keys that are cut.
+
+    ``order`` starts with the time in microseconds.
+    """
+    t, n = order[0], F.col("_n") * slices.every
+    sampled = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(slices.every)) == 0)
+    steps = [k / slices.most for k in range(1, slices.most)]
+    known = sampled.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(t, steps, 10 * slices.most).alias("_q")).filter(n > slices.rows)
+    parts = F.least(F.lit(slices.most), F.ceil(n / slices.rows)).cast("int")
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.get("_q", F.floor(j * slices.most / parts).cast("int") - 1)))
+    return known.orderBy(F.desc("_n"), *keys).limit(slices.keys).select(*keys, cuts.alias("_cuts"))
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices) -> DataFrame:
+    """Add ``_slice``, the number of a row's slice within its key, and ``_cut``: the key has several."""
+    met = df.join(F.broadcast(cut_points(df, keys, order, slices)), list(keys), "left")
+    number = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(order[0]))))
+    return met.withColumns({"_slice": number, "_cut": F.col("_cuts").isNotNull()}).drop("_cuts")
+
+
 def id_chunk(key: Column | str, width: int = 1 << 16) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.floor(key / F.lit(width)).cast("long")
@@ -68,7 +110,7 @@ def running_before(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | str | None,
+    chunk: Column | str | Slices | None,
     aggregates: dict[str, tuple[str, str | None]],
     totals: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -78,8 +120,10 @@ def running_before(
     ``sum``, ``min`` or ``max``; counts start at 0, the others at NULL.
     ``totals`` maps a new name to an aggregate whose whole-key total is wanted.
     ``chunk`` may name a column of ``df``: it is kept, and so is the partitioning
-    by key and chunk for a following step. Without a chunk the key itself is the
-    window, for keys known to be small.
+    by key and chunk for a following step. With ``Slices`` (``order`` then starts with
+    the time in microseconds) what comes before a slice is only computed for the keys that
+    are cut, and the table of it is broadcast within its bound. Without a chunk the key
+    itself is the window, for keys known to be small.
     """
     keys, order = list(keys), list(order)
 
@@ -93,10 +137,14 @@ def running_before(
         added |= {n: measure(*aggregates[source]).over(whole) for n, source in (totals or {}).items()}
         return df.withColumns(added)
 
-    slot = chunk if isinstance(chunk, str) else "_chunk"
-    cut = df if isinstance(chunk, str) else df.withColumn(slot, chunk)
+    sliced = isinstance(chunk, Slices)
+    slot = "_slice" if sliced else chunk if isinstance(chunk, str) else "_chunk"
+    cut = with_slices(df, keys, order, chunk) if sliced else df if isinstance(chunk, str) else df.withColumn(slot, chunk)
     local = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = cut.withColumns({f"_in_{n}": measure(k, c).over(local) for n, (k, c) in aggregates.items()})
+    if sliced:  # a key that is not cut is its only slice
+        inner = inner.withColumns({f"_own_{n}": measure(*aggregates[source]).over(Window.partitionBy(*keys, slot)) for n, source in (totals or {}).items()})
+        cut = cut.filter("_cut")
     per_chunk = cut.groupBy(*keys, slot).agg(*[measure(k, c).alias(f"_all_{n}") for n, (k, c) in aggregates.items()])
     along = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -104,7 +152,7 @@ def running_before(
     for name, source in (totals or {}).items():
         wanted[name] = _FOLD[aggregates[source][0]](f"_all_{source}").over(whole)
     carried = per_chunk.withColumns(wanted).select(*keys, slot, *wanted)
-    joined = inner.join(carried, [*keys, slot], "left")
+    joined = inner.join(F.broadcast(carried) if sliced else carried, [*keys, slot], "left")
 
     def combined(name: str, kind: str) -> Column:
         before, inside = F.col(f"_pre_{name}"), F.col(f"_in_{name}")
@@ -118,7 +166,7 @@ def running_before(
     return joined.select(
         *df.columns,
         *[combined(n, k).alias(n) for n, (k, _) in aggregates.items()],
-        *(totals or {}),
+        *[F.coalesce(n, f"_own_{n}").alias(n) if sliced else F.col(n) for n in (totals or {})],
     )
 
 

@@ -4,21 +4,25 @@ A packet table has the columns of ``schemas.PACKET`` plus ``seq``, the arrival
 number that breaks timestamp ties. The two sides of a flow are first told apart
 by endpoint order (``lo`` and ``hi``); which side is forward is only decided in
 the final projection from the first packet, so no packet-level join is needed.
+
+Whatever depends on packet order is one ordered pass: within a slice of a flow gaps and
+bursts come from window steps over one exchange and one sort, a slice leaves one summary
+(first and last times, moments of gaps and closed bursts, the burst still open at either end), and
+summaries are composed along the slices of a flow. Only hot flows have more than one slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.parsing import micros
-from flowloom.operators.ordered import running_before, time_chunk
+from flowloom.operators.ordered import Slices, with_slices
 from flowloom.schemas import APPROXIMATED_FEATURES, FLOW_FEATURES
 
 FLOW_KEY = ("protocol", "lo_ip", "lo_port", "hi_ip", "hi_port")
-CHUNK_SECONDS = 3600
 RATE_FLOOR_SECONDS = 1e-6
 
 
@@ -95,46 +99,110 @@ def reconstruct_flows(packets: DataFrame, keys: Sequence[str] = FLOW_KEY) -> Dat
     )
 
 
-def with_gaps(
-    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, idle_seconds: float = 5.0, chunk_seconds: int | None = CHUNK_SECONDS
-) -> DataFrame:
-    """Add inter-arrival gaps and closed activity bursts to every packet.
-
-    ``gap``, ``gap_lo`` and ``gap_hi`` are microseconds since the previous packet
-    of the flow and of the same side. A gap of at least ``idle_seconds`` ends a
-    burst: that packet carries ``closed_burst``, the duration of the burst before
-    it. The previous time is the maximum of the earlier ones, so both steps are
-    running maxima over time slices and no flow is windowed as a whole.
-    ``chunk_seconds=None`` is for flows of bounded size.
+ORDER = ("_t", "seq")
+#: Measures whose mean and spread are wanted, and the single values that slice borders add to each.
+GAP_MOMENTS = {"gap": ["_b_gap"], "gap_lo": ["_b_lo"], "gap_hi": ["_b_hi"]}
+BURST_MOMENTS = {"closed_burst": ["_b_burst", "_h_burst"], "idle_gap": ["_b_idle"]}
+
+
+def _within_slices(packets: DataFrame, keys: Sequence[str], idle_seconds: float, slices: Slices | None) -> tuple[DataFrame, list[str]]:
+    """Packets with what they see of earlier ones in their slice, and the columns that make a slice.
+
+    ``gap``, ``gap_lo`` and ``gap_hi`` are microseconds since the previous packet and
+    since the previous one of the same side. A gap of at least ``idle_seconds`` ends a burst:
+    ``burst_start`` is set there, ``closed_burst`` is the length of the burst before it if that
+    began in the slice, and ``_head`` the end of one that did not.
     """
     keyed = packets if "from_lo" in packets.columns else with_flow_key(packets)
     t = keyed.withColumn("_t", micros("ts"))
+    part = list(keys)
+    if slices is not None:
+        t, part = with_slices(t, keys, ORDER, slices), [*keys, "_slice"]
     t = t.withColumns({"_t_lo": F.when(F.col("from_lo"), F.col("_t")), "_t_hi": F.when(~F.col("from_lo"), F.col("_t"))})
-    chunk = None
-    if chunk_seconds is not None:
-        t, chunk = t.withColumn("_slice", time_chunk("ts", chunk_seconds)), "_slice"
-    order = ["_t", "seq"]
-    earlier = {"_p": ("max", "_t"), "_p_lo": ("max", "_t_lo"), "_p_hi": ("max", "_t_hi")}
-    seen = running_before(t, keys, order, chunk, earlier)
-    idle = F.lit(int(idle_seconds * 1_000_000))
-    seen = seen.withColumns(
-        {"gap": F.col("_t") - F.col("_p"), "gap_lo": F.col("_t_lo") - F.col("_p_lo"), "gap_hi": F.col("_t_hi") - F.col("_p_hi")}
+    ahead = Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    seen = t.withColumns({f"_p{s}": F.max(f"_t{s}").over(ahead) for s in ("", "_lo", "_hi")})
+    seen = seen.withColumns({f"gap{s}": F.col(f"_t{s}") - F.col(f"_p{s}") for s in ("", "_lo", "_hi")})
+    idle = F.col("gap") >= F.lit(int(idle_seconds * 1_000_000))
+    seen = seen.withColumns({"burst_start": F.when(idle, F.col("_t")), "idle_gap": F.when(idle, F.col("gap"))})
+    seen = seen.withColumn("_open", F.max("burst_start").over(ahead))
+    return seen.withColumns({"closed_burst": F.when(idle, F.col("_p") - F.col("_open")), "_head": F.when(idle & F.col("_open").isNull(), F.col("_p"))}), part
+
+
+def _moment_parts(name: str) -> list[Column]:
+    """Count, sum, squared deviations, greatest and least of a column, which can be put together."""
+    n = F.count(name)
+    return [n.alias(f"{name}_n"), F.sum(name).alias(f"{name}_sum"), (F.var_pop(name) * n).alias(f"{name}_m2"), F.max(name).alias(f"{name}_max"), F.min(name).alias(f"{name}_min")]
+
+
+def _summaries(packets: DataFrame, keys: Sequence[str], idle_seconds: float, slices: Slices | None, moments: dict[str, list[str]], measures: Sequence[Column] = ()) -> DataFrame:
+    """One row per flow and slice, with the values that its border to the slice before it adds."""
+    rows, part = _within_slices(packets, keys, idle_seconds, slices)
+    out = rows.groupBy(*part).agg(
+        F.min("_t").alias("t0"),
+        F.max("_t").alias("t1"),
+        *[f(f"_t{s}").alias(f"{n}{s}") for s in ("_lo", "_hi") for f, n in ((F.min, "first"), (F.max, "last"))],
+        F.min("burst_start").alias("_first_break"),
+        F.max("burst_start").alias("_last_break"),
+        F.count("burst_start").alias("_breaks"),
+        F.max("_head").alias("_head"),
+        F.min_by("from_lo", F.struct(*ORDER)).alias("_ahead"),
+        *[x for name in moments for x in _moment_parts(name)],
+        *measures,
+    )
+    if slices is None:
+        out = out.withColumn("_slice", F.lit(0))
+    # a flow has few slices
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({"_q": F.max("t1").over(before), "_q_lo": F.max("last_lo").over(before), "_q_hi": F.max("last_hi").over(before)})
+    out = out.withColumns({"_b_gap": F.col("t0") - F.col("_q"), "_b_lo": F.col("first_lo") - F.col("_q_lo"), "_b_hi": F.col("first_hi") - F.col("_q_hi")})
+    idle = F.coalesce(F.col("_b_gap") >= F.lit(int(idle_seconds * 1_000_000)), F.lit(False))
+    opens = F.col("_q").isNull() | idle
+    out = out.withColumn("_burst", F.coalesce("_last_break", F.when(opens, F.col("t0")))).withColumn("_open", F.max("_burst").over(before))
+    out = out.withColumns(
+        {
+            "_bursts": F.col("_breaks") + opens.cast("long"),
+            "_b_idle": F.when(idle, F.col("_b_gap")),
+            "_b_burst": F.when(idle, F.col("_q") - F.col("_open")),
+            "_h_burst": F.when(F.col("_first_break").isNotNull(), F.col("_head") - F.when(opens, F.col("t0")).otherwise(F.col("_open"))),
+        }
     )
-    opens = F.col("gap").isNull() | (F.col("gap") >= idle)
-    seen = seen.withColumn("burst_start", F.when(opens, F.col("_t")))
-    bursts = running_before(seen, keys, order, chunk, {"_open": ("max", "burst_start")})
-    closed = F.when(F.col("gap") >= idle, F.col("_p") - F.col("_open"))
-    gone = [c for c in ("_p", "_p_lo", "_p_hi", "_open", "_t_lo", "_t_hi", "_slice") if c in bursts.columns]
-    return bursts.withColumns({"closed_burst": closed, "idle_gap": F.when(F.col("gap") >= idle, F.col("gap"))}).drop(*gone)
+    whole = Window.partitionBy(*keys)
+    totals = {}
+    for name, borders in moments.items():
+        added = [F.col(b) for b in borders]
+        totals[f"_n_{name}"] = F.sum(sum((b.isNotNull().cast("long") for b in added), F.col(f"{name}_n"))).over(whole)
+        values = F.filter(F.array(F.col(f"{name}_sum").cast("double"), *[b.cast("double") for b in added]), lambda x: x.isNotNull())
+        totals[f"_s_{name}"] = F.sum(F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x))).over(whole)
+    return out.withColumns(totals)
+
+
+def _composed(moments: dict[str, list[str]]) -> list[Column]:
+    """``_sum``, ``_avg``, ``_std``, ``_max`` and ``_min`` of each measure over the slices of a flow."""
+    out = []
+    for name, borders in moments.items():
+        n, total = F.col(f"_n_{name}"), F.col(f"_s_{name}")
+        mean = total / n
+        off = F.col(f"{name}_sum") / F.col(f"{name}_n") - mean
+        deviations = F.coalesce(F.col(f"{name}_m2") + F.col(f"{name}_n") * off * off, F.lit(0.0))
+        for b in borders:
+            deviations = deviations + F.coalesce((F.col(b) - mean) * (F.col(b) - mean), F.lit(0.0))
+        spread = F.try_divide(F.sum(deviations), F.max(n))
+        ends = [F.col(c).cast("double") for c in borders]
+        out += [
+            F.max(total).alias(f"{name}_sum"),
+            F.try_divide(F.max(total), F.max(n)).alias(f"{name}_avg"),
+            F.sqrt(spread).alias(f"{name}_std"),
+            spread.alias(f"{name}_var"),
+            F.max(F.greatest(F.col(f"{name}_max").cast("double"), *ends) if ends else F.col(f"{name}_max")).alias(f"{name}_max"),
+            F.min(F.least(F.col(f"{name}_min").cast("double"), *ends) if ends else F.col(f"{name}_min")).alias(f"{name}_min"),
+        ]
+    return out
 
 
-def interarrival_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, chunk_seconds: int | None = CHUNK_SECONDS) -> DataFrame:
+def interarrival_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, slices: Slices | None = Slices()) -> DataFrame:
     """Gap statistics per flow and direction, microseconds, 0 below two packets."""
-    gaps = with_gaps(packets, keys, chunk_seconds=chunk_seconds)
-    stats = gaps.groupBy(*keys).agg(
-        F.min_by("from_lo", F.struct("_t", "seq")).alias("_ahead"),
-        *[x for side in ("gap", "gap_lo", "gap_hi") for x in _moments(side)],
-    )
+    summaries = _summaries(packets, keys, 5.0, slices, GAP_MOMENTS)
+    stats = summaries.groupBy(*keys).agg(F.min_by("_ahead", "_slice").alias("_ahead"), *_composed(GAP_MOMENTS))
 
     def sided(part: str, forward: bool) -> Column:
         lead, other = (f"gap_lo_{part}", f"gap_hi_{part}") if forward else (f"gap_hi_{part}", f"gap_lo_{part}")
@@ -153,53 +221,29 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
-def _moments(name: str) -> list[Column]:
-    return [
-        F.sum(name).alias(f"{name}_sum"),
-        F.avg(name).alias(f"{name}_avg"),
-        F.stddev_pop(name).alias(f"{name}_std"),
-        F.max(name).alias(f"{name}_max"),
-        F.min(name).alias(f"{name}_min"),
-    ]
-
-
-def burst_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, idle_seconds: float = 5.0, chunk_seconds: int | None = CHUNK_SECONDS) -> DataFrame:
+def burst_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, idle_seconds: float = 5.0, slices: Slices | None = Slices()) -> DataFrame:
     """Activity bursts and idle gaps per flow, microseconds."""
-    grouped = with_gaps(packets, keys, idle_seconds, chunk_seconds).groupBy(*keys).agg(*_burst_measures())
+    summaries = _summaries(packets, keys, idle_seconds, slices, BURST_MOMENTS)
+    grouped = summaries.groupBy(*keys).agg(*_burst_totals(), *_composed(BURST_MOMENTS))
     return grouped.select(*keys, F.col("_bursts").alias("burst_count"), *_burst_columns())
 
 
-def _burst_measures() -> list[Column]:
-    last = F.max("_t") - F.max("burst_start")
-    return [
-        F.count("burst_start").alias("_bursts"),
-        last.alias("_last_burst"),
-        F.sum("closed_burst").alias("_cb_sum"),
-        F.var_pop("closed_burst").alias("_cb_var"),
-        F.max("closed_burst").alias("_cb_max"),
-        F.min("closed_burst").alias("_cb_min"),
-        F.avg("idle_gap").alias("_ig_avg"),
-        F.stddev_pop("idle_gap").alias("_ig_std"),
-        F.max("idle_gap").alias("_ig_max"),
-        F.min("idle_gap").alias("_ig_min"),
-    ]
+def _burst_totals() -> list[Column]:
+    return [F.sum("_bursts").alias("_bursts"), (F.max("t1") - F.max("_burst")).alias("_last_burst")]
 
 
 def _burst_columns() -> list[Column]:
     """Statistics over the closed bursts and the one still open at the end."""
     n, last = F.col("_bursts").cast("double"), F.col("_last_burst").cast("double")
-    total, closed, var = _zero(F.col("_cb_sum")), n - 1, _zero(F.col("_cb_var"))
+    total, closed, var = _zero(F.col("closed_burst_sum")), n - 1, _zero(F.col("closed_burst_var"))
     mean = F.coalesce(F.try_divide(total, closed), F.lit(0.0))
     spread = (closed * var + (last - mean) * (last - mean) * closed / n) / n
     return [
         ((total + last) / n).alias("active_mean"),
         F.sqrt(spread).alias("active_std"),
-        F.greatest(last, F.col("_cb_max").cast("double")).alias("active_max"),
-        F.least(last, F.col("_cb_min").cast("double")).alias("active_min"),
-        _zero(F.col("_ig_avg")).alias("idle_mean"),
-        _zero(F.col("_ig_std")).alias("idle_std"),
-        _zero(F.col("_ig_max")).alias("idle_max"),
-        _zero(F.col("_ig_min")).alias("idle_min"),
+        F.greatest(last, F.col("closed_burst_max").cast("double")).alias("active_max"),
+        F.least(last, F.col("closed_burst_min").cast("double")).alias("active_min"),
+        *[_zero(F.col(f"idle_gap_{source}")).alias(f"idle_{name}") for name, source in (("mean", "avg"), ("std", "std"), ("max", "max"), ("min", "min"))],
     ]
 
 
@@ -233,59 +277,41 @@ def flow_features(
     packets: DataFrame,
     keys: Sequence[str] = FLOW_KEY,
     idle_seconds: float = 5.0,
-    chunk_seconds: int | None = CHUNK_SECONDS,
+    slices: Slices | None = Slices(),
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """The 67 features of every flow, in contract order, after its endpoints.
 
-    Packets are shuffled once by flow and time slice for the gaps; everything
-    else is one partially aggregated ``groupBy``. ``carry`` names extra aggregates
-    (the close reason of a sessionized flow, for example).
+    Packets are shuffled once, by flow and slice, and their summaries once more by flow.
+    ``slices=None`` is for flows of bounded size. ``carry`` names extra maxima (the close
+    reason of a sessionized flow, for example).
     """
     keys = list(keys)
-    p = with_gaps(packets, keys, idle_seconds, chunk_seconds)
-    lo = F.col("from_lo")
-    size = F.coalesce(F.col("total_length"), F.lit(0)).cast("double")
-    head = F.col("transport_header_length")
-    order = F.struct("_t", "seq")
-    sides = {"lo": lo, "hi": ~lo}
-    per_side = []
-    for s, here in sides.items():
-        length = F.when(here, size)
-        per_side += [
-            F.count_if(here).alias(f"n_{s}"),
-            F.sum(length).alias(f"len_{s}_sum"),
-            F.avg(length).alias(f"len_{s}_avg"),
-            F.stddev_pop(length).alias(f"len_{s}_std"),
-            F.max(length).alias(f"len_{s}_max"),
-            F.min(length).alias(f"len_{s}_min"),
-            F.count_if(here & F.col("tcp_flags.psh")).alias(f"psh_{s}"),
-            F.count_if(here & F.col("tcp_flags.urg")).alias(f"urg_{s}"),
-            F.sum(F.when(here, head)).alias(f"head_{s}_sum"),
-            F.min(F.when(here, head)).alias(f"head_{s}_min"),
-            F.count_if(here & (F.col("payload_length") > 0)).alias(f"data_{s}"),
-            *_moments(f"gap_{s}"),
-        ]
-    flags = [F.count_if(F.col(f"tcp_flags.{f}")).alias(f"flag_{f}") for f in ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")]
-    first = F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "from_lo"), order)
-    g = p.withColumn("_size", size).groupBy(*keys).agg(
-        first.alias("f"),
-        F.min("_t").alias("t0"),
-        F.max("_t").alias("t1"),
+    lo, size, head, order = F.col("from_lo"), F.coalesce(F.col("total_length"), F.lit(0)).cast("double"), F.col("transport_header_length"), F.struct(*ORDER)
+    flags = ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")
+    counts = {f"flag_{f}": F.col(f"tcp_flags.{f}") for f in flags}
+    counts |= {f"{f}_{s}": here & F.col(f"tcp_flags.{f}") for s, here in (("lo", lo), ("hi", ~lo)) for f in ("psh", "urg")}
+    counts |= {f"data_{s}": here & (F.col("payload_length") > 0) for s, here in (("lo", lo), ("hi", ~lo))}
+    keyed = packets if "from_lo" in packets.columns else with_flow_key(packets)
+    sized = keyed.withColumns({"len": size, "len_lo": F.when(lo, size), "len_hi": F.when(~lo, size), "head_lo": F.when(lo, head), "head_hi": F.when(~lo, head)})
+    moments = {"len": [], "len_lo": [], "len_hi": []} | GAP_MOMENTS | BURST_MOMENTS
+    measures = [
+        F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "from_lo"), order).alias("f"),
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
-        F.count("*").alias("n"),
-        *per_side,
-        *_moments("gap"),
-        F.min("_size").alias("len_min"),
-        F.max("_size").alias("len_max"),
-        F.avg("_size").alias("len_avg"),
-        F.stddev_pop("_size").alias("len_std"),
-        F.var_pop("_size").alias("len_var"),
-        *flags,
+        *[F.count_if(c).alias(name) for name, c in counts.items()],
+        *[f(f"head_{s}").alias(f"head_{s}_{n}") for s in ("lo", "hi") for f, n in ((F.sum, "sum"), (F.min, "min"))],
         *_first_windows(order),
-        *_burst_measures(),
         *[c.alias(name) for name, c in (carry or {}).items()],
+    ]
+    summaries = _summaries(sized, keys, idle_seconds, slices, moments, measures)
+    g = summaries.groupBy(*keys).agg(
+        F.min_by("f", "_slice").alias("f"),
+        *[f(c).alias(c) for f, names in ((F.min, ("t0", "start_ts", "head_lo_min", "head_hi_min")), (F.max, ("t1", "end_ts", *(carry or {}))), (F.sum, (*counts, "head_lo_sum", "head_hi_sum"))) for c in names],
+        *[F.min_by(f"_w_{s}", F.when(F.col(f"first_{s}").isNotNull(), F.col("_slice"))).alias(f"_w_{s}") for s in ("lo", "hi")],
+        *[F.max(f"_n_{name}").alias(n) for name, n in (("len", "n"), ("len_lo", "n_lo"), ("len_hi", "n_hi"))],
+        *_burst_totals(),
+        *_composed(moments),
     )
     g = g.withColumn("_ahead", F.col("f.from_lo"))
 
@@ -327,7 +353,7 @@ def flow_features(
         F.col("len_avg"),
         F.col("len_std"),
         F.col("len_var"),
-        *[F.col(f"flag_{f}").cast("double") for f in ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")],
+        *[F.col(f"flag_{f}").cast("double") for f in flags],
         _zero(F.try_divide(n_bwd, n_fwd)),
         (bytes_fwd + bytes_bwd) / n,
         _zero(fwd("len_{}_avg")),

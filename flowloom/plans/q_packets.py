@@ -200,7 +200,7 @@ def h23(spark, sf):
 def e10(spark, sf):
     """Running edge state: what each flow sees of the earlier ones on its edge."""
     f = views.flows(spark, sf).select("event_id", "src_ip", "dst_ip", "ts")
-    out = context.prior_edge_state(f, ("ts", "event_id"), chunk_seconds=86_400 * 90)
+    out = context.prior_edge_state(f, ("ts", "event_id"))
     return plain(out.select("event_id", "live_flow_count", "live_first_seen", "live_last_seen"))
 
 
@@ -249,7 +249,7 @@ def k1_counts(spark, sf):
 def h20_sessions(spark, sf):
     """Features of sessionized flows, whose size is bounded by the close rules."""
     s = sessionize.sessionize(views.packets(spark, sf), LIMITS)
-    f = _client(packets.flow_features(s, [*FLOW_KEY, "flow_id"], IDLE_SECONDS, chunk_seconds=None))
+    f = _client(packets.flow_features(s, [*FLOW_KEY, "flow_id"], IDLE_SECONDS, slices=None))
     total = F.col("`Total Fwd Packets`") + F.col("`Total Backward Packets`")
     return plain(f.select("client", (F.col("`Flow Duration`") / 1e6 + 1e-9).alias("Flow Duration"), (F.col("`Flow Packets/s`") + 1e-9).alias("Flow Packets/s"), total.cast("long").alias("packets")))
 

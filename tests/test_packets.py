@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import autoencoder, knn, packets, sessionize
+from flowloom.operators.ordered import Slices, with_slices
 from flowloom.schemas import FLOW_FEATURES, PACKET, SessionLimits
 from flowloom.sources.tables import flags_from_letters, parse_packet_lines, read_flow_csvs, unique_names
 from flowloom.streaming.edges import keep_recent_edges, live_edge_context
@@ -50,8 +51,8 @@ def test_features_do_not_depend_on_slices_or_side(spark):
             t += float(rng.choice([0.3, 2.0, 7.5, 40.0]))
             rows.append(packet(t, bool(rng.integers(2)), int(rng.integers(40, 1500)), "PA", window=int(rng.integers(100)), pair=(client, SERVER)))
     p = table(spark, rows)
-    a = {r.src_ip + str(r.src_port): r for r in packets.flow_features(p, chunk_seconds=60).collect()}
-    b = {r.src_ip + str(r.src_port): r for r in packets.flow_features(p, chunk_seconds=None).collect()}
+    a = {r.src_ip + str(r.src_port): r for r in packets.flow_features(p, slices=Slices(rows=7, every=1)).collect()}
+    b = {r.src_ip + str(r.src_port): r for r in packets.flow_features(p, slices=None).collect()}
     assert a.keys() == b.keys() and len(a) == 2
     for k in a:
         assert np.allclose([a[k][f] for f in FLOW_FEATURES], [b[k][f] for f in FLOW_FEATURES])
@@ -68,11 +69,12 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("slices", [Slices(), Slices(rows=2, every=1)])
 @pytest.mark.parametrize("name", sorted(CASES))
-def test_close_reasons(spark, name):
+def test_close_reasons(spark, name, slices):
     rows, expected = CASES[name]
     limits = SessionLimits(max_packets=7 if name == "packets" else 200_000)
-    s = sessionize.sessionize(table(spark, rows), limits, chunk_seconds=10)
+    s = sessionize.sessionize(table(spark, rows), limits, slices)
     got = sessionize.close_reasons(s).orderBy("start_ts").collect()
     assert [(r.end_reason, r.packets) for r in got] == expected
 
@@ -119,6 +121,66 @@ def test_walk_is_the_same_in_any_batching():
             flow, start = flow + 1, None
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_transition_tables_lead_to_the_state_of_a_walk(seed):
+    rng = np.random.default_rng(seed)
+    n = 300
+    t = np.cumsum(rng.choice([0, 1, 5, 40], n, p=[0.2, 0.4, 0.395, 0.005]) * 1_000_000)
+    seq, lo = np.arange(n) + 7, rng.random(n) < 0.5
+    fin, rst = rng.random(n) < [0.0, 0.05, 0.3][seed % 3], rng.random(n) < [0.0, 0.02][seed % 2]
+    limits = SessionLimits(idle_seconds=30.0, max_duration_seconds=[20.0, 1e6, 90.0, 0.0][seed % 4], max_packets=[9, 10**6, 25][seed // 4])
+    breaks = np.concatenate([[False], np.diff(t) > 30_000_000])
+    for at in sorted(set(rng.integers(1, n, 40).tolist())):
+        for stop in {n, min(n, at + 1), min(n, at + 12)}:
+            before, whole = sessionize.OpenFlow(), sessionize.OpenFlow()
+            sessionize.walk_run(t[:at], seq[:at], lo[:at], fin[:at], rst[:at], breaks[:at], before, limits)
+            sessionize.walk_run(t[:stop], seq[:stop], lo[:stop], fin[:stop], rst[:stop], breaks[:stop], whole, limits)
+            state = sessionize.Entry() if before.start is None else sessionize.Entry(int(before.start), before.seq, before.count, before.fin_lo, before.fin_hi)
+            part = slice(at, stop)
+            got = sessionize.Transition.of(t[part], seq[part], lo[part], fin[part], rst[part], limits).leave(state, limits, bool(breaks[at]))
+            if whole.start is None:
+                assert got.start is None
+            else:
+                assert (got.start, got.seq, got.count, got.fin_lo, got.fin_hi) == (whole.start, whole.seq, whole.count, whole.fin_lo, whole.fin_hi)
+
+
+def test_sessions_do_not_depend_on_slices_and_spread_an_endless_flow(spark):
+    rng = np.random.default_rng(3)
+    rows, t = [], 0.0
+    for _ in range(600):  # no gap, no RST: only the caps end flows
+        t += float(rng.choice([0.0, 0.5, 2.0]))
+        rows.append(packet(t, bool(rng.integers(2)), flags="FA" if rng.random() < 0.02 else "A"))
+    rows += [packet(i * 7, pair=(("10.0.0.9", 1), SERVER)) for i in range(40)]
+    p = table(spark, rows)
+    limits = SessionLimits(idle_seconds=30.0, max_duration_seconds=60.0, max_packets=70)
+    one = sessionize.sessionize(p, limits, Slices())
+    many = sessionize.sessionize(p, limits, Slices(rows=50, every=1))
+    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    sizes = [r["count"] for r in with_slices(sessionize._flagged(p, Slices(rows=50, every=1)).drop("_slice", "_cut"), sessionize.FLOW_KEY, sessionize.ORDER, Slices(rows=50, every=1)).filter("_cut").groupBy("_slice").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 100
+    assert sum(sizes) == 600
+
+
+def test_rows_in_one_hour_are_cut_into_even_slices(spark):
+    hour = [(int(x), i) for i, x in enumerate(np.random.default_rng(1).integers(0, 3_600_000_000, 9000))]
+    rest = [(3_600_000_000 * (k + 1), 9000 + k) for k in range(1000)]
+    df = spark.createDataFrame([("hot", *r) for r in hour + rest] + [(f"k{i}", i, i) for i in range(300)], "k string, _t long, seq long")
+    got = with_slices(df, ["k"], ["_t", "seq"], Slices(rows=500, every=4))
+    per = {r["_slice"]: r["count"] for r in got.filter("k = 'hot'").groupBy("_slice").count().collect()}
+    assert len(per) >= 15 and max(per.values()) < 1000 and not got.filter("k <> 'hot' and (_cut or _slice > 0)").count()
+    order = got.filter("k = 'hot'").groupBy("_slice").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).orderBy("_slice").collect()
+    assert all(x.b < y.a for x, y in zip(order, order[1:]))
+
+
+@pytest.mark.parametrize("job", ["interarrival_stats", "burst_stats", "flow_features"])
+def test_ordered_pass_reads_its_input_twice(spark, tmp_path, job):
+    table(spark, [packet(i) for i in range(5)]).write.parquet(f"{tmp_path}/p")
+    df = getattr(packets, job)(spark.read.parquet(f"{tmp_path}/p"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # to place the cuts, and for the pass itself
+    assert plan.count("Exchange hashpartitioning") == 3  # cuts, packets by flow and slice, summaries by flow
+
+
 def test_knn_against_brute_force_with_many_equal_rows(spark):
     rng = np.random.default_rng(2)
     train = np.vstack([rng.normal(size=(150, 6)), np.tile(rng.normal(size=6), (80, 1)), rng.normal(5, 0.01, size=(70, 6))])
