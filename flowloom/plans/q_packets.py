@@ -265,5 +265,5 @@ LIVE_SQL = f"""WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY src_ip, dst_
 def k3(spark, sf):
     """Live edge state with eviction after a quiet period (batch twin)."""
     f = views.flows(spark, sf).select("event_id", "src_ip", "dst_ip", "ts")
-    out = live_edge_context(f, ("ts", "event_id"), ttl_seconds=TTL_DAYS * 86_400, chunk_seconds=86_400 * 90)
+    out = live_edge_context(f, ("ts", "event_id"), ttl_seconds=TTL_DAYS * 86_400)
     return plain(out.select("event_id", "live_flow_count", "live_first_seen", "live_last_seen"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import autoencoder, knn, packets, sessionize
+from flowloom.operators import autoencoder, context, knn, packets, sessionize
 from flowloom.operators.ordered import Slices, with_slices
 from flowloom.schemas import FLOW_FEATURES, PACKET, SessionLimits
 from flowloom.sources.tables import flags_from_letters, parse_packet_lines, read_flow_csvs, unique_names
@@ -220,21 +220,57 @@ def test_network_gradient_and_fit(spark):
     assert np.allclose(same.errors(x), result.network.errors(x))
 
 
-def test_live_edges_expire_and_cap(spark):
+@pytest.mark.parametrize("slices", [Slices(rows=1, every=1), Slices(), None])
+def test_live_edges_expire_and_cap(spark, slices):
     rows = [("a", "b", T0 + timedelta(seconds=s), i) for i, s in enumerate((0, 5, 15, 26))] + [("c", "d", T0, 9)]
     f = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, k long")
-    got = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=7).orderBy("k").collect()
+    got = live_edge_context(f, ("ts", "k"), 10, slices).orderBy("k").collect()
     assert [r.live_flow_count for r in got] == [0, 1, 2, 0, 0]
-    plain = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=None).orderBy("k").collect()
-    assert [tuple(r) for r in plain] == [tuple(r) for r in got]
     held = spark.createDataFrame([("a", "b", 4, T0 - timedelta(seconds=9), T0 - timedelta(seconds=3))], "src_ip string, dst_ip string, flow_count long, first_seen timestamp, last_seen timestamp")
-    more = live_edge_context(f, ("ts", "k"), ttl_seconds=10, chunk_seconds=7, carried=held).orderBy("k").collect()
+    more = live_edge_context(f, ("ts", "k"), 10, slices, carried=held).orderBy("k").collect()
     assert [r.live_flow_count for r in more] == [4, 5, 6, 0, 0]
     assert more[0].live_last_seen == T0 - timedelta(seconds=3)
     table_ = spark.createDataFrame([("a", "b", T0), ("c", "d", T0 + timedelta(seconds=1)), ("e", "f", T0 + timedelta(seconds=2))], "src_ip string, dst_ip string, last_seen timestamp")
     assert sorted(r.src_ip for r in keep_recent_edges(table_, 2).collect()) == ["c", "e"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_live_edges_by_slices_are_those_of_a_walk(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, t = [], {"a": 0, "b": 0}
+    for k in range(400):
+        key = "a" if rng.random() < 0.8 else "b"
+        t[key] += int(rng.choice([0, 3, 9, 11, 50], p=[0.3, 0.4, 0.25, 0.02, 0.03]))
+        rows.append((key, "x", T0 + timedelta(seconds=t[key]), k))
+    held = {"a": (5, T0 - timedelta(seconds=40), T0 - timedelta(seconds=[2, 30, 10][seed]))}
+    want = []
+    for key in t:
+        count, first, last = held.get(key, (0, None, None))
+        for _, _, ts, k in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[3])):
+            if last is not None and ts - last > timedelta(seconds=10):
+                count, first, last = 0, None, None
+            want.append((k, count, first, last))
+            count, first, last = count + 1, first or ts, ts
+    f = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, k long")
+    c = spark.createDataFrame([(k, "x", *v) for k, v in held.items()], "src_ip string, dst_ip string, flow_count long, first_seen timestamp, last_seen timestamp")
+    for slices in (Slices(rows=20, every=1), None):
+        got = live_edge_context(f, ("ts", "k"), 10, slices, carried=c).select("k", "live_flow_count", "live_first_seen", "live_last_seen")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_prior_edge_state_by_slices(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", "b" if rng.random() < 0.9 else "c", T0 + timedelta(seconds=int(rng.integers(50))), k) for k in range(500)]
+    f = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, k long")
+    one, many = (sorted(map(tuple, context.prior_edge_state(f, ("ts", "k"), slices=s).collect())) for s in (Slices(), Slices(rows=30, every=1)))
+    assert one == many
+    seen = {}
+    for a, b, ts, k, n, first, last in sorted(many, key=lambda r: (r[2], r[3])):
+        before = seen.setdefault(b, [])
+        assert (n, first, last) == (len(before), before[0] if before else None, before[-1] if before else None)
+        before.append(ts)
+
+
 def test_packet_lines_and_flag_letters(spark):
     lines = ['{"type":"ready"}', '{"type":"packet"', '{"type":"packet","timestamp":1.5}', "", '{"type":"packet","timestamp":1.5,"src_ip":"a","dst_ip":"b","protocol":6,"total_length":40,"ip_header_length":20,"transport_header_length":20,"payload_length":0,"tcp_flags":{"syn":true}}']
     parsed = parse_packet_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
