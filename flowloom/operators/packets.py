@@ -103,6 +103,9 @@ ORDER = ("_t", "seq")
 #: Measures whose mean and spread are wanted, and the single values that slice borders add to each.
 GAP_MOMENTS = {"gap": ["_b_gap"], "gap_lo": ["_b_lo"], "gap_hi": ["_b_hi"]}
 BURST_MOMENTS = {"closed_burst": ["_b_burst", "_h_burst"], "idle_gap": ["_b_idle"]}
+MOMENTS = {"len": [], "len_lo": [], "len_hi": []} | GAP_MOMENTS | BURST_MOMENTS
+FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")
+COUNTS = (*(f"flag_{f}" for f in FLAGS), *(f"{c}_{s}" for s in ("lo", "hi") for c in ("psh", "urg", "data")))
 
 
 def _within_slices(packets: DataFrame, keys: Sequence[str], idle_seconds: float, slices: Slices | None) -> tuple[DataFrame, list[str]]:
@@ -136,6 +139,10 @@ def _moment_parts(name: str) -> list[Column]:
 
 def _summaries(packets: DataFrame, keys: Sequence[str], idle_seconds: float, slices: Slices | None, moments: dict[str, list[str]], measures: Sequence[Column] = ()) -> DataFrame:
     """One row per flow and slice, with the values that its border to the slice before it adds."""
+    return _bordered(_slice_rows(packets, keys, idle_seconds, slices, moments, measures), keys, idle_seconds, moments)
+
+
+def _slice_rows(packets: DataFrame, keys: Sequence[str], idle_seconds: float, slices: Slices | None, moments: dict[str, list[str]], measures: Sequence[Column]) -> DataFrame:
     rows, part = _within_slices(packets, keys, idle_seconds, slices)
     out = rows.groupBy(*part).agg(
         F.min("_t").alias("t0"),
@@ -149,8 +156,10 @@ def _summaries(packets: DataFrame, keys: Sequence[str], idle_seconds: float, sli
         *[x for name in moments for x in _moment_parts(name)],
         *measures,
     )
-    if slices is None:
-        out = out.withColumn("_slice", F.lit(0))
+    return out if slices is not None else out.withColumn("_slice", F.lit(0))
+
+
+def _bordered(out: DataFrame, keys: Sequence[str], idle_seconds: float, moments: dict[str, list[str]]) -> DataFrame:
     # a flow has few slices
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({"_q": F.max("t1").over(before), "_q_lo": F.max("last_lo").over(before), "_q_hi": F.max("last_hi").over(before)})
@@ -288,30 +297,35 @@ def flow_features(
     """
     keys = list(keys)
     lo, size, head, order = F.col("from_lo"), F.coalesce(F.col("total_length"), F.lit(0)).cast("double"), F.col("transport_header_length"), F.struct(*ORDER)
-    flags = ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")
-    counts = {f"flag_{f}": F.col(f"tcp_flags.{f}") for f in flags}
-    counts |= {f"{f}_{s}": here & F.col(f"tcp_flags.{f}") for s, here in (("lo", lo), ("hi", ~lo)) for f in ("psh", "urg")}
-    counts |= {f"data_{s}": here & (F.col("payload_length") > 0) for s, here in (("lo", lo), ("hi", ~lo))}
+    sides = {"lo": lo, "hi": ~lo}
+    counts = {f"flag_{f}": F.col(f"tcp_flags.{f}") for f in FLAGS}
+    counts |= {f"{f}_{s}": here & F.col(f"tcp_flags.{f}") for s, here in sides.items() for f in ("psh", "urg")}
+    counts |= {f"data_{s}": here & (F.col("payload_length") > 0) for s, here in sides.items()}
     keyed = packets if "from_lo" in packets.columns else with_flow_key(packets)
     sized = keyed.withColumns({"len": size, "len_lo": F.when(lo, size), "len_hi": F.when(~lo, size), "head_lo": F.when(lo, head), "head_hi": F.when(~lo, head)})
-    moments = {"len": [], "len_lo": [], "len_hi": []} | GAP_MOMENTS | BURST_MOMENTS
     measures = [
         F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "from_lo"), order).alias("f"),
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
-        *[F.count_if(c).alias(name) for name, c in counts.items()],
-        *[f(f"head_{s}").alias(f"head_{s}_{n}") for s in ("lo", "hi") for f, n in ((F.sum, "sum"), (F.min, "min"))],
+        *[F.count_if(counts[c]).alias(c) for c in COUNTS],
+        *[f(f"head_{s}").alias(f"head_{s}_{n}") for s in sides for f, n in ((F.sum, "sum"), (F.min, "min"))],
         *_first_windows(order),
         *[c.alias(name) for name, c in (carry or {}).items()],
     ]
-    summaries = _summaries(sized, keys, idle_seconds, slices, moments, measures)
+    return features_of(_slice_rows(sized, keys, idle_seconds, slices, MOMENTS, measures), keys, idle_seconds, tuple(carry or ()))
+
+
+def features_of(slices: DataFrame, keys: Sequence[str], idle_seconds: float, carry: Sequence[str] = ()) -> DataFrame:
+    """The features of flows from the summaries of their slices (numbered by ``_slice``)."""
+    keys = list(keys)
+    summaries = _bordered(slices, keys, idle_seconds, MOMENTS)
     g = summaries.groupBy(*keys).agg(
         F.min_by("f", "_slice").alias("f"),
-        *[f(c).alias(c) for f, names in ((F.min, ("t0", "start_ts", "head_lo_min", "head_hi_min")), (F.max, ("t1", "end_ts", *(carry or {}))), (F.sum, (*counts, "head_lo_sum", "head_hi_sum"))) for c in names],
+        *[f(c).alias(c) for f, names in ((F.min, ("t0", "start_ts", "head_lo_min", "head_hi_min")), (F.max, ("t1", "end_ts", *carry)), (F.sum, (*COUNTS, "head_lo_sum", "head_hi_sum"))) for c in names],
         *[F.min_by(f"_w_{s}", F.when(F.col(f"first_{s}").isNotNull(), F.col("_slice"))).alias(f"_w_{s}") for s in ("lo", "hi")],
         *[F.max(f"_n_{name}").alias(n) for name, n in (("len", "n"), ("len_lo", "n_lo"), ("len_hi", "n_hi"))],
         *_burst_totals(),
-        *_composed(moments),
+        *_composed(MOMENTS),
     )
     g = g.withColumn("_ahead", F.col("f.from_lo"))
 
@@ -353,7 +367,7 @@ def flow_features(
         F.col("len_avg"),
         F.col("len_std"),
         F.col("len_var"),
-        *[F.col(f"flag_{f}").cast("double") for f in flags],
+        *[F.col(f"flag_{f}").cast("double") for f in FLAGS],
         _zero(F.try_divide(n_bwd, n_fwd)),
         (bytes_fwd + bytes_bwd) / n,
         _zero(fwd("len_{}_avg")),
@@ -371,7 +385,7 @@ def flow_features(
         *[F.col(f"f.{c}").alias(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port")],
         "start_ts",
         "end_ts",
-        *(carry or {}),
+        *carry,
         *named,
     )
 
