@@ -59,7 +59,12 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices:
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices) -> DataFrame:
-    """Add ``_slice``, the number of a row's slice within its key, and ``_cut``: the key has several."""
+    """Add ``_slice``, the number of a row's slice within its key, and ``_cut``: the key has several.
+
+    Rows that have them keep them: what is cut for some keys is cut for finer ones, too.
+    """
+    if "_cut" in df.columns:
+        return df
     met = df.join(F.broadcast(cut_points(df, keys, order, slices)), list(keys), "left")
     number = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(order[0]))))
     return met.withColumns({"_slice": number, "_cut": F.col("_cuts").isNotNull()}).drop("_cuts")

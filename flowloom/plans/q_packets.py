@@ -11,7 +11,7 @@ from flowloom.plans.oracle import big, cte, n, r, ts
 from flowloom.plans.registry import query
 from flowloom.plans.views import LIMITS, plain
 from flowloom.schemas import FLOW_FEATURES
-from flowloom.streaming.edges import live_edge_context
+from flowloom.streaming.edges import CONTEXT, PORTS, live_port_context
 
 IDLE_SECONDS = 21_600.0  # packets of one client are hours apart
 
@@ -255,15 +255,20 @@ def h20_sessions(spark, sf):
 
 
 TTL_DAYS = 200
-LIVE_SQL = f"""WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, event_id) > INTERVAL {TTL_DAYS} DAY AS gone FROM flows),
+
+
+def live_sql(flows: str) -> str:
+    """The context of every row of ``flows``; ports count from the life's first flow on."""
+    ports = ", ".join(f"count(DISTINCT {c}) OVER w AS live_{n}" for n, c in PORTS.items())
+    return f"""WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, event_id) > INTERVAL {TTL_DAYS} DAY AS gone FROM {flows}),
   s AS (SELECT *, sum(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM g)
-  SELECT event_id, count(*) OVER w AS live_flow_count, {ts('min(ts) OVER w', 'live_first_seen')}, {ts('max(ts) OVER w', 'live_last_seen')} FROM s
+  SELECT event_id, count(*) OVER w AS live_flow_count, {ts('min(ts) OVER w', 'live_first_seen')}, {ts('max(ts) OVER w', 'live_last_seen')}, {ports} FROM s
   WINDOW w AS (PARTITION BY src_ip, dst_ip, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
-@query("k3", LIVE_SQL, "flows")
+@query("k3", live_sql("flows"), "flows")
 def k3(spark, sf):
     """Live edge state with eviction after a quiet period (batch twin)."""
-    f = views.flows(spark, sf).select("event_id", "src_ip", "dst_ip", "ts")
-    out = live_edge_context(f, ("ts", "event_id"), ttl_seconds=TTL_DAYS * 86_400)
-    return plain(out.select("event_id", "live_flow_count", "live_first_seen", "live_last_seen"))
+    f = views.flows(spark, sf).select("event_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ts")
+    out = live_port_context(f, ("ts", "event_id"), ttl_seconds=TTL_DAYS * 86_400)
+    return plain(out.select("event_id", *CONTEXT))
