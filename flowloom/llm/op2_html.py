@@ -6,16 +6,22 @@ boilerplate; these are the capacities to the two terminals. Neighbouring blocks
 under one parent are tied by smoothness edges, and the maximum flow between the terminals
 gives the cheapest labelling of the whole page.
 
+Tags are read from front to back, each character a bounded number of times. What is inside a script, a style
+or another raw-text element ends at its own end tag only; a quote counts only where a value
+begins; a tag that is never closed ends at the next ``<``. An element that is no text of the
+page (a form control, say) and is left open ends with the element around it.
+
 Defined results: a null or empty page, and a page without content, gives an empty text;
 unclosed and stray tags are tolerated; repeated rows are treated alike; extra
-columns are ignored. No block is cut short or dropped for its number.
+columns are ignored; an empty table gives no rows. No block is cut short or dropped for its
+number, and very long pages are read whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +37,11 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-SKIPPED_TAGS = frozenset("script style noscript template textarea iframe svg math canvas object select option button head title audio video map".split())
+SKIPPED_TAGS = frozenset("script style noscript template textarea iframe svg math canvas object select datalist option button title audio video map xmp noembed noframes".split())
+#: Those whose content is no markup.
+RAW_TAGS = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Those that a block of the page cannot stand in.
+CONTROL_TAGS = frozenset("select datalist option".split())
 PARAGRAPH_ENDS = BLOCK_TAGS - {"br", "body", "html"}
 #: Elements that hold one block; what holds them ties their texts together.
 LEAF_TAGS = frozenset("p li dt dd td th pre blockquote figcaption summary".split())
@@ -51,7 +61,10 @@ CONTENT_WORDS = frozenset("article content main post entry story body text".spli
 #: Costs, in units of flow.
 BOILER, ARTICLE, FORM, CONTENT_HINT, LINKS, SMOOTH, SIBLING = 48, 14, 14, 4, 9, 2, 1
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+#: A tag up to its end or the next ``<``. The groups give back nothing, so each character is looked at a bounded number of times.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?>[^<>=]+|=\s*(?>"[^"]*"|'[^']*')?)*+)>?""")
+_DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 _HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
@@ -119,55 +132,95 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
         size = linked = 0
 
-    for m in _TAG.finditer(page):
-        tag = m[2].lower() if m[2] else ""
-        if not skipping and m.start() > at:
-            piece = page[at : m.start()]
-            if not pieces:
-                owner = stack[-1]
-            pieces.append(piece)
-            size += len(piece)
-            linked += len(piece) * stack[-1].link
-        at = m.end()
-        if not tag:
+    def say(stop: int) -> None:
+        nonlocal size, linked, owner
+        if skipping or stop <= at:
+            return
+        if not pieces:
+            owner = stack[-1]
+        piece = page[at:stop]
+        pieces.append(piece)
+        size += len(piece)
+        linked += len(piece) * stack[-1].link
+
+    def drop(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+        del stack[depth:]
+
+    opened: Counter[str] = Counter()  # elements on the stack
+    inner: dict[str, int] = {}  # what is open inside a skipped element
+    look = 0
+    while (start := page.find("<", look)) >= 0:
+        m = _TAG.match(page, start)
+        if m is None:
+            d = _DECLARATION.match(page, start)
+            look = d.end() if d else start + 1
+            if d:  # anything else is text
+                say(start)
+                at = look
             continue
+        tag, ends = m[2].lower(), bool(m[1])
+        say(start)
+        at = look = m.end()
         if skipping:
-            if m[1] and tag == skipping or skipping == "head" and tag in ("body", "article", "main"):
+            if ends and inner.get(tag):
+                inner[tag] -= 1
+                continue
+            if ends and tag == skipping:
                 skipping = ""
-            if m[1] or skipping:
                 continue
+            around = ends and opened[tag] > 0
+            block = not ends and skipping in CONTROL_TAGS and (tag in BLOCK_TAGS or tag == skipping == "option") and tag not in ("hr", "legend")
+            if not (around or block):
+                if tag in RAW_TAGS and not ends and not m[3].endswith("/"):
+                    at = look = _raw_end(page, tag, look)
+                elif not ends and tag not in VOID_TAGS and tag != "option" and not m[3].endswith("/"):
+                    inner[tag] = inner.get(tag, 0) + 1
+                continue
+            skipping = ""
         if tag in BLOCK_TAGS:
             close()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if ends:
+            if opened[tag]:
+                drop(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].tag == tag))
         elif tag in SKIPPED_TAGS:
-            if not m[4]:
+            if m[3].endswith("/"):
+                continue
+            if tag in RAW_TAGS:
+                at = look = _raw_end(page, tag, look)
+            else:
                 skipping = tag
+                inner.clear()
         elif tag not in VOID_TAGS:
             if tag in PARAGRAPH_ENDS and stack[-1].tag == "p":
-                stack.pop()
-            ends = CLOSED_BY.get(tag)
-            if ends:
+                drop(len(stack) - 1)
+            closes = CLOSED_BY.get(tag, frozenset())
+            if any(opened[c] for c in closes):
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in ends:
-                        del stack[depth:]
+                    if stack[depth].tag in closes:
+                        drop(depth)
                         break
                     if stack[depth].tag in ("ul", "ol", "dl", "table"):
                         break
             number += 1
+            opened[tag] += 1
             stack.append(_enter(tag, m[3], number, stack[-1]))
-    if not skipping and at < len(page):
-        if not pieces:
-            owner = stack[-1]
-        pieces.append(page[at:])
-        size += len(page) - at
+    say(len(page))
     close()
     return out
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where a raw-text element's end tag ends; an open title ends at the next tag, others with the page."""
+    m = _RAW_END[tag].search(page, at)
+    if m:
+        stop = page.find(">", m.end())
+        return stop + 1 if stop >= 0 else len(page)
+    stop = page.find("<", at) if tag == "title" else -1
+    return stop if stop >= 0 else len(page)
+
+
 def costs(block: Block) -> tuple[int, int]:
     """``(cost of boilerplate, cost of content)`` of a block."""
     e = block.element

@@ -163,11 +163,17 @@ def text_runs(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int,
 
 def groups(column: pa.Array, seps: np.ndarray, fold: bool = False, size: int = GROUP_BYTES) -> Iterator[Group]:
     """Word tables of a text column; with ``fold`` A-Z are lower-cased first."""
-    for at, part, cuts in text_runs(column, size):
+    buf, offsets = text_bytes(column)
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        to = min(max(to, at + 1), n)
+        part, cuts = buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         if fold:
             part = LOWER[part]
         starts, ends, hashes = words_of(part, cuts[:-1], seps)
         yield Group(at, part, cuts, starts, ends, hashes, np.searchsorted(starts, cuts))
+        at = to
 
 
 def window_hashes(hashes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
 import pytest
@@ -60,3 +61,44 @@ def test_odd_pages(spark):
     assert dict(got)[4] == rows[4][1] and dict(got)[5] == "" and dict(got)[6] == ""
     assert dict(got)[7] == " ".join(["para of words"] * 20_000)
     assert op.extract(pages.limit(0)).count() == 0
+
+
+WORDS = "Words of the article that are kept in full. " * 6
+KEPT = WORDS.strip()
+ARTICLE = f"<article><p>{WORDS}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><script>if(a<b){{x()}}</script>{ARTICLE}",
+        f"<body><script>for(i=0;i<n;i++){{}}</script>{ARTICLE}",
+        f"<body><script>s = '<p>no</p></scripts>'</script >{ARTICLE}",
+        f"<head><script><!-- x </script></head><body>{ARTICLE}",
+        f"<style>a<b{{}}</style><textarea>a<b <p>no</textarea>{ARTICLE}",
+        f"<head><title>a<b</title></head>{ARTICLE}",
+        f"<head><title>x</title><p>{WORDS}",
+        f"<datalist><option>a<option>b</datalist>{ARTICLE}",
+        f"<form><select><option>a</form>{ARTICLE}",
+        f"<div><svg><svg></svg><text>no</text></svg></div>{ARTICLE}",
+        f"<div><button>no</div>{ARTICLE}",
+        f"<noscript><img src=x><p>no</p></noscript>{ARTICLE}",
+        f"<article><p><b title=don't>{WORDS}</b></p>",
+        f'<article><p><b title="a > b <i> c" class=x>{WORDS}</b></p>',
+        f'<article><p><b title="x>{WORDS}</b></p>',
+        f"<article><p><b title= 'x' disabled / >{WORDS}</b></p>",
+    ],
+)
+def test_nothing_is_lost_behind_odd_markup(page):
+    assert op.main_text(page) == KEPT
+
+
+def test_open_option_ends_with_the_block_around_it():
+    assert op.main_text(f"<p>{WORDS}<option>no</p><p>{WORDS}") == f"{KEPT} {KEPT}"
+
+
+@pytest.mark.parametrize("part", ["<a x", "<a b=\"'", "<!-", "<script", "<div>", "</x>", "< a", "<li><ul>", "<select><p>"])
+def test_a_megabyte_of_open_markup_is_read_in_seconds(part):
+    start = time.perf_counter()
+    op.blocks(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 20
