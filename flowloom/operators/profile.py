@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.functions.net import is_valid_ip, is_valid_port
 from flowloom.functions.parsing import finite, number, timestamp
@@ -134,23 +137,13 @@ def topology_issues(raw: DataFrame, file_column: str = "source_file", examples:
             F.col("Timestamp").isNotNull() & timestamp("Timestamp", day_first=False).isNull(),
         ),
     }
-    fails = F.array_compact(
-        F.array(
-            *[
-                F.when(bad, F.struct(F.lit(name).alias("check"), F.coalesce(_q(c), F.lit("nan")).alias("value")))
-                for name, (c, bad) in checks.items()
-            ]
-        )
-    )
-    # a mark per row counts the rows in the same pass
-    mark = F.array(F.struct(F.lit("").alias("check"), F.lit("").alias("value")))
-    counted = (
-        raw.select(file_column, F.explode(F.concat(mark, fails)).alias("f"))
-        .groupBy(file_column, "f.check", "f.value")
-        .agg(F.count("*").alias("n"))
-    )
-    found = counted.filter(F.col("check") != "")
-    sizes = counted.filter(F.col("check") == "").select(file_column, F.col("n").alias("rows"))
+    counted = raw.groupBy(file_column).agg(F.count("*").alias("rows"), *[F.count_if(bad).alias(f"c{i}") for i, (_, bad) in enumerate(checks.values())])
+    sizes = counted.select(file_column, "rows")
+    each = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("issue_count")) for i, name in enumerate(checks)])
+    issues = counted.select(file_column, F.inline(each)).filter("issue_count > 0")
+    # only rows that fail something leave values
+    fails = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(name).alias("check"), F.coalesce(_q(c), F.lit("nan")).alias("value"))) for name, (c, bad) in checks.items()]))
+    found = raw.select(file_column, F.explode(fails).alias("f")).select(file_column, "f.check", "f.value").distinct()
     order = Window.partitionBy(file_column, "check").orderBy("value")
     sample = (
         found.withColumn("_r", F.row_number().over(order))
@@ -158,7 +151,7 @@ def topology_issues(raw: DataFrame, file_column: str = "source_file", examples:
         .groupBy(file_column, "check")
         .agg(F.array_sort(F.collect_list("value")).alias("examples"))
     )
-    issues = found.groupBy(file_column, "check").agg(F.sum("n").alias("issue_count")).join(sample, [file_column, "check"])
+    issues = issues.join(sample, [file_column, "check"])
     data = [c for c in raw.columns if c != file_column]
     repeats = (
         raw.groupBy(file_column, *[_q(c) for c in data])
@@ -207,32 +200,79 @@ def column_roles(df: DataFrame, columns: Sequence[str], label: str = "Label") ->
     return [c for c in columns if c not in flat], [label, "canonical_label", "source_file", "Destination Port"]
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair from one pass of moments.
+_CO = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType(), False)) for c in ("n", "mean", "var", "co")])
+#: Tasks that merge the sums of all others.
+MERGERS = 8
 
-    Column pairs, not row pairs; constant columns give NULL where the built-in
-    ``corr`` would divide by zero.
+
+def _co_moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matrices over column pairs (i, j), from the rows that have both: count, mean of i, squared deviations of i, co-deviations.
+
+    Columns are shifted by their first value, so a constant column deviates by exactly 0.
     """
-    clean = df.select(*[finite(_q(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-
-    def moments(part: list[tuple[int, int]]) -> DataFrame:
-        measures, rows = [], []
-        for i, j in part:
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            a, b = F.when(both, F.col(f"c{i}")), F.when(both, F.col(f"c{j}"))
-            bottom = F.stddev_pop(a) * F.stddev_pop(b)
-            measures.append(F.try_divide(F.covar_pop(a, b), bottom).alias(f"r{i}_{j}"))
-            rows.append(
-                F.struct(
-                    F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.col(f"r{i}_{j}").alias("correlation")
-                )
-            )
-        return clean.agg(*measures).select(F.inline(F.array(*rows)))
+    here = ~np.isnan(x)
+    shift = np.array([c[h][0] if h.any() else 0.0 for c, h in zip(x.T, here.T)])
+    z, m = np.where(here, x - shift, 0.0), here.astype(np.float64)
+    n, total = m.T @ m, z.T @ m
+    mean = total / np.maximum(n, 1)
+    return n, np.where(n > 0, mean + shift[:, None], 0.0), (z * z).T @ m - total * mean, z.T @ z - total * mean.T
+
+
+def _merged(a: tuple[np.ndarray, ...] | None, b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    off, weight = b[1] - a[1], a[0] * b[0] / np.maximum(n, 1)
+    mean = np.where(a[0] == 0, b[1], np.where(b[0] == 0, a[1], a[1] + off * b[0] / np.maximum(n, 1)))
+    return n, mean, a[2] + b[2] + off * off * weight, a[3] + b[3] + off * off.T * weight
+
 
-    # Wide tables take several aggregates, each small enough to be compiled.
-    parts = [moments(pairs[k : k + 200]) for k in range(0, len(pairs), 200)]
-    return reduce(DataFrame.unionAll, parts)
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every column pair, from the rows that have both, in one scan.
+
+    Every task sums products of its rows as matrices and leaves one row of them, and a few
+    tasks merge these; nothing grows with the rows. Constant columns give NULL where the
+    built-in ``corr`` would divide by zero.
+    """
+    k, arrow = len(columns), to_arrow_schema(_CO)
+    pairs = T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType()), T.StructField("correlation", T.DoubleType())])
+
+    def one(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(_CO.names, (m.ravel().tolist() for m in sums)))], schema=arrow)
+
+    def add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            if batch.num_rows:
+                sums = _merged(sums, _co_moments(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])))
+        if sums is not None:
+            yield one(sums)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+        sums = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sums = _merged(sums, tuple(batch.column(c)[row].values.to_numpy().reshape(k, k) for c in range(4)))
+        return sums
+
+    def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = merge(batches)
+        if sums is not None:
+            yield one(sums)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = merge(batches)
+        i, j = np.triu_indices(k, 1)
+        if sums is None:
+            values = [None] * len(i)
+        else:
+            bottom = np.sqrt(np.maximum(sums[2], 0.0) * np.maximum(sums[2].T, 0.0))
+            values = [float(c / d) if d > 0 else None for c, d in zip(sums[3][i, j].tolist(), bottom[i, j].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([columns[x] for x in i]), pa.array([columns[x] for x in j]), pa.array(values, pa.float64())], names=pairs.names)
+
+    clean = df.select(*[finite(_q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    partial = clean.mapInArrow(add_rows, _CO).repartition(MERGERS).mapInArrow(merge_rows, _CO)
+    return partial.repartition(1).mapInArrow(correlate, pairs)
 
 
 def redundant_pairs(

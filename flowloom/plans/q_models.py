@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators import autoencoder, clean, context, dashboard, knn, metrics, profile, scoring, split
+from flowloom.operators import autoencoder, clean, context, dashboard, knn, metrics, profile, runs, scoring, split
 from flowloom.operators.autoencoder import Network
 from flowloom.plans import views
 from flowloom.plans.oracle import big, cte, factor_ctes, n, r, ts
 from flowloom.plans.q_metrics import HIST, class_metrics_sql, cm, rates
-from flowloom.plans.q_sources import SPLIT_CTE, scratch
+from flowloom.plans.q_sources import SPLIT_CTE, STATISTICS, a9_stats, scratch
 from flowloom.plans.registry import query
 from flowloom.plans.views import FEATURES, RISK, plain
 
@@ -300,6 +300,8 @@ _LIVE = f"""SELECT {big("(SELECT count(*) FROM ev WHERE source = 'live')", 'tota
 REPORT = " UNION ALL ".join(
     [
         _cells("summary", "''", _SUMMARY, ("total_events", "active_threats", "high_risk_events", "anomaly_count", "benign_count"), (), ("last_ingested_at", "system_health")),
+        _cells("active_model", "component", "SELECT component, CAST(max(id) AS BIGINT) AS run_id, arg_max(content_hash, id) AS content_hash, arg_max(f1, id) AS f1 FROM run_log GROUP BY 1", ("run_id",), ("f1",), ("content_hash",)),
+        _cells("dataset_statistics", "''", STATISTICS, ("rows_before_dedup", "exact_duplicate_rows", "rows_after_dedup", "rows_after_inf_nan")),
         _cells("dataset", "traffic_class", f"SELECT traffic_class, {n()} FROM ev GROUP BY 1", ("n",)),
         _cells("live_statistics", "''", _LIVE, ("total_live_events", "detected_anomalies", "alerts", "threats_prevented_or_would_block"), ("average_risk_score",)),
         _cells("events_by_source", "source", f"SELECT source, {n()} FROM ev GROUP BY 1", ("n",)),
@@ -318,7 +320,7 @@ REPORT = " UNION ALL ".join(
 )
 
 
-@query("d46", REPORT, "ev det risk act edges nodes test_errs votes")
+@query("d46", REPORT, "ev det risk act edges nodes test_errs votes run_log stat_flows")
 def d46(spark, sf):
     """Security summary: all sections of the report as one metric table, from tables written once."""
     from flowloom.operators.graph import build_nodes, top_totals
@@ -328,12 +330,17 @@ def d46(spark, sf):
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    events, detections, risks = (written(t, name) for t, name in zip(views.relational(spark, sf), ("events", "detections", "risks")))
-    acts, edges = written(views.actions(spark, sf), "actions"), written(views.edges(spark, sf), "edges")
+    scored = written(views.scored(spark, sf), "scored")  # the flows are scored once
+    events, detections, risks = (written(t, name) for t, name in zip(views.relational(spark, sf, scored), ("events", "detections", "risks")))
+    acts, edges = written(views.actions(spark, sf, scored), "actions"), written(views.edges(spark, sf), "edges")
+    log = runs.changed_runs(views.run_records(spark, sf))
+    active = log.groupBy("component").agg(F.max("id").alias("run_id"), F.max_by("content_hash", "id").alias("content_hash"), F.max_by("f1", "id").alias("f1"))
     size = edges.agg(F.count("*").alias("edge_count"), F.sum("flow_count").alias("flow_count"))
     nodes = build_nodes(edges).agg(F.count("*").alias("n")).scalar()
     parts = [
         _lines("summary", dashboard.summary(events, detections, risks)),
+        _lines("active_model", active, "component"),
+        _lines("dataset_statistics", a9_stats(spark, sf)),
         _lines("dataset", events.groupBy("traffic_class").agg(F.count("*").alias("n")), "traffic_class"),
         _lines("live_statistics", dashboard.live_statistics(events, detections, risks, acts)),
         _lines("events_by_source", events.groupBy("source").agg(F.count("*").alias("n")), "source"),

@@ -172,14 +172,13 @@ def a9(spark, sf):
     )
 
 
-@query(
-    "a9_stats",
-    f"""SELECT {big('(SELECT count(*) FROM stat_flows)', 'rows_before_dedup')},
+STATISTICS = f"""SELECT {big('(SELECT count(*) FROM stat_flows)', 'rows_before_dedup')},
       {big('(SELECT count(*) FROM stat_flows) - (SELECT count(*) FROM d)', 'exact_duplicate_rows')}, {big('(SELECT count(*) FROM d)', 'rows_after_dedup')},
       {big('(SELECT count(*) FROM d WHERE NOT isinf(bytes_s) AND NOT isnan(bytes_s) AND NOT isinf(packets_s))', 'rows_after_inf_nan')}
-""".replace("FROM d", "FROM (SELECT DISTINCT * EXCLUDE (source_file) FROM stat_flows)"),
-    "stat_flows",
-)
+""".replace("FROM d", "FROM (SELECT DISTINCT * EXCLUDE (source_file) FROM stat_flows)")
+
+
+@query("a9_stats", STATISTICS, "stat_flows")
 def a9_stats(spark, sf):
     """Dataset statistics roll-up of the cleaning job."""
     s = views.statistics_flows(spark, sf)

@@ -206,19 +206,19 @@ def scored(spark: SparkSession, sf_dir: str, explained: bool = True) -> DataFram
     return attach_context(tagged, build_edges(f)).transform(score_risk(RISK, explained=explained))
 
 
-def relational(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, detections, risks); some events lack the latter two."""
-    s = scored(spark, sf_dir)
+def relational(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, detections, risks); some events lack the latter two. ``known`` are scored flows written before."""
+    s = scored(spark, sf_dir) if known is None else known
     events, _, _ = scored_fan_out(s)
     _, detections, _ = scored_fan_out(s.filter("l_linenumber <> 7"))
     _, _, risks = scored_fan_out(s.filter("l_linenumber < 6"))
     return events, detections, risks
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """Response audit rows of all scored events."""
-    s = scored(spark, sf_dir, explained=False).withColumnRenamed("src_ip", "source_ip")
-    return response_actions(s, POLICY).withColumn("id", F.col("event_id"))
+    s = scored(spark, sf_dir, explained=False) if known is None else known
+    return response_actions(s.withColumnRenamed("src_ip", "source_ip"), POLICY).withColumn("id", F.col("event_id"))
 
 
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
