@@ -159,14 +159,17 @@ def _slice_rows(packets: DataFrame, keys: Sequence[str], idle_seconds: float, sl
     return out if slices is not None else out.withColumn("_slice", F.lit(0))
 
 
-def _bordered(out: DataFrame, keys: Sequence[str], idle_seconds: float, moments: dict[str, list[str]]) -> DataFrame:
+def _bordered(out: DataFrame, keys: Sequence[str], idle_seconds: float, moments: dict[str, list[str]], single: bool = False) -> DataFrame:
+    """Slice rows with what the border to the slice before adds; with ``single`` every flow is one slice, and no row looks at another."""
     # a flow has few slices
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({"_q": F.max("t1").over(before), "_q_lo": F.max("last_lo").over(before), "_q_hi": F.max("last_hi").over(before)})
+    before, whole = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    earlier = (lambda c: F.lit(None).cast("long")) if single else (lambda c: F.max(c).over(before))
+    total = (lambda c: c) if single else (lambda c: F.sum(c).over(whole))
+    out = out.withColumns({"_q": earlier("t1"), "_q_lo": earlier("last_lo"), "_q_hi": earlier("last_hi")})
     out = out.withColumns({"_b_gap": F.col("t0") - F.col("_q"), "_b_lo": F.col("first_lo") - F.col("_q_lo"), "_b_hi": F.col("first_hi") - F.col("_q_hi")})
     idle = F.coalesce(F.col("_b_gap") >= F.lit(int(idle_seconds * 1_000_000)), F.lit(False))
     opens = F.col("_q").isNull() | idle
-    out = out.withColumn("_burst", F.coalesce("_last_break", F.when(opens, F.col("t0")))).withColumn("_open", F.max("_burst").over(before))
+    out = out.withColumn("_burst", F.coalesce("_last_break", F.when(opens, F.col("t0")))).withColumn("_open", earlier("_burst"))
     out = out.withColumns(
         {
             "_bursts": F.col("_breaks") + opens.cast("long"),
@@ -175,18 +178,18 @@ def _bordered(out: DataFrame, keys: Sequence[str], idle_seconds: float, moments:
             "_h_burst": F.when(F.col("_first_break").isNotNull(), F.col("_head") - F.when(opens, F.col("t0")).otherwise(F.col("_open"))),
         }
     )
-    whole = Window.partitionBy(*keys)
     totals = {}
     for name, borders in moments.items():
         added = [F.col(b) for b in borders]
-        totals[f"_n_{name}"] = F.sum(sum((b.isNotNull().cast("long") for b in added), F.col(f"{name}_n"))).over(whole)
+        totals[f"_n_{name}"] = total(sum((b.isNotNull().cast("long") for b in added), F.col(f"{name}_n")))
         values = F.filter(F.array(F.col(f"{name}_sum").cast("double"), *[b.cast("double") for b in added]), lambda x: x.isNotNull())
-        totals[f"_s_{name}"] = F.sum(F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x))).over(whole)
+        totals[f"_s_{name}"] = total(F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x)))
     return out.withColumns(totals)
 
 
-def _composed(moments: dict[str, list[str]]) -> list[Column]:
+def _composed(moments: dict[str, list[str]], single: bool = False) -> list[Column]:
     """``_sum``, ``_avg``, ``_std``, ``_max`` and ``_min`` of each measure over the slices of a flow."""
+    add, top, low = ((lambda c: c),) * 3 if single else (F.sum, F.max, F.min)
     out = []
     for name, borders in moments.items():
         n, total = F.col(f"_n_{name}"), F.col(f"_s_{name}")
@@ -195,15 +198,15 @@ def _composed(moments: dict[str, list[str]]) -> list[Column]:
         deviations = F.coalesce(F.col(f"{name}_m2") + F.col(f"{name}_n") * off * off, F.lit(0.0))
         for b in borders:
             deviations = deviations + F.coalesce((F.col(b) - mean) * (F.col(b) - mean), F.lit(0.0))
-        spread = F.try_divide(F.sum(deviations), F.max(n))
+        spread = F.try_divide(add(deviations), top(n))
         ends = [F.col(c).cast("double") for c in borders]
         out += [
-            F.max(total).alias(f"{name}_sum"),
-            F.try_divide(F.max(total), F.max(n)).alias(f"{name}_avg"),
+            top(total).alias(f"{name}_sum"),
+            F.try_divide(top(total), top(n)).alias(f"{name}_avg"),
             F.sqrt(spread).alias(f"{name}_std"),
             spread.alias(f"{name}_var"),
-            F.max(F.greatest(F.col(f"{name}_max").cast("double"), *ends) if ends else F.col(f"{name}_max")).alias(f"{name}_max"),
-            F.min(F.least(F.col(f"{name}_min").cast("double"), *ends) if ends else F.col(f"{name}_min")).alias(f"{name}_min"),
+            top(F.greatest(F.col(f"{name}_max").cast("double"), *ends) if ends else F.col(f"{name}_max")).alias(f"{name}_max"),
+            low(F.least(F.col(f"{name}_min").cast("double"), *ends) if ends else F.col(f"{name}_min")).alias(f"{name}_min"),
         ]
     return out
 
@@ -237,8 +240,9 @@ def burst_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, idle_seconds
     return grouped.select(*keys, F.col("_bursts").alias("burst_count"), *_burst_columns())
 
 
-def _burst_totals() -> list[Column]:
-    return [F.sum("_bursts").alias("_bursts"), (F.max("t1") - F.max("_burst")).alias("_last_burst")]
+def _burst_totals(single: bool = False) -> list[Column]:
+    add, top = (F.col, F.col) if single else (F.sum, F.max)
+    return [add("_bursts").alias("_bursts"), (top("t1") - top("_burst")).alias("_last_burst")]
 
 
 def _burst_columns() -> list[Column]:
@@ -312,21 +316,26 @@ def flow_features(
         *_first_windows(order),
         *[c.alias(name) for name, c in (carry or {}).items()],
     ]
-    return features_of(_slice_rows(sized, keys, idle_seconds, slices, MOMENTS, measures), keys, idle_seconds, tuple(carry or ()))
+    return features_of(_slice_rows(sized, keys, idle_seconds, slices, MOMENTS, measures), keys, idle_seconds, tuple(carry or ()), single=slices is None)
 
 
-def features_of(slices: DataFrame, keys: Sequence[str], idle_seconds: float, carry: Sequence[str] = ()) -> DataFrame:
-    """The features of flows from the summaries of their slices (numbered by ``_slice``)."""
+def features_of(slices: DataFrame, keys: Sequence[str], idle_seconds: float, carry: Sequence[str] = (), single: bool = False) -> DataFrame:
+    """The features of flows from the summaries of their slices (numbered by ``_slice``).
+
+    ``single``: every flow is one slice, so a row is computed by itself, without a shuffle.
+    """
     keys = list(keys)
-    summaries = _bordered(slices, keys, idle_seconds, MOMENTS)
-    g = summaries.groupBy(*keys).agg(
-        F.min_by("f", "_slice").alias("f"),
-        *[f(c).alias(c) for f, names in ((F.min, ("t0", "start_ts", "head_lo_min", "head_hi_min")), (F.max, ("t1", "end_ts", *carry)), (F.sum, (*COUNTS, "head_lo_sum", "head_hi_sum"))) for c in names],
-        *[F.min_by(f"_w_{s}", F.when(F.col(f"first_{s}").isNotNull(), F.col("_slice"))).alias(f"_w_{s}") for s in ("lo", "hi")],
-        *[F.max(f"_n_{name}").alias(n) for name, n in (("len", "n"), ("len_lo", "n_lo"), ("len_hi", "n_hi"))],
-        *_burst_totals(),
-        *_composed(MOMENTS),
-    )
+    summaries = _bordered(slices, keys, idle_seconds, MOMENTS, single)
+    kept = {F.min: ("t0", "start_ts", "head_lo_min", "head_hi_min"), F.max: ("t1", "end_ts", *carry), F.sum: (*COUNTS, "head_lo_sum", "head_hi_sum")}
+    ends = {"f": F.min_by("f", "_slice")} | {f"_w_{s}": F.min_by(f"_w_{s}", F.when(F.col(f"first_{s}").isNotNull(), F.col("_slice"))) for s in ("lo", "hi")}
+    measures = [
+        *[F.col(c) if single else ends[c].alias(c) for c in ends],
+        *[F.col(c) if single else f(c).alias(c) for f, names in kept.items() for c in names],
+        *[(F.col(f"_n_{name}") if single else F.max(f"_n_{name}")).alias(n) for name, n in (("len", "n"), ("len_lo", "n_lo"), ("len_hi", "n_hi"))],
+        *_burst_totals(single),
+        *_composed(MOMENTS, single),
+    ]
+    g = summaries.select(*keys, *measures) if single else summaries.groupBy(*keys).agg(*measures)
     g = g.withColumn("_ahead", F.col("f.from_lo"))
 
     def fwd(stem: str) -> Column:
