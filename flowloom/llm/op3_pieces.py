@@ -4,20 +4,25 @@ The best segmentation of a text under the pieces' log probabilities is found pos
 by position. Only a window of the longest piece is alive: each position relaxes the
 ends of the pieces that start there. When the back pointers of all living ends lead
 through one boundary, everything before it is final; its ids are committed and
-forgotten (a run like ``zzzz...`` whose odd and even paths never meet is held until its
-end, one back pointer per character). A character no piece covers costs ``UNKNOWN`` more than the rarest piece and is written as
-byte pieces.
+forgotten. A position that no living path passes over is such a boundary and is seen
+at once; where paths run side by side, their back pointers are followed now and then (a
+run like ``zzzz...`` whose odd and even paths never meet is held until its end, one back
+pointer per character). A character no piece covers costs ``UNKNOWN`` more than the
+rarest piece and is written as byte pieces.
 
 The scores of a unigram model are used as they are. A BPE model stores merge ranks
 instead; rank r is then given the Zipf probability ``1 / ((r + 1) * H)``, so its ids are
 the likeliest segmentation into its pieces, not its merge order (see README).
 
-Whatever holds in every model: a piece has its space at the front only, so words are
-cut points of the search, and a word met before is taken from a bounded cache.
+Texts are fed to the search in chunks. If the model's pieces hold a space at the front
+only, all paths meet at the ends of words: words are the chunks then, and the ids that the
+search gave for a word are kept in a bounded cache.
 
 Defined results: a null text has no ids and decodes to null, an empty one has no ids;
 the piece mark U+2581 in a text counts as a space; repeated rows are encoded
-alike; extra columns are ignored.
+alike; of equally likely segmentations the one whose last piece starts first is taken;
+an empty table gives no rows; a very long text or word goes through in chunks of ``CHUNK``;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +46,10 @@ MARK = "▁"
 UNKNOWN = 10.0
 NEVER = -1e6
 MAX_CACHED = 400_000
-MAX_WORD = 64
+#: Longer words are searched again each time, which bounds the cache.
+MAX_KEPT = 64
+CHUNK = 1 << 16
 CHECK_EVERY = 64
-_NONE = object()
 
 
 class Pieces:
@@ -80,145 +86,147 @@ class Pieces:
             scores = {p: (i, -math.log(1 - s) - total) for p, (i, s) in scores.items()}
         self.unknown = min(s for _, s in scores.values()) - UNKNOWN
         self.longest = max(map(len, scores))
-        # every beginning of a piece; the pieces themselves with id and score
-        self.tree: dict[str, tuple[int, float] | None] = {p[:k]: None for p in scores for k in range(1, len(p))}
-        self.tree.update(scores)
+        #: Next character to (id or -1, score, following characters); None where no piece goes on.
+        self.tree: dict = {}
+        for piece, (i, score) in scores.items():
+            self._plant(piece, i, score)
+        self.scores = scores
+        self.singles = {p for p in scores if len(p) == 1}
         inside = {c for p in scores for c in p[1:]}
         crossing = {c for p in scores if len(p) > 1 for c in p}
         # a word may be encoded alone if no piece reaches over its ends
         self.words = re.compile(" [^ \n]*|[^ \n]+|\n") if " " not in inside and "\n" not in crossing else None
         self.width = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
 
+    def _plant(self, piece: str, i: int, score: float) -> None:
+        kids = self.tree
+        for c in piece[:-1]:
+            at = kids.get(c, (-1, 0.0, None))
+            if at[2] is None:
+                at = kids[c] = (at[0], at[1], {})
+            kids = at[2]
+        kids[piece[-1]] = (i, score, kids.get(piece[-1], (-1, 0.0, None))[2])
+
 
 class StreamingViterbi:
     """Text in, committed ids out; holds one window and the uncommitted back pointers."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.text = ""  # characters from ``base`` on
-        self.base = self.at = 0  # first held position, next position to open
-        self.best = {0: 0.0}
-        self.back: dict[int, tuple[int, int]] = {}
-        self.done = 0
+        self._restart()
+
+    def _restart(self) -> None:
+        self.text = ""  # from the last forgotten boundary on; positions count from there
+        self.at = self.reach = self.done = 0  # next position to open, farthest living end, committed up to
+        self.best, self.start, self.piece = [0.0], [0], [-1]
         self.check = CHECK_EVERY
 
     def feed(self, text: str) -> list[int]:
         """Ids that became final; text may come in chunks of any size."""
+        n = len(text)
         self.text += text
-        stop = self.base + len(self.text)
-        out: list[int] = []
+        self.best += [-math.inf] * n
+        self.start += [0] * n
+        self.piece += [-1] * n
         # a start is opened once all pieces from it can be seen
-        while self.at + self.p.longest <= stop:
-            self._open(self.at)
-            self.at += 1
-            if self.at >= self.check:
-                out += self._commit()
-                # paths that run side by side for long are followed less and less often
-                self.check = self.at + max(CHECK_EVERY, self.at - self.done)
+        out = self._open(len(self.text) - self.p.longest + 1)
+        if 2 * self.done > len(self.text):
+            self._forget()
         return out
 
     def finish(self) -> list[int]:
-        """The remaining ids."""
-        stop = self.base + len(self.text)
-        while self.at < stop:
-            self._open(self.at)
-            self.at += 1
-        return self._trace(stop)
-
-    def _open(self, at: int) -> None:
-        score, text, i = self.best.pop(at), self.text, at - self.base
-        tree, best, back = self.p.tree, self.best, self.back
-        single = False
-        for k in range(i + 1, min(i + self.p.longest, len(text)) + 1):
-            hit = tree.get(text[i:k], _NONE)
-            if hit is _NONE:
-                break
-            if hit is not None:
-                single |= k == i + 1
-                end, new = k + self.base, score + hit[1]
-                if end not in best or new > best[end]:
-                    best[end], back[end] = new, (at, hit[0])
-        if not single:
-            end, new = at + 1, score + self.p.unknown
-            if end not in best or new > best[end]:
-                best[end], back[end] = new, (at, -1)
-
-    def _commit(self) -> list[int]:
+        """The remaining ids; the search is ready for another text."""
+        stop = len(self.text)
+        out = self._open(stop)
+        out += self._commit(stop)
+        self._restart()
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text, fed in chunks."""
+        out = self.feed(text[:CHUNK])
+        for at in range(CHUNK, len(text), CHUNK):
+            out += self.feed(text[at : at + CHUNK])
+        return out + self.finish()
+
+    def _open(self, stop: int) -> list[int]:
+        out: list[int] = []
+        text, longest, tree, singles, unknown = self.text, self.p.longest, self.p.tree, self.p.singles, self.p.unknown
+        best, start, piece, i, reach = self.best, self.start, self.piece, self.at, self.reach
+        while i < stop:
+            if i == reach:
+                # one living end: all paths meet here
+                if i > self.done:
+                    out += self._commit(i)
+                    best[i] = 0.0
+            elif i >= self.check:
+                out += self._meet(i, reach)
+                # paths that run side by side for long are followed less and less often
+                self.check = i + max(CHECK_EVERY, i - self.done)
+            score, kids, k = best[i], tree, i
+            for c in text[i : i + longest]:
+                hit = kids.get(c)
+                if hit is None:
+                    break
+                k += 1
+                found, worth, kids = hit
+                if found >= 0:
+                    if score + worth > best[k]:
+                        best[k], start[k], piece[k] = score + worth, i, found
+                    if k > reach:
+                        reach = k
+                if kids is None:
+                    break
+            if text[i] not in singles:
+                if score + unknown > best[i + 1]:
+                    best[i + 1], start[i + 1], piece[i + 1] = score + unknown, i, -1
+                if i + 1 > reach:
+                    reach = i + 1
+            i += 1
+        self.at, self.reach = i, reach
+        return out
+
+    def _meet(self, low: int, high: int) -> list[int]:
         """Ids up to the boundary where the paths of all living ends meet."""
-        ends = set(self.best)
+        ends = {k for k in range(low, high + 1) if self.best[k] > -math.inf}
         while len(ends) > 1:
             last = max(ends)
             ends.discard(last)
-            ends.add(self.back[last][0])
-        meet = ends.pop()
-        if meet <= self.done:
-            return []
-        out = self._trace(meet)
-        self.text, self.base = self.text[meet - self.base :], meet
-        return out
+            ends.add(self.start[last])
+        return self._commit(max(ends.pop(), self.done))
 
-    def _trace(self, end: int) -> list[int]:
+    def _commit(self, end: int) -> list[int]:
         out: list[int] = []
-        at = end
-        while at > self.done:
-            start, piece = self.back[at]
-            if piece >= 0:
-                out.append(piece)
+        start, piece, done, at = self.start, self.piece, self.done, end
+        while at > done:
+            if piece[at] >= 0:
+                out.append(piece[at])
             else:
-                raw = self.text[start - self.base : at - self.base].encode("utf-8", "surrogatepass")
-                out += [self.p.byte_ids[b] for b in reversed(raw)]
-            at = start
-        for k in [k for k in self.back if k <= end]:
-            del self.back[k]
+                out += [self.p.byte_ids[b] for b in reversed(self.text[start[at] : at].encode("utf-8", "surrogatepass"))]
+            at = start[at]
         self.done = end
         return out[::-1]
 
-
-def encode_word(p: Pieces, word: str) -> list[int]:
-    """The same search over one short word, whose ends are both boundaries."""
-    n, tree = len(word), p.tree
-    best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    best[0] = 0.0
-    for i in range(n):
-        score, single = best[i], False
-        for k in range(i + 1, n + 1):
-            hit = tree.get(word[i:k], _NONE)
-            if hit is None:
-                continue
-            if hit is _NONE:
-                break
-            if k == i + 1:
-                single = True
-            new = score + hit[1]
-            if new > best[k]:
-                best[k], start[k], piece[k] = new, i, hit[0]
-        if not single and score + p.unknown > best[i + 1]:
-            best[i + 1], start[i + 1], piece[i + 1] = score + p.unknown, i, -1
-    out: list[int] = []
-    at = n
-    while at:
-        if piece[at] >= 0:
-            out.append(piece[at])
-        else:
-            out += [p.byte_ids[b] for b in reversed(word[start[at] : at].encode("utf-8", "surrogatepass"))]
-        at = start[at]
-    return out[::-1]
+    def _forget(self) -> None:
+        cut = self.done
+        self.text = self.text[cut:]
+        self.best, self.start, self.piece = self.best[cut:], [s - cut for s in self.start[cut:]], self.piece[cut:]
+        self.at, self.reach, self.check, self.done = self.at - cut, self.reach - cut, self.check - cut, 0
 
 
 class _Cache(dict):
-    """Words to id bytes."""
+    """Words to the id bytes that the search gave for them."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.code = pieces, "H" if pieces.width == "<u2" else "I"
+        self.search, self.code = StreamingViterbi(pieces), "H" if pieces.width == "<u2" else "I"
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > MAX_WORD:
-            stream = StreamingViterbi(self.pieces)
-            return np.array(stream.feed(word) + stream.finish(), dtype=self.pieces.width).tobytes()
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        got = self[word] = array(self.code, encode_word(self.pieces, word)).tobytes()
+        got = array(self.code, self.search.encode(word)).tobytes()
+        if len(word) <= MAX_KEPT:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -234,8 +242,7 @@ class PieceCodec:
         if text and self.pieces.prefix:
             text = " " + text
         if self.pieces.words is None:
-            stream = StreamingViterbi(self.pieces)
-            return np.array(stream.feed(text) + stream.finish(), dtype=self.pieces.width)
+            return np.array(self.cache.search.encode(text), dtype=self.pieces.width)
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.pieces.words.findall(text))), dtype=self.pieces.width)
 
     def decode(self, ids: np.ndarray) -> str:

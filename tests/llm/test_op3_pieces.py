@@ -1,5 +1,6 @@
 """Piece encoding beside the library's own unigram search, and exact round trips."""
 
+import math
 import random
 import zlib
 
@@ -28,7 +29,7 @@ def library(tmp_path_factory):
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = TrainerSpec.UNIGRAM
     for p in proto.pieces:
-        hit = pieces.tree.get(p.piece.replace(op.MARK, " "))
+        hit = pieces.scores.get(p.piece.replace(op.MARK, " "))
         if hit is not None:
             p.score = hit[1]
         elif p.type == ModelProto.SentencePiece.NORMAL:
@@ -50,7 +51,7 @@ def texts():
 
 def cost(pieces, ids):
     """Log probability of a segmentation; byte runs count as unknown characters."""
-    by_id = {v[0]: v[1] for v in pieces.tree.values() if v is not None}
+    by_id = dict(pieces.scores.values())
     total, raw = 0.0, b""
     for i in [*ids, None]:
         if i in by_id or i is None:
@@ -71,6 +72,51 @@ def test_as_likely_as_the_library_and_round_trip(codec, library):
         assert cost(codec.pieces, ids.tolist()) == pytest.approx(cost(codec.pieces, want), rel=1e-5, abs=1e-3), text[:80]
 
 
+def whole_word(p, word):
+    """A plain search over one word, whose ends are both boundaries."""
+    n = len(word)
+    best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+    for i in range(n):
+        for k in range(i + 1, min(n, i + p.longest) + 1):
+            found, worth = p.scores.get(word[i:k], (-1, p.unknown if k == i + 1 else -math.inf))
+            if best[i] + worth > best[k]:
+                best[k], back[k] = best[i] + worth, (i, found)
+    out = []
+    while n:
+        i, found = back[n]
+        out = ([found] if found >= 0 else [p.byte_ids[b] for b in word[i:n].encode()]) + out
+        n = i
+    return out
+
+
+def test_every_id_of_a_text_is_committed_by_the_stream(monkeypatch):
+    codec, ends, plain = op.PieceCodec(MODEL), [], op.StreamingViterbi._commit
+
+    def commit(self, end):
+        out = plain(self, end)
+        ends.append((end, len(out)))
+        return out
+
+    monkeypatch.setattr(op.StreamingViterbi, "_commit", commit)
+    text = "the token, encoding of 12345 Schifffahrtsgesellschaften élève\nüber 中文 (a, b)"
+    words = codec.pieces.words.findall(" " + text)
+    got = codec.encode(text).tolist()
+    assert got == [i for w in words for i in whole_word(codec.pieces, w)]
+    assert len(set(words)) == len(words) and sum(n for _, n in ends) == len(got)
+    assert len(ends) > len(words)  # some words are committed in parts
+    assert codec.encode(text).tolist() == got
+
+
+def test_words_equal_a_plain_search(codec):
+    rng = random.Random(4)
+    for n in [*range(1, 40), 70, 150]:
+        for letters in ("etaoinshr", "ab=-.,", "é中🙂x", "0123456789"):
+            word = " " + "".join(rng.choice(letters) for _ in range(n))
+            ids = codec.encode(word[1:]).tolist()
+            want = whole_word(codec.pieces, word)
+            assert ids == want or cost(codec.pieces, ids) == pytest.approx(cost(codec.pieces, want), abs=1e-9)
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_stream_commits_early_and_equals_whole(codec, size):
     text = " " + " ".join(t for t in texts() if t and len(t) < 2000)
