@@ -22,10 +22,12 @@ from pyspark.sql.types import StructType
 from flowloom.llm.arrow import map_batches
 from flowloom.llm.wordtable import SPACE, Group, groups, window_hashes
 
-#: Share of characters that may lie inside repeated runs of n words.
-MAX_COVERAGE = {5: 0.45, 8: 0.35, 10: 0.35}
-#: Share of characters that may lie in lines that stood before.
-MAX_LINE_COVERAGE = 0.40
+#: Share of characters that may lie inside repeated runs of n words: the longer the run, the lower. These
+#: are the published limits of 0.15, 0.12 and 0.10 for the repeats alone (Rae et al. 2021, table A1), doubled,
+#: because the first of two equal runs counts here too.
+MAX_COVERAGE = {5: 0.30, 8: 0.24, 10: 0.20}
+#: Share of characters that may lie in lines that stood before (same source; the first line does not count).
+MAX_LINE_COVERAGE = 0.20
 #: Symbols per word.
 MAX_SYMBOLS = 0.3
 MIN_WORDS = 20
@@ -59,16 +61,17 @@ def repeated(group: Group, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
 
 
 def _lines(text: bytes) -> tuple[int, int, int]:
-    """Repeated lines with a word, their bytes, and the bytes of all lines with a word."""
+    """Repeated lines with a word, their characters, and the characters of all lines with a word."""
     count = dup = size = 0
     seen = set()
     for line in text.split(b"\n"):
         if not line.strip():
             continue
-        size += len(line)
+        chars = len(line) if line.isascii() else len(line.decode())
+        size += chars
         if line in seen:
             count += 1
-            dup += len(line)
+            dup += chars
         else:
             seen.add(line)
     return count, dup, size
@@ -91,7 +94,9 @@ def _measure(column: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray
                 symbols[k] = np.count_nonzero(_SYMBOL[part])
                 lines[k] = _lines(part.tobytes())
         n_words = np.diff(g.bounds)
-        size = np.concatenate([[0], np.cumsum(g.ends - g.starts)])
+        before = np.concatenate([[0], np.cumsum((g.buf & 0xC0) != 0x80)])
+        length = before[g.ends] - before[g.starts]  # characters of each word
+        size = np.concatenate([[0], np.cumsum(length)])
         total = np.maximum(size[g.bounds[1:]] - size[cut], 1)
         put("n_words", n_words)
         put("word_chars", chars)
@@ -102,7 +107,7 @@ def _measure(column: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray
             if n == BASE_RUN:
                 words = np.concatenate([[0], np.cumsum(inside)])
                 put("n_repeat_words", words[g.bounds[1:]] - words[cut])
-            covered = np.concatenate([[0], np.cumsum(np.where(inside, g.ends - g.starts, 0))])
+            covered = np.concatenate([[0], np.cumsum(np.where(inside, length, 0))])
             put(f"coverage_{n}", (covered[g.bounds[1:]] - covered[cut]) / total)
     return {k: np.concatenate(v) for k, v in rows.items()}
 
