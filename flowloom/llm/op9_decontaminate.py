@@ -4,13 +4,14 @@ Windows of ten normalised words of the benchmark (all words of a shorter item)
 become 64-bit keys. A document's windows are hashed as whole arrays, put together
 from runs of 1, 2, 4 and 8 words, and looked up in the key table; every hit is
 verified word by word in the join condition. The key table is broadcast only
-while its measured size is within ``broadcast_bytes``; beyond that the windows are
-shuffled to it.
+while its measured size is within ``broadcast_bytes``; beyond that single windows, each
+with its own words only, are shuffled to it, so the rows grow with the words of a text.
 
 Defined results: a null or empty text has no words and no hits, an item without
 words has no windows; rows with one key are judged together only if their texts
 are equal, and each keeps its own row; windows that several items share count
-for all of them; an empty benchmark leaves everything clean. Extra columns are
+for all of them; an empty benchmark leaves everything clean; a very long text is one
+array of words and one of keys, and one small row per window. Extra columns are
 ignored by ``find_hits`` and kept by ``remove_hits``.
 """
 
@@ -76,6 +77,41 @@ def window_table(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return keyed.select("item", "len", F.array_join("_words", " ").alias("words"), key.alias("key"))
 
 
+def _window_starts(lengths: list[int]) -> list[Column]:
+    """Where the windows of each length begin in a document's array of keys, after its marker."""
+    counts = [F.greatest(F.size("_words") - (k - 1), F.lit(0)) for k in lengths]
+    return [reduce(lambda a, b: a + b, counts[:i], F.lit(1)) for i in range(len(lengths) + 1)]
+
+
+def _hits_in_place(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits by a broadcast of the windows; a document's words stay where they are."""
+    mark = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("item"), F.lit(0).alias("len"), F.lit("").alias("words"), F.lit(_MARK).cast("long").alias("key"))
+    table = F.broadcast(windows.union(mark))
+    keys = F.concat(F.array(F.lit(_MARK).cast("long")), *[F.col(f"_w{k}") for k in lengths])
+    at = rows.select("_id", "text_hash", "_words", F.posexplode(keys).alias("_at", "key"))
+    n = F.size("_words")
+    place = F.coalesce(*[F.when(table["len"] == k, F.col("_at") - b) for k, b in zip(lengths, _window_starts(lengths))], F.lit(-1))
+    real = (place >= 0) & (place <= n - table["len"]) & (F.array_join(F.slice("_words", place + 1, F.greatest(table["len"], F.lit(1))), " ") == table["words"])
+    hit = at.join(table, (at["key"] == table["key"]) & F.when(F.col("_at") == 0, table["len"] == 0).when(place < 0, F.lit(False)).otherwise(real))
+    return hit.select("_id", "text_hash", n.alias("n"), "item", F.when(F.col("len") > 0, F.struct(place.alias("pos"), F.col("len"))).alias("span"))
+
+
+def _hits_by_shuffle(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits by a shuffle of single windows: place, key and the words of the window, not those of the text.
+
+    Markers have keys of their own, so they spread over all tasks; they have no words and meet no
+    window, and the outer join keeps them.
+    """
+    keys = F.concat(F.array(F.xxhash64("_id", "text_hash")), *[F.col(f"_w{k}") for k in lengths])
+    at = rows.select("_id", "text_hash", "_words", F.posexplode(keys).alias("_at", "key"))
+    starts = _window_starts(lengths)
+    inside = [F.when((F.col("_at") >= b) & (F.col("_at") < e), F.struct((F.col("_at") - b).alias("pos"), F.lit(k).alias("len"))) for k, b, e in zip(lengths, starts, starts[1:])]
+    span = F.coalesce(*inside, F.lit(None).cast("struct<pos:int,len:int>"))
+    at = at.select("_id", "text_hash", F.size("_words").alias("n"), "key", span.alias("span"), F.array_join(F.slice("_words", span["pos"] + 1, span["len"]), " ").alias("_run"))
+    hit = at.join(windows, (at["key"] == windows["key"]) & (at["span.len"] == windows["len"]) & (at["_run"] == windows["words"]), "left")
+    return hit.filter(F.col("span").isNull() | F.col("words").isNotNull()).select("_id", "text_hash", "n", "item", "span")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(key, text_hash, n_rows, n_words, hits, items)`` per key and text.
 
@@ -86,22 +122,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     windows = window_table(benchmark, window=window)
     per_length = windows.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + F.octet_length("item") + 64).alias("bytes")).collect()  # `window` rows at most
     lengths = sorted((r.len for r in per_length), reverse=True)
-    mark = benchmark.sparkSession.range(1).select(F.lit(None).cast("string").alias("item"), F.lit(0).alias("len"), F.lit("").alias("words"), F.lit(_MARK).cast("long").alias("key"))
-    table = windows.union(mark)
-    if sum(r.bytes for r in per_length) <= broadcast_bytes:
-        table = F.broadcast(table)
-
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("text_hash"), normal_words(F.col(text)).alias("_words"))
     rows = _run_hashes(rows, lengths)
-    keys = F.concat(F.array(F.lit(_MARK).cast("long")), *[F.col(f"_w{k}") for k in lengths])
-    at = rows.select("_id", "text_hash", "_words", F.posexplode(keys).alias("_at", "key"))
-    n = F.size("_words")
-    counts = [F.greatest(n - (k - 1), F.lit(0)) for k in lengths]
-    before = [reduce(lambda a, b: a + b, counts[:i], F.lit(1)) for i in range(len(lengths))]
-    place = F.coalesce(*[F.when(table["len"] == k, F.col("_at") - b) for k, b in zip(lengths, before)], F.lit(-1))
-    real = (place >= 0) & (place <= n - table["len"]) & (F.array_join(F.slice("_words", place + 1, F.greatest(table["len"], F.lit(1))), " ") == table["words"])
-    hit = at.join(table, (at["key"] == table["key"]) & F.when(F.col("_at") == 0, table["len"] == 0).when(place < 0, F.lit(False)).otherwise(real))
-    hit = hit.select("_id", "text_hash", n.alias("n"), "item", F.when(F.col("len") > 0, F.struct(place.alias("pos"), F.col("len"))).alias("span"))
+    small = sum(r.bytes for r in per_length) <= broadcast_bytes
+    hit = _hits_in_place(rows, windows, lengths) if small else _hits_by_shuffle(rows, windows, lengths)
     got = hit.groupBy("_id", "text_hash").agg(
         F.sum(F.when(F.col("span").isNull(), 1).otherwise(0)).alias("n_rows"),
         F.max("n").cast("long").alias("n_words"),

@@ -59,6 +59,24 @@ def test_hits_match_brute_force(spark, tables, limit):
     assert len(got) == len(docs) and all(r.contaminated == (r.n_hit > 0) for r in got)
 
 
+def test_long_text_is_shuffled_by_windows(spark, capsys):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(20_000))
+    w = text.split()
+    bench = [(i, " ".join(w[i * 700 : i * 700 + 25])) for i in range(20)] + [(50, "w1 none such"), (51, w[-1])]
+    docs = [(1, text), (2, text), (2, text), (3, "clean " * 2_000), (4, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    near, far = (op.find_hits(d, b, broadcast_bytes=limit) for limit in (op.BROADCAST_BYTES, 0))
+    rows = [sorted((r.doc_id, r.n_rows, r.n_words, tuple(sorted(r.hits)), tuple(r["items"])) for r in x.collect()) for x in (near, far)]
+    assert rows[0] == rows[1]
+    assert [(r[0], r[1], len(r[3]), list(r[4])) for r in rows[1]] == [(x[0], n, x[2], x[4]) for x, n in zip(plain(dict(docs).items(), bench), (1, 2, 1, 1))]
+    far.explain("formatted")
+    steps = capsys.readouterr().out.split("\n\n")
+    sent = [x for x in steps if "Exchange" in x.strip().split("\n")[0] and "_run#" in x]
+    assert sent and all("_words#" not in x for x in sent)
+
+
 def test_removal_takes_all_windows_and_leaves_clean_rows(spark, tables):
     docs, bench = tables
     d = spark.createDataFrame([(i, t, "e") for i, t in docs], "doc_id long, text string, _row string")
