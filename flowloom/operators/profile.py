@@ -368,10 +368,9 @@ def class_distribution(df: DataFrame, label: str = "canonical_label") -> DataFra
 
 
 # --- schemas -----------------------------------------------------------------
-def header_table(spark: SparkSession, headers: dict[str, Sequence[str]]) -> DataFrame:
-    """``(file, position, column)`` of the headers of several files."""
-    rows = [(f, i, c) for f, names in sorted(headers.items()) for i, c in enumerate(names)]
-    return spark.createDataFrame(rows, "file string, position int, column string")
+def header_table(files: DataFrame) -> DataFrame:
+    """``(file, position, column)`` of the headers of several files (``source_path, header``)."""
+    return files.select(F.col("source_path").alias("file"), F.posexplode("header").alias("position", "column"))
 
 
 def schema_consistency(headers: DataFrame) -> DataFrame:

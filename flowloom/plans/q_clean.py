@@ -11,11 +11,10 @@ from flowloom.operators import clean, dashboard, graph, packets, profile, valida
 from flowloom.operators.autoencoder import impute_features
 from flowloom.plans import views
 from flowloom.plans.oracle import big, day_first, month_first, n, r, ts, valid_ip, valid_port
-from flowloom.plans.q_sources import CONN, EVENT_OUT, _shown_connections, written_csvs
+from flowloom.plans.q_sources import CONN, EVENT_OUT, _shown_connections, written_layouts
 from flowloom.plans.registry import query
 from flowloom.plans.views import plain
 from flowloom.schemas import FLOW_FEATURES, TOPOLOGY_COLUMNS
-from flowloom.sources import tables
 
 
 @query("b1", f"SELECT original_label, canonical_label, {n()} FROM flows GROUP BY 1, 2", "flows")
@@ -377,12 +376,12 @@ def b26(spark, sf):
     "b27",
     """SELECT field, CASE WHEN field IN ('Flow ID', 'Timestamp') THEN field ELSE ' ' || field END AS found_column, true AS present
     FROM (SELECT unnest(['Flow ID', 'Source IP', 'Source Port', 'Destination IP', 'Destination Port', 'Protocol', 'Timestamp', 'Label']) AS field)
-    UNION ALL SELECT 'Absent', NULL, false""",
+    UNION ALL SELECT 'Absent', NULL, false UNION ALL SELECT 'Label', NULL, false""",
 )
 def b27(spark, sf):
     """Required header fields per file, matched after stripping."""
     from flowloom.schemas import REQUIRED_TOPOLOGY_FIELDS
 
-    headers = profile.header_table(spark, tables.csv_headers(spark, written_csvs(spark, sf, "b27")))
+    headers = written_layouts(spark, sf, "b27")
     found = profile.required_field_presence(headers, [*REQUIRED_TOPOLOGY_FIELDS, "Absent"])
     return found.groupBy("field", "found_column").agg(F.bool_and("present").alias("present"))

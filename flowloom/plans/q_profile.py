@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from flowloom.operators import clean, profile, split
 from flowloom.plans import views
 from flowloom.plans.oracle import big, month_first, n, r, valid_ip, valid_port
-from flowloom.plans.q_sources import SPLIT_CTE, written_csvs
+from flowloom.plans.q_sources import SPLIT_CTE, written_layouts
 from flowloom.plans.registry import query
 from flowloom.plans.views import plain
-from flowloom.sources import tables
 
 CONTENT = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, canonical_label, bytes_s, packets_s"
 
@@ -228,10 +227,10 @@ def i4(spark, sf):
 
 
 # --- schemas and leakage -----------------------------------------------------
-@query("g1", "SELECT true AS consistent, CAST(12 AS BIGINT) AS column_count")
+@query("g1", "SELECT true AS consistent, CAST(12 AS BIGINT) AS column_count UNION ALL SELECT false, 11")
 def g1(spark, sf):
-    """Cross-file schema consistency of written files."""
-    headers = profile.header_table(spark, tables.csv_headers(spark, written_csvs(spark, sf, "g1")))
+    """Cross-file schema consistency of written files, some of which lack a column."""
+    headers = written_layouts(spark, sf, "g1")
     return profile.schema_consistency(headers).groupBy("column_count").agg(F.bool_and("consistent").alias("consistent"))
 
 

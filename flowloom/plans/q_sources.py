@@ -40,6 +40,14 @@ def written_csvs(spark: SparkSession, sf_dir: str, name: str) -> str:
     return path
 
 
+def written_layouts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Headers of files of two layouts: those of the last capture lack the label."""
+    path, raw = scratch(spark, name), _with_raw_header(views.raw_flows(spark, sf_dir))
+    raw_csv_writer(raw).csv(f"{path}/a")
+    raw_csv_writer(raw.drop(" Label").limit(1000)).csv(f"{path}/b")
+    return profile.header_table(tables.csv_files(spark, path, recursive=True))
+
+
 LABEL_COUNTS = f"""SELECT "Label" AS label, "Protocol" AS protocol, {n()}, {n('"Source IP" IS NULL', 'blank')} FROM raw_flows GROUP BY 1, 2"""
 
 
@@ -70,10 +78,10 @@ def a2(spark, sf):
     old = raw.filter("source_file = 'capture_1.csv'").withColumn("Label", F.translate("Label", "�", "\x96"))
     raw_csv_writer(_with_raw_header(old)).option("encoding", tables.LATIN1).csv(f"{path}/old")
     raw_csv_writer(_with_raw_header(raw.filter("source_file <> 'capture_1.csv'"))).csv(f"{path}/new")
-    seen = tables.file_encodings(spark, path, recursive=True)
-    rows = tables.read_flow_csvs(spark, path, recursive=True, columns=["Label"])
+    seen = tables.csv_files(spark, path, recursive=True).select("source_path", "encoding")
+    rows = tables.read_flow_csvs(spark, path, recursive=True, columns=["Label"], with_path=True)
     labelled = rows.withColumn("canonical_label", clean.canonical_label("Label"))
-    return plain(labelled.join(seen, "source_file").groupBy("canonical_label", "encoding").agg(F.count("*").alias("n")))
+    return plain(labelled.join(seen, "source_path").groupBy("canonical_label", "encoding").agg(F.count("*").alias("n")))
 
 
 @query(
@@ -209,7 +217,7 @@ def a10(spark, sf):
     tables.replace_graph(attack_nodes, attack_edges, path, "v1")
     tables.replace_graph(attack_nodes, attack_edges, path, "v2")
     tables.replace_graph(nodes, edges, path, "v1")
-    stored = spark.read.parquet(f"{path}/edges")
+    stored = tables.read_graph(spark, path, "edges")
     return plain(stored.groupBy("graph_version").agg(F.count("*").alias("edges"), F.sum("flow_count").alias("flows")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.schemas import EDGE_COLUMNS, NODE_COLUMNS, PACKET, REPEATED_HEADER_COLUMN
+from flowloom.session import shared_dir
+from flowloom.sources import snapshots
 
 LATIN1 = "ISO-8859-1"
 
@@ -27,73 +30,93 @@ def unique_names(header: Sequence[str]) -> list[str]:
 
 
 def csv_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``(source_file, line)`` of all CSV files; the text source keeps bytes as they are."""
+    """``(source_path, source_file, block_start, line)`` of all CSV files; the text source keeps bytes as they are."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv")
     return reader.text(path).select(
+        F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("value").alias("line"),
     )
 
 
-def decoded(line: Column | str) -> Column:
-    """A raw line as text: UTF-8 if its bytes allow, else Latin-1."""
-    raw = F.col(line) if isinstance(line, str) else line
-    return F.when(F.call_function("is_valid_utf8", raw), raw).otherwise(F.decode(raw.cast("binary"), LATIN1))
+def header_names(line: Column | str) -> Column:
+    """A header line as raw column names; a comma or a doubled quote may stand inside quotes."""
+    parts = F.split(F.regexp_replace(line, "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda p: F.when(p.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_extract(p, r'^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
-def file_encodings(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Per file: ``utf-8`` when every line decodes as such, else ``latin1``."""
-    good = F.call_function("is_valid_utf8", F.col("line"))
-    return csv_lines(spark, path, recursive).groupBy("source_file").agg(
-        F.when(F.bool_and(good), "utf-8").otherwise("latin1").alias("encoding")
+def csv_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """``(source_path, source_file, encoding, header)`` per file, from one scan.
+
+    ``encoding`` is ``utf-8`` when every line decodes as such, else ``latin1``; files are
+    told apart by their paths. A file without a line is not listed.
+    """
+    numbered = csv_lines(spark, path, recursive).withColumn("_i", F.monotonically_increasing_id())
+    opens = F.col("block_start") == 0
+    found = numbered.groupBy("source_path", "source_file").agg(
+        F.when(F.bool_and(F.call_function("is_valid_utf8", F.col("line"))), "utf-8").otherwise("latin1").alias("encoding"),
+        F.min_by("line", F.when(opens, F.col("_i"))).alias("_head"),
     )
+    head = F.when(F.col("encoding") == "utf-8", F.col("_head")).otherwise(F.decode(F.col("_head").cast("binary"), LATIN1))
+    return found.select("source_path", "source_file", "encoding", header_names(head).alias("header"))
 
 
-def csv_headers(spark: SparkSession, path: str, recursive: bool = False) -> dict[str, list[str]]:
-    """First line of every file, split into raw column names (one row per file)."""
-    first = csv_lines(spark, path, recursive).filter("block_start = 0").withColumn("_i", F.monotonically_increasing_id())
-    heads = first.groupBy("source_file").agg(F.min_by(decoded("line"), "_i").alias("h"))
-    return {r["source_file"]: r["h"].lstrip("\ufeff").split(",") for r in heads.collect()}
+def _as_utf8(cell: Column) -> Column:
+    """A cell whose bytes were read as Latin-1; only cells beyond ASCII are converted."""
+    wide = F.octet_length(cell) > F.char_length(cell)
+    return F.when(wide, F.decode(F.encode(cell, LATIN1), "UTF-8")).otherwise(cell)
 
 
 def read_flow_csvs(
-    spark: SparkSession, path: str, recursive: bool = False, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, recursive: bool = False, columns: Sequence[str] | None = None, with_path: bool = False
 ) -> DataFrame:
     """All flow files as text columns under stripped names, with ``source_file``.
 
-    Each file is decoded as UTF-8 if the whole of it allows that, else as
-    Latin-1. Files are grouped by header, so one scan serves all files of one
-    layout; ``columns`` keeps only these names. Nothing is inferred.
+    Each file is decoded as UTF-8 if the whole of it allows that, else as Latin-1;
+    ``columns`` keeps only these names, ``with_path`` adds ``source_path``. Nothing is inferred.
+
+    One scan makes the table of files (stored, one row per file), a second one reads
+    all files alike as Latin-1, which keeps every byte. Where files differ in layout or
+    encoding, rows meet their file's row by path, and the optimizer broadcasts the stored
+    table while it is below its limit. Only the distinct layouts reach the driver.
     """
-    headers = csv_headers(spark, path, recursive)
-    encodings = {r["source_file"]: r["encoding"] for r in file_encodings(spark, path, recursive).collect()}
-    groups: dict[tuple, list[str]] = {}
-    for name, header in sorted(headers.items()):
-        groups.setdefault((tuple(header), encodings.get(name, "utf-8")), []).append(name)
-    parts = []
-    for (header, encoding), files in groups.items():
-        names = unique_names(header)
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        reader = (
-            spark.read.schema(schema)
-            .option("header", "true")
-            .option("enforceSchema", "true")
-            .option("recursiveFileLookup", str(recursive).lower())
-            .option("pathGlobFilter", "*.csv")
-            .option("encoding", "UTF-8" if encoding == "utf-8" else LATIN1)
-        )
-        rows = reader.csv(path).withColumn("source_file", F.col("_metadata.file_name"))
-        if len(groups) > 1:  # one layout needs no file list in the plan
-            rows = rows.filter(F.col("source_file").isin(*files))
-        kept = [(i, n) for i, n in enumerate(names) if n != REPEATED_HEADER_COLUMN and (columns is None or n in columns)]
-        parts.append(rows.select(*[F.col(f"c{i}").alias(n) for i, n in kept], "source_file"))
-    if not parts:
+    stored = f"{shared_dir(spark)}/csv-files-{uuid.uuid4().hex}"
+    csv_files(spark, path, recursive).write.parquet(stored)
+    files = spark.read.parquet(stored)
+    kinds = files.select("header", "encoding").distinct().collect()
+    layouts = sorted({tuple(r["header"]) for r in kinds})
+    if not layouts:
         raise FileNotFoundError(f"no CSV files under {path}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(map(len, layouts)))])
+    reader = (
+        spark.read.schema(schema)
+        .option("header", "true")
+        .option("enforceSchema", "true")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", "*.csv")
+        .option("encoding", LATIN1)
+    )
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"))
+    utf8 = F.lit(kinds[0]["encoding"] == "utf-8")
+    if len(kinds) > 1:
+        number = F.coalesce(*[F.when(F.col("header") == F.array(*map(F.lit, h)), F.lit(i)) for i, h in enumerate(layouts)])
+        rows = rows.join(files.select("source_path", "encoding", number.alias("_layout")), "source_path")
+        utf8 = F.col("encoding") == "utf-8"
+    places: dict[str, dict[int, int]] = {}
+    for i, layout in enumerate(layouts):
+        for at, name in enumerate(unique_names(layout)):
+            if name != REPEATED_HEADER_COLUMN and (columns is None or name in columns):
+                places.setdefault(name, {})[i] = at
+
+    def cell(at: dict[int, int]) -> Column:
+        if len(at) == len(layouts) and len(set(at.values())) == 1:
+            raw = F.col(f"c{at[0]}")
+        else:
+            raw = F.coalesce(*[F.when(F.col("_layout") == i, F.col(f"c{k}")) for i, k in at.items()])
+        return F.when(utf8, _as_utf8(raw)).otherwise(raw)
+
+    return rows.select(*[cell(at).alias(name) for name, at in places.items()], "source_file", *(["source_path"] if with_path else []))
 
 
 # --- packets -----------------------------------------------------------------
@@ -193,17 +216,14 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def replace_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str) -> int:
-    """Replace one version of the stored graph; other versions stay. Edge count back."""
-    for name, table in (("nodes", nodes), ("edges", edges)):
-        (
-            table.withColumn("graph_version", F.lit(version))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("graph_version")
-            .parquet(f"{path}/{name}")
-        )
-    stored = nodes.sparkSession.read.parquet(f"{path}/edges")
-    return stored.filter(F.col("graph_version") == version).count()
+    """Replace one version of the stored graph, nodes and edges together; other versions stay. Edge count back."""
+    snapshots.replace({"nodes": nodes, "edges": edges}, path, version, "graph_version")
+    return read_graph(nodes.sparkSession, path, "edges", version).count()
+
+
+def read_graph(spark: SparkSession, path: str, table: str, version: str | None = None) -> DataFrame:
+    """``nodes`` or ``edges`` of one stored version, or of all, with ``graph_version``."""
+    return snapshots.read(spark, path, table, version)
 
 
 UID_PREFIX = {"offline_demo": "offline-demo-", "live": "live-", "test_event": "test-"}

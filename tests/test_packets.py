@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flowloom.operators import autoencoder, context, knn, packets, sessionize
 from flowloom.operators.ordered import Slices, with_slices
 from flowloom.schemas import FLOW_FEATURES, PACKET, SessionLimits
-from flowloom.sources.tables import flags_from_letters, parse_packet_lines, read_flow_csvs, unique_names
+from flowloom.sources import snapshots
+from flowloom.sources.tables import csv_files, flags_from_letters, parse_packet_lines, read_flow_csvs, read_graph, replace_graph, unique_names
 from flowloom.streaming.edges import keep_recent_edges, live_edge_context
 
 T0 = datetime(2024, 1, 1)
@@ -288,3 +289,58 @@ def test_csv_scan_with_mixed_encodings(spark, tmp_path):
     assert df.columns == ["Fwd Header Length", "Label", "source_file"]
     got = {(r.source_file, r.Label) for r in df.collect()}
     assert got == {("one.csv", "Web Attack � XSS"), ("two.csv", "Web Attack \x96 XSS"), ("two.csv", None)}
+
+
+def test_csv_files_of_one_name_are_told_apart(spark, tmp_path):
+    for name, content in {
+        "x/day.csv": "Label,Port\nWeb Attack é,1\n".encode(),
+        "y/day.csv": b"Label,Port\nWeb Attack \xe9,2\n",
+        "y/old.csv": 'Port," Flow, ""all"" ", Label\n3,"a, b",Plain\n'.encode(),
+        "z/bom.csv": "\ufeffLabel,Port\nlast,4\n".encode(),
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    seen = {"/".join(r.source_path.split("/")[-2:]): (r.encoding, r.header) for r in csv_files(spark, str(tmp_path), recursive=True).collect()}
+    assert seen == {
+        "x/day.csv": ("utf-8", ["Label", "Port"]),
+        "y/day.csv": ("latin1", ["Label", "Port"]),
+        "y/old.csv": ("utf-8", ["Port", ' Flow, "all" ', " Label"]),
+        "z/bom.csv": ("utf-8", ["Label", "Port"]),
+    }
+    rows = read_flow_csvs(spark, str(tmp_path), recursive=True)
+    got = {(r.source_file, r.Label, r.Port, r['Flow, "all"']) for r in rows.collect()}
+    assert got == {("day.csv", "Web Attack é", "1", None), ("day.csv", "Web Attack é", "2", None), ("old.csv", "Plain", "3", "a, b"), ("bom.csv", "last", "4", None)}
+    with pytest.raises(FileNotFoundError):
+        read_flow_csvs(spark, str(tmp_path))
+
+
+def test_half_a_snapshot_is_never_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "graph")
+    table = lambda n, name: spark.range(n).withColumnRenamed("id", name)
+    assert replace_graph(table(3, "ip"), table(2, "edge"), path, "v1") == 2
+    assert replace_graph(table(5, "ip"), table(7, "edge"), path, "007") == 7
+
+    broken = table(4, "edge").selectExpr("edge", "raise_error('lost') AS x")
+    with pytest.raises(Exception, match="lost"):
+        replace_graph(table(9, "ip"), broken, path, "v1")  # nodes are written, edges are not
+    counts = lambda: {(t, r.graph_version): r["count"] for t in ("nodes", "edges") for r in read_graph(spark, path, t).groupBy("graph_version").count().collect()}
+    assert counts() == {("nodes", "v1"): 3, ("edges", "v1"): 2, ("nodes", "007"): 5, ("edges", "007"): 7}
+
+    # another writer commits between the start and the commit of this one
+    plain, others = snapshots._commit, [("v2", "ok"), ("v1", "conflict")]
+
+    def late(spark, path, number, content):
+        if others:
+            version, _ = others.pop(0)
+            monkeypatch.setattr(snapshots, "_commit", plain)
+            replace_graph(table(1, "ip"), table(1, "edge"), path, version)
+        return plain(spark, path, number, content)
+
+    monkeypatch.setattr(snapshots, "_commit", late)
+    assert replace_graph(table(6, "ip"), table(6, "edge"), path, "v1") == 6  # another version: both stay
+    monkeypatch.setattr(snapshots, "_commit", late)
+    with pytest.raises(snapshots.SnapshotConflict):
+        replace_graph(table(8, "ip"), table(8, "edge"), path, "v1")
+    assert counts() == {("nodes", "v1"): 1, ("edges", "v1"): 1, ("nodes", "007"): 5, ("edges", "007"): 7, ("nodes", "v2"): 1, ("edges", "v2"): 1}
+    assert snapshots.expire(spark, path, keep=1) == 4  # both tables of the first two states of v1
+    assert counts()[("edges", "007")] == 7
