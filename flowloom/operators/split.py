@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def stratified_split(
     """Add ``split``: disjoint, covering, with exact per-class proportions.
 
     Rows of a class are ranked in a fixed pseudo-random order and cut at the
-    rounded cumulative shares. Classes below ``least`` rows go to the first
+    cumulative shares, rounded half up in decimals (in doubles 0.7 * 45 is below 31.5). Classes below ``least`` rows go to the first
     split whole.
     """
     if abs(sum(f for _, f in fractions) - 1.0) > 1e-9:
@@ -32,7 +33,8 @@ def stratified_split(
     chosen = F.when(F.col("group_rows") < least, first)
     for name, fraction in fractions[:-1]:
         share += fraction
-        chosen = chosen.when(F.col("rank") <= F.round(F.col("group_rows") * F.lit(round(share, 9))), name)
+        upto = F.round(F.col("group_rows").cast("decimal(20,0)") * F.lit(Decimal(str(round(share, 9)))))
+        chosen = chosen.when(F.col("rank") <= upto, name)
     return ranked.withColumn("split", chosen.otherwise(fractions[-1][0])).drop("rank", "group_rows")
 
 

@@ -137,6 +137,14 @@ def test_split_is_exact_disjoint_and_covering(spark):
     assert sizes[("rare", "train")] == 2 and sum(sizes.values()) == 302
 
 
+def test_split_cuts_at_half_a_row_are_rounded_up(spark):
+    """0.7 * 45 is 31.5 and 0.7 * 85 is 59.5, which doubles put just below the half."""
+    df = spark.range(130).select("id", F.when(F.col("id") < 45, "a").otherwise("b").alias("l"))
+    sizes = {(r.l, r.split): r["count"] for r in split.stratified_split(df, "l", F.col("id")).groupBy("l", "split").count().collect()}
+    assert [sizes[("a", s)] for s in ("train", "val", "test")] == [32, 6, 7]
+    assert [sizes[("b", s)] for s in ("train", "val", "test")] == [60, 12, 13]
+
+
 def test_exact_percentiles_against_numpy(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.exponential(size=3000), np.full(1500, 0.25)])
