@@ -199,8 +199,8 @@ def exact_percentiles(
     brackets each wanted rank; only rows inside the bracket (a share of about
     ``2 * margin``, or the whole group when it is small) are counted by distinct
     value and walked in order. ``groups`` are meant to be columns with few
-    distinct values (labels, classes): one bracket row per group meets the rows,
-    and the optimizer broadcasts those rows under its own size limit.
+    distinct values (labels, classes): one bracket row per group meets the rows. It is broadcast: a shuffle
+    by group would put every row of a class into one task.
     """
     groups = list(groups)
     rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -226,7 +226,7 @@ def exact_percentiles(
     )
     sketch = sketch.select(*groups, "_n", brackets.alias("_brackets"))
     if groups:
-        met = rows.join(sketch, groups)
+        met = rows.join(F.broadcast(sketch), groups)
     else:
         one = sketch.select(F.struct("_n", "_brackets").alias("s"))
         met = rows.withColumn("_s", one.scalar()).select("_v", "_s._n", "_s._brackets")

@@ -145,6 +145,18 @@ def test_split_cuts_at_half_a_row_are_rounded_up(spark):
     assert [sizes[("b", s)] for s in ("train", "val", "test")] == [60, 12, 13]
 
 
+def test_percentiles_by_class_do_not_shuffle_rows_by_class(spark):
+    """Whatever the optimizer thinks of the sizes: a class is not put into one task to meet its brackets."""
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("v"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ordered.exact_percentiles(df, "v", [0.5], ["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_exact_percentiles_against_numpy(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.exponential(size=3000), np.full(1500, 0.25)])
