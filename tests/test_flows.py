@@ -145,6 +145,25 @@ def test_split_cuts_at_half_a_row_are_rounded_up(spark):
     assert [sizes[("b", s)] for s in ("train", "val", "test")] == [60, 12, 13]
 
 
+def test_snapshots_of_a_graph_read_its_edges_once(spark, monkeypatch):
+    """Three versions of two tables are written; the rows that the edges come from are computed once."""
+    from flowloom.plans import q_sources, views
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return n
+
+    udf = F.udf(counted, "long").asNondeterministic()
+    rows = [("a", "b", 5, 2), ("b", "c", 3, 0), ("a", "c", 1, 1)]
+    edges = spark.createDataFrame([(s, d, n, n - k, k, k / n) for s, d, n, k in rows], "src_ip string, dst_ip string, flow_count long, benign_flow_count long, attack_flow_count long, attack_ratio double").coalesce(1)
+    monkeypatch.setattr(views, "edges", lambda *_: edges.withColumn("flow_count", udf("flow_count")))
+    got = {r.graph_version: (r.edges, r.flows) for r in q_sources.a10(spark, "").collect()}
+    assert got == {"v1": (3, 9), "v2": (2, 6)}
+    assert seen.value == 3
+
+
 def test_percentiles_by_class_do_not_shuffle_rows_by_class(spark):
     """Whatever the optimizer thinks of the sizes: a class is not put into one task to meet its brackets."""
     df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("v"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
