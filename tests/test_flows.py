@@ -46,6 +46,18 @@ def test_graph_build_from_raw_rows(spark):
     assert window.count() == 2
 
 
+def test_edges_hold_all_protocols_and_shuffle_flows_once(spark):
+    sets = [[0, 63, 64, 127, 128, 191, 192, 255], [63], [17, 6], [255, 1], [None], list(range(256))]
+    rows = [(f"10.0.0.{i}", B, 1000 + j % 3, 80 if j % 2 else None, p, "BENIGN") for i, ps in enumerate(sets) for j, p in enumerate(ps)]
+    flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, canonical_label string")
+    edges = graph.build_edges(flows.withColumns({"ts": F.lit("2017-07-03").cast("timestamp"), "fwd_bytes": F.lit(1.0), "bwd_bytes": F.lit(1.0)}))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
+    got = {e.src_ip: (e.protocols_seen, e.unique_source_ports, e.unique_destination_ports) for e in edges.collect()}
+    assert got == {f"10.0.0.{i}": (sorted(p for p in ps if p is not None), min(3, len(ps)), min(1, len(ps) // 2)) for i, ps in enumerate(sets)}
+    assert "sequence(0, 255" not in edges._jdf.queryExecution().analyzed().toString()  # no walk over all numbers for every edge
+
+
 @pytest.mark.parametrize(
     ("column", "value", "reason"),
     [("Source IP", "1.2.3.256", "ip"), ("Destination IP", "01.2.3.4", "ip"), ("Source Port", "70000", "port"), ("Destination Port", "1.5", "port"), ("Timestamp", "yesterday", "timestamp")],
