@@ -137,19 +137,21 @@ def topology_issues(raw: DataFrame, file_column: str = "source_file", examples:
             F.col("Timestamp").isNotNull() & timestamp("Timestamp", day_first=False).isNull(),
         ),
     }
-    counted = raw.groupBy(file_column).agg(F.count("*").alias("rows"), *[F.count_if(bad).alias(f"c{i}") for i, (_, bad) in enumerate(checks.values())])
-    sizes = counted.select(file_column, "rows")
-    each = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("issue_count")) for i, name in enumerate(checks)])
-    issues = counted.select(file_column, F.inline(each)).filter("issue_count > 0")
-    # only rows that fail something leave values
+    sizes = raw.groupBy(file_column).agg(F.count("*").alias("rows"))
+    # only rows that fail something leave values, so every check is made once
     fails = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(name).alias("check"), F.coalesce(_q(c), F.lit("nan")).alias("value"))) for name, (c, bad) in checks.items()]))
-    found = raw.select(file_column, F.explode(fails).alias("f")).select(file_column, "f.check", "f.value").distinct()
+    failed = raw.select(file_column, F.explode(fails).alias("f")).select(file_column, "f.check", "f.value")
+    found = failed.groupBy(file_column, "check", "value").agg(F.count("*").alias("_n"))
+    issues = found.groupBy(file_column, "check").agg(F.sum("_n").alias("issue_count"))
     order = Window.partitionBy(file_column, "check").orderBy("value")
     sample = (
         found.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= examples)
         .groupBy(file_column, "check")
-        .agg(F.array_sort(F.collect_list("value")).alias("examples"))
+        # the count is carried along, so that both branches read one exchange of the values
+        .agg(F.array_sort(F.collect_list(F.struct("value", "_n"))).alias("_held"))
+        .withColumn("examples", F.col("_held.value"))
+        .drop("_held")
     )
     issues = issues.join(sample, [file_column, "check"])
     data = [c for c in raw.columns if c != file_column]

@@ -278,3 +278,31 @@ def test_policy(spark):
     assert response_actions(ready, PolicyConfig(enabled=False)).count() == 0
     with pytest.raises(ValueError):
         PolicyConfig(alert_threshold=9.0, block_threshold=8.0)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_of_raw_rows_are_made_once(spark):
+    """Every check stands once in the plan; a port in plain digits and a month above 12 are told by their shape."""
+    issues = profile.topology_issues(raw(spark))
+    issues.collect()
+    final = issues._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("unparseable timestamp") == 1
+    ports = ["0", "0080", "9999", "59999", "60000", "65535", "65536", "99999", "1.5", "80.0", "-1", "", None, " 80 "]
+    assert [bool(r[0]) for r in spark.createDataFrame([(p,) for p in ports], "p string").select(net.is_valid_port("p")).collect()] == [True] * 6 + [False] * 3 + [True] + [False] * 3 + [True]
+    times = ["13/7/2017 08:00", "7/13/2017 08:00", "13/13/2017 08:00", "12/7/2017 08:00"]
+    shown = spark.createDataFrame([(t,) for t in times], "t string").select(*[F.date_format(parsing.timestamp("t", day_first=d), "M-d").alias(str(d)) for d in (True, False)]).collect()
+    assert [tuple(r) for r in shown] == [("7-13", "7-13"), ("7-13", "7-13"), (None, None), ("7-12", "12-7")]
+
+
+def test_a_score_and_a_target_are_evaluated_once(spark):
+    edge = {"edge_attack_ratio": F.lit(0.5), "edge_attack_flow_count": F.lit(3), "edge_flow_count": F.lit(6), "edge_attack_label_count": F.lit(1)}
+    times = {c: F.col("created_at") for c in ("edge_first_seen", "edge_last_seen")}
+    rows = spark.createDataFrame([("e", A, 1.0)], "event_id string, source_ip string, anomaly_score double").withColumn("created_at", F.lit("2017-07-03").cast("timestamp") + F.expr("INTERVAL 1 HOUR") * F.col("anomaly_score").cast("int"))
+    scored = rows.withColumns(edge).withColumns(times).transform(score_risk(RiskConfig(anomaly_threshold=0.1), explained=False))
+    acts = response_actions(scored, PolicyConfig())
+    plan = _optimized(acts)
+    assert plan.count("EXP(") == 1  # the filter on the decision holds no copy of the score
+    assert str(net.target_scope("ip", "10.0.0.0/8")).count("reserved by IANA") == 1
