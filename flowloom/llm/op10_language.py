@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from flowloom.llm.arrow import map_batches
+from flowloom.llm.arrow import column_at, map_batches
 from flowloom.llm.sample import crc_fold, hash_share
 from flowloom.llm.stored import stored
 from flowloom.llm.wordtable import PUNCT, Group, HashRows, byte_class, groups, span_hashes
@@ -158,9 +158,9 @@ def _has_letter(text: np.ndarray) -> bool:
     return bool(_LETTER[text].any()) or any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace"))
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model | None, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model | None, columns: list[str], text: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for g in groups(batch.column("_text"), PUNCT, fold=True):
+        for g in groups(column_at(batch, text), PUNCT, fold=True):
             part = batch.slice(g.first, g.size)
             names, score = [UNKNOWN] * g.size, np.zeros(g.size)
             if model is not None:
@@ -175,17 +175,20 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model | None, col
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names, pa.string()), pa.array(score)], schema=schema)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """``lang_pred`` and ``score`` for each row, beside the columns in ``keep``."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: dict[str, Column] | None = None, inside: str | None = None) -> DataFrame:
+    """``lang_pred`` and ``score`` for each row, beside the columns in ``keep``.
+
+    ``inside`` names the struct of ``keep`` that already holds the text.
+    """
     keep = keep or {}
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], *([F.col(text).alias("_text")] if inside is None else []))
     out = StructType([*(rows.schema[n] for n in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_batches(rows, _predict_shared, out, shared, list(keep))
+    return map_batches(rows, _predict_shared, out, shared, list(keep), ("_text",) if inside is None else (inside, text))
 
 
-def _predict_shared(batches: Iterator[pa.RecordBatch], shared, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    return _predict_batches(batches, shared.value, columns, schema)
+def _predict_shared(batches: Iterator[pa.RecordBatch], shared, columns: list[str], text: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    return _predict_batches(batches, shared.value, columns, text, schema)
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -202,4 +205,4 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def known_language(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose language could be told, with their columns as they were."""
     model = fit(training_rows(docs, key), key)
-    return predict(docs, model, keep={"_row": F.struct("*")}).filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    return predict(docs, model, keep={"_row": F.struct("*")}, inside="_row").filter(F.col("lang_pred") != UNKNOWN).select("_row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowloom.llm.arrow import map_batches
+from flowloom.llm.arrow import column_at, map_batches
 from flowloom.llm.wordtable import SPACE, Group, groups, window_hashes
 
 #: Share of characters that may lie inside repeated runs of n words: the longer the run, the lower. These
@@ -121,27 +121,26 @@ def _judge(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return m | {"base_failed": base, "kept": kept}
 
 
-def _batches(batches: Iterator[pa.RecordBatch], text: str, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], text: tuple[str, ...], columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     lengths = tuple(sorted({*MAX_COVERAGE, BASE_RUN}))
     for batch in batches:
         if batch.num_rows:
-            got = _judge(_measure(batch.column(text), lengths))
+            got = _judge(_measure(column_at(batch, text), lengths))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(got[c]) for c in _RESULT], schema=schema)
 
 
-def _apply(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+def _apply(docs: DataFrame, text: tuple[str, ...], columns: list[str]) -> DataFrame:
     out = StructType([docs.schema[c] for c in columns])
     for name, kind in _RESULT.items():
         out = out.add(name, kind)
-    return map_batches(docs.select(*dict.fromkeys([*columns, text])), _batches, out, text, columns)
+    return map_batches(docs.select(*dict.fromkeys([*columns, text[0]])), _batches, out, text, columns)
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key, the counts and the verdict."""
-    return _apply(docs, text, [key])
+    return _apply(docs, (text,), [key])
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that pass, with their columns as they were."""
-    numbered = docs.select(F.col(text).alias("_text"), F.struct("*").alias("_row"))
-    return _apply(numbered, "_text", ["_row"]).filter("kept").select("_row.*")
+    return _apply(docs.select(F.struct("*").alias("_row")), ("_row", text), ["_row"]).filter("kept").select("_row.*")

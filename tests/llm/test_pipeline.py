@@ -71,3 +71,11 @@ def test_query_matches_sql(spark, key):
 
 def test_one_query_per_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_stages_that_keep_rows_send_a_text_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in ("language_id", "quality_rules"):
+        plan = dict(corpus_pipeline.STAGES)[stage](spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+        sent = plan[plan.index("MapInArrow") :].split("\n")[1]
+        assert "_row" in sent and "_text" not in sent, sent
