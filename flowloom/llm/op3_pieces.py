@@ -45,7 +45,8 @@ from flowloom.llm.arrow import map_batches
 MARK = "▁"
 UNKNOWN = 10.0
 NEVER = -1e6
-MAX_CACHED = 400_000
+#: Words in each of the two ages of the cache.
+MAX_CACHED = 60_000
 #: Longer words are searched again each time, which bounds the cache.
 MAX_KEPT = 64
 CHUNK = 1 << 16
@@ -129,7 +130,10 @@ class StreamingViterbi:
         self.start += [0] * n
         self.piece += [-1] * n
         # a start is opened once all pieces from it can be seen
-        out = self._open(len(self.text) - self.p.longest + 1)
+        stop = len(self.text) - self.p.longest + 1
+        if stop <= self.at:
+            return []
+        out = self._open(stop)
         if 2 * self.done > len(self.text):
             self._forget()
         return out
@@ -138,7 +142,8 @@ class StreamingViterbi:
         """The remaining ids; the search is ready for another text."""
         stop = len(self.text)
         out = self._open(stop)
-        out += self._commit(stop)
+        if self.done < stop:
+            out += self._commit(stop)
         self._restart()
         return out
 
@@ -165,14 +170,14 @@ class StreamingViterbi:
                 self.check = i + max(CHECK_EVERY, i - self.done)
             score, kids, k = best[i], tree, i
             for c in text[i : i + longest]:
-                hit = kids.get(c)
-                if hit is None:
+                if c not in kids:
                     break
                 k += 1
-                found, worth, kids = hit
+                found, worth, kids = kids[c]
                 if found >= 0:
-                    if score + worth > best[k]:
-                        best[k], start[k], piece[k] = score + worth, i, found
+                    worth += score
+                    if worth > best[k]:
+                        best[k], start[k], piece[k] = worth, i, found
                     if k > reach:
                         reach = k
                 if kids is None:
@@ -215,16 +220,28 @@ class StreamingViterbi:
 
 
 class _Cache(dict):
-    """Words to the id bytes that the search gave for them."""
+    """Words to the id bytes that the search gave for them.
+
+    A full cache becomes the old one, and a word found there moves on to the new one, so frequent words stay.
+    ``unsound``: the ids of some word did not decode to it.
+    """
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.search, self.code = StreamingViterbi(pieces), "H" if pieces.width == "<u2" else "I"
+        self.old: dict[str, bytes] = {}
+        self.unsound = False
 
     def __missing__(self, word: str) -> bytes:
-        got = array(self.code, self.search.encode(word)).tobytes()
+        got = self.old.get(word)
+        if got is None:
+            ids = self.search.encode(word)
+            if b"".join(map(self.search.p.bytes_of.__getitem__, ids)) != word.encode():
+                self.unsound = True
+            got = array(self.code, ids).tobytes()
         if len(word) <= MAX_KEPT:
             if len(self) >= MAX_CACHED:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
@@ -245,6 +262,16 @@ class PieceCodec:
             return np.array(self.cache.search.encode(text), dtype=self.pieces.width)
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.pieces.words.findall(text))), dtype=self.pieces.width)
 
+    def round_trip(self, text: str, ids: np.ndarray) -> bool:
+        """Whether ``ids``, which ``encode`` gave for ``text``, decode to it.
+
+        Every word is decoded when it is searched, and a text decodes to what its words decode to, one after the
+        other. Where a word did not come back, and where texts are not cut into words, the text is decoded.
+        """
+        if self.pieces.words is not None and not self.cache.unsound:
+            return True
+        return self.decode(ids) == text.replace(MARK, " ")
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.pieces.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.pieces.prefix and text[:1] == " " else text
@@ -266,7 +293,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], columns: list[str], model
                 text = texts[at].as_py()
                 got = pieces.encode(text or "")
                 ids.append(None if text is None else got)
-                same.append(None if text is None else pieces.decode(got) == text.replace(MARK, " "))
+                same.append(None if text is None else pieces.round_trip(text, got))
                 size += len(got)
                 at += 1
             part = batch.slice(first, at - first)

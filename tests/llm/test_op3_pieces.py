@@ -141,3 +141,18 @@ def test_rows(spark):
         assert r.n_tokens == len(r.ids or []) and (r.ids is None or r.round_trip)
         assert r.ids is None or r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert op.encode(docs.limit(0), MODEL).count() == 0
+
+
+def test_words_of_the_cache_are_bounded_and_round_trips_told(monkeypatch):
+    monkeypatch.setattr(op, "MAX_CACHED", 50)
+    codec = op.PieceCodec(MODEL)
+    for n in range(5):
+        text = " ".join(f"w{k}x{n}" for k in range(40)) + " the of"
+        got = codec.encode(text)
+        whole = op.StreamingViterbi(op.Pieces(MODEL)).encode((" " if codec.pieces.prefix else "") + text)
+        assert got.tolist() == whole and codec.round_trip(text, got)
+        assert len(codec.cache) <= 50 and len(codec.cache.old) <= 50
+    assert " the" in codec.cache or " the" in codec.cache.old
+    [the] = [i for p, (i, _) in codec.pieces.scores.items() if p == "the"]
+    codec.pieces.bytes_of[the] = b"xxx"
+    assert [codec.round_trip(t, codec.encode(t)) for t in ("see\nthe", "over night", "")] == [False, True, True]
