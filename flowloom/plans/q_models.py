@@ -330,9 +330,10 @@ def d46(spark, sf):
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    scored = written(views.scored(spark, sf), "scored")  # the flows are scored once
-    events, detections, risks = (written(t, name) for t, name in zip(views.relational(spark, sf, scored), ("events", "detections", "risks")))
-    acts, edges = written(views.actions(spark, sf, scored), "actions"), written(views.edges(spark, sf), "edges")
+    edges = written(views.edges(spark, sf), "edges")
+    scored = written(views.scored(spark, sf, False, edges).select(*views.EVENT_COLUMNS), "scored")  # scored once; no section reads an explanation
+    events, detections, risks = views.relational(spark, sf, scored)
+    acts = written(views.actions(spark, sf, scored).select("event_id", "actual_action"), "actions")
     log = runs.changed_runs(views.run_records(spark, sf))
     active = log.groupBy("component").agg(F.max("id").alias("run_id"), F.max_by("content_hash", "id").alias("content_hash"), F.max_by("f1", "id").alias("f1"))
     size = edges.agg(F.count("*").alias("edge_count"), F.sum("flow_count").alias("flow_count"))
