@@ -36,3 +36,18 @@ def test_the_explanation_is_compiled(spark):
     for r in out.collect():
         assert [f.contribution for f in r.factors] == sorted((f.contribution for f in r.factors), reverse=True) and len(r.factors) == 5
         assert r.reason and not any(c.startswith("_") for c in out.columns)
+
+
+def test_three_sinks_read_flows_that_are_scored_once(spark):
+    """Each sink made the scores of all flows again; ids are hex text, which only a real coder makes smaller."""
+    root = shared_dir(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = QUERIES["a11"](spark, SF)
+    folders = {p.rsplit("-", 1)[0]: p for p in set(os.listdir(root)) - before if p.startswith("a11")}
+    assert sorted(folders) == ["a11", "a11-scored"]
+    scored = spark.read.parquet(f"{root}/{folders['a11-scored']}").count()
+    for sink in ("events", "detections", "risk_assessments"):
+        assert spark.read.parquet(f"{root}/{folders['a11']}/{sink}").count() == scored
+        names = [f for _, _, files in os.walk(f"{root}/{folders['a11']}/{sink}") for f in files if f.endswith(".parquet")]
+        assert names and all(".zstd." in f for f in names)
+    assert out.count() == scored > 0
