@@ -1,28 +1,33 @@
-"""Exact k-nearest-neighbour classification against a bounded set of labelled rows.
+"""Exact k-nearest-neighbour classification against all labelled rows.
 
-The classifier is fitted on at most ``max_train_rows`` labelled rows (a documented
-bound; all of them where there are no more), so its matrix has a known size and is
-shipped to every task. Queries are mapped batch by batch where they lie: no query
-is shuffled, copied or paired with rows of another task.
+A matrix of labelled rows of up to ``max_matrix_bytes`` is shipped to every task, and queries are
+mapped batch by batch where they lie. A larger table stays on the executors: labelled
+rows and queries are dealt to blocks of ``block_bytes``, each pair of blocks is searched in a
+task, and the nearest of all blocks are kept. Pairs grow with the product of the two tables, memory
+with a pair of blocks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.session import shared_dir
+
 
 @dataclass(frozen=True)
 class KnnConfig:
     k: int = 5
-    max_train_rows: int = 200_000
-    max_matrix_bytes: int = 512 << 20
-    seed: int = 42
+    max_matrix_bytes: int = 64 << 20
+    block_bytes: int = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -34,21 +39,20 @@ class LabelledRows:
     labels: np.ndarray
 
 
-def fit(train: DataFrame, vector: str, key: str, label: str, cfg: KnnConfig = KnnConfig()) -> LabelledRows:
-    """Collect the labelled rows, in pseudo-random order up to the bound."""
-    rows = train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"))
-    if train.count() > cfg.max_train_rows:
-        rows = rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), F.col("id").cast("string"))), "id").limit(cfg.max_train_rows)
-    table = rows.toArrow()
-    if not table.num_rows:
-        raise ValueError("no training rows")
-    flat = table["v"].combine_chunks()
-    width = len(flat[0])
-    if table.num_rows * width * 8 > cfg.max_matrix_bytes:
-        raise ValueError(f"the matrix of labelled rows is over {cfg.max_matrix_bytes} bytes; lower max_train_rows")
+def _labelled(train: DataFrame, vector: str, key: str, label: str) -> DataFrame:
+    return train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), len(flat[0]))
+
+
+def fit(train: DataFrame, vector: str, key: str, label: str) -> LabelledRows:
+    """Collect all labelled rows, for tables whose matrix may be shipped."""
+    table = _labelled(train, vector, key, label).toArrow()
     order = np.argsort(table["id"].to_numpy(), kind="stable")
-    matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, width)
-    return LabelledRows(matrix[order], table["id"].to_numpy()[order], table["y"].to_numpy()[order])
+    return LabelledRows(_matrix(table["v"])[order], table["id"].to_numpy()[order], table["y"].to_numpy()[order])
 
 
 def _search(q: np.ndarray, rows: LabelledRows, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +76,57 @@ def _search(q: np.ndarray, rows: LabelledRows, k: int) -> tuple[np.ndarray, np.n
     return chosen, found
 
 
+def _pair_search(k: int):
+    """The k nearest rows of a block of labelled rows for each query of a block."""
+
+    def search(table: pa.Table) -> pa.Table:
+        asks = table["asks"]
+        q, t = table.filter(asks), table.filter(pc.invert(asks)).sort_by("id")
+        if not (q.num_rows and t.num_rows):
+            return pa.table({"row": pa.array([], "int64"), "train_id": pa.array([], "int64"), "label": pa.array([], "int32"), "distance": pa.array([], "float64")})
+        rows, asked = LabelledRows(_matrix(t["v"]), t["id"].combine_chunks(), t["y"].combine_chunks()), _matrix(q["v"])
+        step = max(1, (32 << 20) // (8 * t.num_rows))
+        parts = [_search(asked[at : at + step], rows, k) for at in range(0, len(asked), step)]
+        chosen, found = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        taken = pa.array(chosen.ravel())
+        owner = q["row"].combine_chunks().take(pa.array(np.repeat(np.arange(len(asked)), chosen.shape[1])))
+        return pa.table({"row": owner, "train_id": rows.ids.take(taken), "label": rows.labels.take(taken), "distance": found.ravel()})
+
+    return search
+
+
+def _nearest_of_blocks(rows: DataFrame, blocks: int, queries: DataFrame, vector: str, key: str, width: int, cfg: KnnConfig, keep: tuple[str, ...]) -> DataFrame:
+    """``nearest_neighbours`` of labelled rows in ``blocks`` blocks; nothing passes through the driver."""
+    spark = queries.sparkSession
+    path = f"{shared_dir(spark)}/knn-{uuid.uuid4().hex}"
+    # ids may repeat, so a query is named by its place; stored, so that the name is given once
+    numbered = queries.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("query_id"), *keep, F.col(vector).cast("array<double>").alias("v"))
+    numbered.write.parquet(path)
+    asked = spark.read.parquet(path)
+    ask_blocks = max(1, -(-asked.count() * width * 8 // cfg.block_bytes))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.lit(True).alias("asks"), "row", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("y"), "v", F.pmod(F.xxhash64("row"), F.lit(ask_blocks)).cast("int").alias("a"), upto(blocks).alias("b"))
+    dealt = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b")
+    right = rows.select(F.lit(False).alias("asks"), F.lit(None).cast("long").alias("row"), "id", "y", "v", upto(ask_blocks).alias("a"), dealt)
+    found = left.unionByName(right).groupBy("a", "b").applyInArrow(_pair_search(cfg.k), "row long, train_id long, label int, distance double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("distance", "train_id", "label"))
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= cfg.k)
+    return asked.select("row", "query_id", *keep).join(best, "row").select("query_id", *keep, "train_id", "label", "distance", "rank")
+
+
 def nearest_neighbours(
     train: DataFrame, queries: DataFrame, vector: str, key: str, label: str, cfg: KnnConfig = KnnConfig(), keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(query_id, *keep, train_id, label, distance, rank)`` of the k nearest rows.
+    """``(query_id, *keep, train_id, label, distance, rank)`` of the k nearest of all labelled rows.
 
     ``key`` is a long id in both tables.
     """
-    shared = queries.sparkSession.sparkContext.broadcast(fit(train, vector, key, label, cfg))
+    n, width = train.agg(F.count("*"), F.max(F.size(vector))).first()
+    if not n:
+        raise ValueError("no training rows")
+    if n * width * 8 > cfg.max_matrix_bytes:
+        return _nearest_of_blocks(_labelled(train, vector, key, label), -(-n * width * 8 // cfg.block_bytes), queries, vector, key, width, cfg, keep)
+    shared = queries.sparkSession.sparkContext.broadcast(fit(train, vector, key, label))
     asked = queries.select(F.col(key).cast("long").alias("query_id"), *keep, F.col(vector).alias("_vector"))
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
     schema = ", ".join([f"query_id long, {''.join(f'{c} {kinds[c]}, ' for c in keep)}train_id long", "label int", "distance double", "rank int"])

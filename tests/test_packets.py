@@ -199,6 +199,22 @@ def test_knn_against_brute_force_with_many_equal_rows(spark):
     assert votes[30].attack_probability == 1.0 and votes[31].predicted_label == "BENIGN"
 
 
+@pytest.mark.parametrize("ship", [True, False])
+def test_knn_searches_every_labelled_row(spark, ship):
+    """Beyond 200,000 labelled rows the classifier was fitted on a sample of them."""
+    n = 220_000 if ship else 400
+    cfg = knn.KnnConfig(k=3) if ship else knn.KnnConfig(k=3, max_matrix_bytes=1 << 10, block_bytes=1 << 10)
+    t = spark.range(n).select("id", F.array(F.col("id") * 1.0, F.lit(0.0)).alias("v"), (F.col("id") % 2).cast("int").alias("y"))
+    asked = sorted({*range(0, n, n // 40), n - 1, 5}) + [5]  # an id that comes twice
+    q = spark.createDataFrame([(i, f"q{i}", [float(i), 0.0]) for i in asked], "id long, name string, v array<double>")
+    got = knn.nearest_neighbours(t, q, "v", "id", "y", cfg, ("name",)).collect()
+    assert len(got) == 3 * len(asked)
+    for i in asked:
+        near = sorted(range(max(0, i - 3), min(n, i + 4)), key=lambda j: (abs(j - i), j))[:3]
+        rows = sorted((r["rank"], r.train_id, r.label, r.distance, r.name) for r in got if r.query_id == i)
+        assert rows == sorted([(k + 1, j, j % 2, float(abs(j - i)), f"q{i}") for k, j in enumerate(near)] * asked.count(i))
+
+
 def test_network_gradient_and_fit(spark):
     net = autoencoder.Network.start((4, 3, 2), seed=1)
     x = np.random.default_rng(0).normal(size=(20, 4))
