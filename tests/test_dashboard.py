@@ -1,5 +1,8 @@
 """Joins of event, detection and risk rows: what is shuffled for them, and that they keep their rows."""
 
+import pytest
+
+from flowloom.operators import dashboard
 from flowloom.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +19,39 @@ def test_events_and_detections_are_made_without_the_edges(spark):
         assert a.schema.simpleString() == b.schema.simpleString()
         a, b = (x.selectExpr("count(*)", "sum(CAST(xxhash64(*) AS DECIMAL(38, 0)))").first() for x in (a, b))
         assert a == b
+
+
+def _feed(spark):
+    """Events of equal times, without a time, with ids that come twice, and with none, one or two detections and risks."""
+    hour = "IF(id % 7 = 0, NULL, TIMESTAMP'2024-01-01 00:00:00' + MAKE_DT_INTERVAL(0, CAST(id % 11 AS INT)))"
+    text = "CONCAT('e', LPAD(CAST(id AS STRING), 3, '0'))"
+    shown = f"{text} AS id| {hour} AS timestamp| 's' AS source_ip| 1 AS source_port| 'd' AS destination_ip| 2 AS destination_port| 6 AS protocol| 'BENIGN' AS canonical_attack_label| 'live' AS source"
+    e = spark.range(90).selectExpr(*shown.split("| "))
+    e = e.unionAll(e.filter("id IN ('e010', 'e021')"))
+    d = spark.range(90).filter("id % 3 <> 0").selectExpr(f"{text} AS event_id", "id / 90 AS anomaly_score", "id > 40 AS is_anomaly")
+    r = spark.range(90).filter("id % 4 <> 0").selectExpr(f"{text} AS event_id", "id % 10 + 0.5 AS risk_score", "'High' AS risk_level")
+    return e, d.unionAll(d.filter("event_id = 'e010'")), r.unionAll(r.filter("event_id = 'e021'"))
+
+
+def _plain_feed(e, d, r, least, limit, offset):
+    """The page by nested loops."""
+    rows = []
+    for x in e.collect():
+        of = lambda t, x=x: [y for y in t if y.event_id == x.id] or [None]
+        for a in of(d):
+            for b in of(r):
+                if least is None or (b is not None and b.risk_score >= least):
+                    rows.append((x.id, x.timestamp, a and a.anomaly_score, a and a.is_anomaly, b and b.risk_score))
+    rows.sort(key=lambda y: y[0], reverse=True)
+    rows.sort(key=lambda y: (y[1] is not None, y[1] and y[1].timestamp()), reverse=True)
+    return rows[offset : offset + limit]
+
+
+@pytest.mark.parametrize("limit,offset", [(5, 0), (20, 13), (500, 0)])
+def test_the_feed_looks_up_a_page_of_events_only(spark, limit, offset):
+    """All events were joined with all detections and all risks to show a page."""
+    e, d, r = _feed(spark)
+    out = dashboard.threat_feed(e, d, r, None, limit, offset)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2  # per branch of a table
+    got = [(x.event_id, x.timestamp, x.anomaly_score, x.is_anomaly, x.risk_score) for x in out.collect()]
+    assert got == _plain_feed(e, d.collect(), r.collect(), None, limit, offset)
