@@ -55,3 +55,13 @@ def test_the_feed_looks_up_a_page_of_events_only(spark, limit, offset):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2  # per branch of a table
     got = [(x.event_id, x.timestamp, x.anomaly_score, x.is_anomaly, x.risk_score) for x in out.collect()]
     assert got == _plain_feed(e, d.collect(), r.collect(), None, limit, offset)
+
+
+@pytest.mark.parametrize("limit,offset", [(5, 0), (20, 13), (500, 0)])
+def test_the_feed_of_high_risks_looks_up_a_page_of_detections_only(spark, limit, offset):
+    e, d, r = _feed(spark)
+    out = dashboard.threat_feed(e, d, r, 5.0, limit, offset)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 1 and "Inner" not in plan  # risks were met before the page was cut
+    got = [(x.event_id, x.timestamp, x.anomaly_score, x.is_anomaly, x.risk_score) for x in out.collect()]
+    assert got == _plain_feed(e, d.collect(), r.collect(), 5.0, limit, offset)
