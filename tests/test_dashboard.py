@@ -1,9 +1,14 @@
 """Joins of event, detection and risk rows: what is shuffled for them, and that they keep their rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from flowloom.functions.parsing import pack_id, unpack_id
 from flowloom.operators import dashboard
 from flowloom.plans import views
+from flowloom.plans.catalog import QUERIES
+from flowloom.session import freed_shuffles
+from flowloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +70,48 @@ def test_the_feed_of_high_risks_looks_up_a_page_of_detections_only(spark, limit,
     assert plan.count("LeftSemi") >= 1 and "Inner" not in plan  # risks were met before the page was cut
     got = [(x.event_id, x.timestamp, x.anomaly_score, x.is_anomaly, x.risk_score) for x in out.collect()]
     assert got == _plain_feed(e, d.collect(), r.collect(), 5.0, limit, offset)
+
+
+def test_details_shuffle_ids_as_bytes(spark):
+    """An id of 32 hex digits was shuffled as text by each of three tables; the ids come back as they were."""
+    ids = ["0a1b2c", "0A1B2C", "abc", "", "00", "\x00x", "zz", "é", "ab cd", "10.0.0.1", None]
+    rows = spark.createDataFrame([(x,) for x in ids], "id string").withColumn("k", pack_id("id")).withColumn("back", unpack_id("k")).collect()
+    assert all(r.back == r.id for r in rows) and len({bytes(r.k) for r in rows if r.id is not None}) == len(ids) - 1
+    assert len(spark.sql("SELECT md5('x') AS id").select(pack_id("id").alias("k")).first().k) == 17
+    e, d, r = _feed(spark)
+    e = e.withColumn("destination_ip", F.lit("d"))
+    edges = spark.sql("SELECT 's' src_ip, 'd' dst_ip, 0.5D attack_ratio, 1L attack_flow_count, 2L flow_count, current_timestamp() first_seen, current_timestamp() last_seen, array('x') attack_labels, 1 id")
+    out = dashboard.event_details(e, d, r, edges)
+    got = out.select("event_id", "anomaly_score", "risk_score").collect()
+    assert sorted(map(str, got)) == sorted(f"Row(event_id={x[0]!r}, anomaly_score={x[2]!r}, risk_score={x[4]!r})" for x in _plain_feed(e, d.collect(), r.collect(), None, 1000, 0))
+    assert out.schema["event_id"].dataType.simpleString() == "string"
+
+
+def test_the_three_sinks_are_read_by_packed_ids(spark, tmp_path):
+    """Ids were shuffled as text by all three, once more within the uid."""
+    scored = views.scored(spark, SF)
+    tables.write_scored(scored.limit(500), str(tmp_path), "b")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    odd = events.limit(1).withColumns({"id": F.lit("odd"), "event_uid": F.lit("another")})
+    odd.drop("batch").write.mode("append").parquet(f"{tmp_path}/events/batch=c")
+    for t in ("detections", "risk_assessments"):
+        one = spark.read.parquet(f"{tmp_path}/{t}").limit(1).withColumns({"id": F.lit("odd"), "event_id": F.lit("odd")})
+        one.drop("batch").write.mode("append").parquet(f"{tmp_path}/{t}/batch=c")
+    out = tables.read_scored(spark, str(tmp_path))
+    assert sorted(x.event_uid for x in out.collect()) == sorted(x.event_uid for x in spark.read.parquet(f"{tmp_path}/events").collect())
+    d, x = (spark.read.parquet(f"{tmp_path}/{t}").drop("id") for t in ("detections", "risk_assessments"))
+    plain = spark.read.parquet(f"{tmp_path}/events").withColumnRenamed("id", "event_id").join(d, "event_id").join(x, "event_id").select(out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_tables_written_once_leave_no_shuffles(spark):
+    """The shuffle of a stored table stayed on disk beside all that was made of it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with freed_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        assert df.count() == 7 and len(df.collect()) == 7 and len(df.collect()) == 7
+    assert spark.conf.get(name) == before
+    plan = QUERIES["a11"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(") >= 3
