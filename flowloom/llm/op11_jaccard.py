@@ -78,6 +78,11 @@ def _div(a, b: int):
     return F.floor(a / F.lit(b)).cast("int") if isinstance(a, Column) else a // b
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that sends neither side through the driver: what a broadcast holds there grows with the texts."""
+    return left.join(right.hint("merge"), on, how)
+
+
 # --- sets of texts
 
 
@@ -180,7 +185,7 @@ def _probed(pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
     """The pairs ``(a, b)`` that pass; ``a`` is the asking side. ``sets`` has ``node, runs`` and, for first runs, ``n``."""
     scope = F.col("runs") if whole else F.slice("runs", F.lit(1), F.least(F.size("runs"), missing(F.col("n")) + probes(F.col("n"))))
     left = sets.select(F.col("node").alias("a"), scope.alias("a_runs"), *([] if whole else [probes(F.col("n")).alias("least")]))
-    met = pairs.join(left, "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("b_runs")), "b")
+    met = _joined(_joined(pairs, left, "a"), sets.select(F.col("node").alias("b"), F.col("runs").alias("b_runs")), "b")
     return map_batches(met, _probe_batches, StructType([met.schema["a"], met.schema["b"]]), whole)
 
 
@@ -196,13 +201,13 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     """``(run, node, n, place, df)`` of the first runs that several nodes have."""
     rows = nodes.select("node", "n", F.posexplode("first").alias("place", "run"))
     often = rows.groupBy("run").agg(F.count("*").alias("df")).filter("df > 1")
-    return rows.join(often, "run")
+    return _joined(rows, often, "run")
 
 
 def long_lists(lists: DataFrame, asked: DataFrame) -> DataFrame:
     """``(run, node, n)`` of the long lists that are asked for, without sets too small or too large for those that ask."""
     sizes = asked.filter(F.col("df") > SMALL_LIST).groupBy("run").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = lists.filter(F.col("df") > SMALL_LIST).select("run", "node", "n").join(sizes, "run")
+    met = _joined(lists.filter(F.col("df") > SMALL_LIST).select("run", "node", "n"), sizes, "run")
     return met.filter((F.col("n") >= F.col("low")) & (F.col("n") * SIMILARITY <= F.col("high") * 100)).select("run", "node", "n")
 
 
@@ -222,9 +227,9 @@ def candidate_pairs(lists: DataFrame, asked: DataFrame) -> DataFrame:
     """Distinct ``(a, b)``: all pairs of small lists, and each asking node with the largest set of its long lists."""
     a = asked.select("run", F.col("node").alias("a"), F.col("n").alias("a_n"))
     small = lists.filter(F.col("df") <= SMALL_LIST).select("run", F.col("node").alias("b"), F.col("n").alias("b_n"))
-    within = a.join(small, "run").filter(fits(F.col("a_n"), F.col("b_n")) & (F.col("a") != F.col("b")) & ((F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))))
+    within = _joined(a, small, "run").filter(fits(F.col("a_n"), F.col("b_n")) & (F.col("a") != F.col("b")) & ((F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))))
     heads = lists.filter(F.col("df") > SMALL_LIST).groupBy("run").agg(F.max(F.struct("n", "node")).alias("head"))
-    met = a.join(heads, "run").select("a", "a_n", F.col("head.node").alias("b"), F.col("head.n").alias("b_n"))
+    met = _joined(a, heads, "run").select("a", "a_n", F.col("head.node").alias("b"), F.col("head.n").alias("b_n"))
     first = met.filter(fits(F.col("a_n"), F.col("b_n")) & (F.col("a") != F.col("b"))).groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
     return within.select("a", "b").unionAll(first.select("a", F.explode(F.array("x", "y")).alias("b"))).distinct()
 
@@ -321,28 +326,29 @@ def _block_table(table: pa.Table) -> pa.Table:
 
 def family_links(long: DataFrame, asked: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links that join what can be joined in long lists of several classes; None without such lists."""
-    member = long.join(classes, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
+    member = _joined(long, classes, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("run").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("head")).filter("c <> d")
-    rows = stored(member.join(mixed.select("run", "head"), "run").join(asked.select("run", "node", F.lit(True).alias("asks")), ["run", "node"], "left").select("head", "node", "component", F.coalesce("asks", F.lit(False)).alias("asks")).distinct(), "mixed")
+    asking = asked.select("run", "node", F.lit(True).alias("asks"))
+    rows = stored(_joined(_joined(member, mixed.select("run", "head"), "run"), asking, ["run", "node"], "left").select("head", "node", "component", F.coalesce("asks", F.lit(False)).alias("asks")).distinct(), "mixed")
     n = rows.count()
     if n == 0:
         return None
     family = connected_components(rows.select("head", "node"), "head", "node", 1 + n // LINKS_PER_TASK).withColumnRenamed("component", "family")
     cost = sets.select("node", F.greatest(F.size("runs"), F.lit(SET_COST)).cast("long").alias("cost"))
-    nodes = stored(rows.groupBy("node", "component").agg(F.max("asks").alias("asks")).join(family, "node").join(cost, "node"), "families")
+    nodes = stored(_joined(_joined(rows.groupBy("node", "component").agg(F.max("asks").alias("asks")), family, "node"), cost, "node"), "families")
     by_class = nodes.groupBy("family", "component").agg(F.sum("cost").alias("cost"), F.sum(F.when(F.col("asks"), F.col("cost")).otherwise(0)).alias("asking"))
     total = by_class.groupBy("family").agg(F.sum("cost").alias("cost"), F.sum("asking").alias("asking"), F.max(F.struct("cost", "asking", "component")).alias("lead"))
     blocks = lambda c: F.ceil(c / BLOCK_RUNS).cast("int")
     lead = F.col("lead")
     dealt = total.select("family", lead["component"].alias("lead"), blocks(F.col("asking") - lead["asking"]).alias("ask_rest"), blocks(lead["asking"]).alias("ask_lead"), blocks(F.col("cost") - lead["cost"]).alias("rest"), blocks(lead["cost"]).alias("leads"))
-    placed = nodes.join(dealt, "family").withColumn("led", F.col("component") == F.col("lead"))
+    placed = _joined(nodes, dealt, "family").withColumn("led", F.col("component") == F.col("lead"))
     turn = F.xxhash64("node")
     deal = lambda led, rest: F.when(F.col("led"), F.col(rest) + F.pmod(turn, F.col(led))).otherwise(F.pmod(turn, F.col(rest))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))  # noqa: E731  null, and so no rows, where there are none
     # the largest class is not compared within itself: its askers meet the blocks of the rest only, and the other way round
     left = placed.filter("asks").select("family", "node", "component", F.lit(True).alias("asks"), deal("ask_lead", "ask_rest").alias("low"), F.explode(upto(F.when(F.col("led"), F.col("rest")).otherwise(F.col("rest") + F.col("leads")))).alias("high"))
     right = placed.select("family", "node", "component", F.lit(False).alias("asks"), F.explode(upto(F.when(F.col("led"), F.col("ask_rest")).otherwise(F.col("ask_rest") + F.col("ask_lead")))).alias("low"), deal("leads", "rest").alias("high"))
-    full = left.unionByName(right).join(sets, "node")
+    full = _joined(left.unionByName(right), sets, "node")
     kind = nodes.schema["node"].dataType
     return stored(full.groupBy("family", "low", "high").applyInArrow(_block_table, StructType().add("a", kind).add("b", kind)), "links")
 
@@ -363,9 +369,9 @@ def link_classes(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> Data
     tried = stored(_probed(candidate_pairs(lists, asked), firsts, whole=False), "tried")
     long = stored(long_lists(lists, asked), "long")
     wanted = tried.select(F.explode(F.array("a", "b")).alias("node")).unionAll(long.select("node")).distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").select("node", "r.id", "r.text_hash")
+    chosen = _joined(nodes, wanted, "node", "left_semi").select("node", "r.id", "r.text_hash")
     named = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
-    texts = named.join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
+    texts = _joined(named, chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
     sets = map_batches(texts, _set_batches, StructType([nodes.schema["node"], _longs("runs")]))
     sets = stored(sets.dropDuplicates(["node"]), "sets")  # rows that agree in id and text
 
@@ -382,9 +388,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     named = known.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r"), F.first("n").alias("n"), F.first("first").alias("first"))
     nodes = stored(named.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "nodes")
     classes = link_classes(nodes, docs, key, text)
-    of_name = nodes.select("name", "node").join(classes, "node", "left").select(F.col("name"), F.coalesce("component", "node").cast("string").alias("class"))
-    rows = sketch.select("id", "n", "node").join(of_name, F.col("node") == F.col("name"), "left")
+    of_name = _joined(nodes.select("name", "node"), classes, "node", "left").select(F.col("name"), F.coalesce("component", "node").cast("string").alias("class"))
+    rows = _joined(sketch.select("id", "n", "node"), of_name, F.col("node") == F.col("name"), "left")
     # a text without words stands for itself
     rows = rows.select("id", "n", F.coalesce("class", F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).alias("class"))
     least = rows.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n_docs"))
-    return rows.join(least, "class").select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "n_docs")
+    return _joined(rows, least, "class").select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), "n_docs")

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowloom.llm import op11_jaccard as op
+from flowloom.operators.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,3 +136,17 @@ def test_count_common(pairs):
     flat = lambda k: np.array([v for p in pairs for v in sorted(p[k])], np.int64)
     sizes = lambda k: np.array([len(p[k]) for p in pairs], np.int64)
     assert op.count_common(flat(0), sizes(0), flat(1), sizes(1)).tolist() == [len(a & b) for a, b in pairs]
+
+
+def test_no_table_goes_through_the_driver(spark):
+    """Joins were broadcasts of up to 10 MB shuffled, which the driver holds unpacked and several at a time."""
+    rows = [(k, f"a b c d e f g h i j {k % 3} l m n o p q r s t") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    nodes = docs.selectExpr("doc_id AS node", "20 AS n", "array(doc_id % 5, 7L, 9L) AS first")
+    lists = op.inverted_lists(nodes)
+    asked = op.asked_runs(lists)
+    for out in (op.components(docs), connected_components(links, "a", "b"), lists, op.candidate_pairs(lists, asked), op.long_lists(lists, asked)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
